@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
         start, base = 0, 0
         while start < len(ends):
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))

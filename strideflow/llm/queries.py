@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import mixing, sharding
+from strideflow.llm import mixing, near_dup, sharding
 from strideflow.llm.common import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -17,5 +21,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_mixing": op4_mixing, "op9_sharding": op9_sharding}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
