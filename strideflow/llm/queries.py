@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import mixing, near_dup, sharding
+from strideflow.llm import language_id, line_crf, mixing, near_dup, sharding
 from strideflow.llm.common import table
 
 
@@ -17,9 +17,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_mixing": op4_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op8_language": op8_language, "op9_sharding": op9_sharding}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
