@@ -151,3 +151,27 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(sequence_hashes(words, min(n, len(words))))
+
+
+# --- files in the shared folder --------------------------------------------------------------
+
+
+def _file_system(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def open_new(folder: str, suffix: str):
+    """A new file under a name that no other task or attempt uses: its URI and an open stream."""
+    uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
+    system, path = _file_system(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return uri, system.open_output_stream(path, compression=None)
+
+
+def open_old(uri: str):
+    system, path = _file_system(uri)
+    return system.open_input_file(path)

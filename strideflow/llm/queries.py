@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strideflow.llm import language_id, line_crf, mixing, near_dup, sharding
+from strideflow.llm import language_id, line_crf, mixing, near_dup, sharding, token_files, warc
 from strideflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op8_language": op8_language, "op9_sharding": op9_sharding}
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op8_language": op8_language,
+    "op9_sharding": op9_sharding,
+    "op10_token_files": op10_token_files,
+}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
