@@ -7,8 +7,8 @@ share a passage part, and independent trees are repeated until the recall target
 
 Large nodes of true copies never get small. They aren't compared pair by pair: each document is first compared with
 its node's first one, links that hold are joined to components, and later rounds only compare documents of different
-components. No link between components is lost by that, and nothing is capped: at the last level, whatever is still
-in different components is compared.
+components. No link between components is lost by that, and nothing is capped: at the last level, large nodes are cut
+into blocks, and whatever is still in different components is compared on full sets, block by block.
 
 Pairs whose minwise tokens agree too little (five standard deviations under the threshold) are dropped; the others are
 confirmed on full shingle sets, ``100 * intersection >= 75 * union``.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
-SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, FEWEST_EQUAL = 128, 5, 5, 16, 72
+SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -118,11 +118,16 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(sizes & (same >= FEWEST_EQUAL)).select("a", "b").distinct()
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, shingles of the documents named; other texts are not read into sets."""
+    wanted = docs.select(docs["doc_id"], docs["text"]).join(ids, "doc_id", "left_semi")
+    return checkpointed(wanted.mapInArrow(_full, "doc_id long, shingles array<long>"))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """Pairs that hold on full sets. Only texts in some pair are read into sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = docs.select(docs["doc_id"], docs["text"]).join(ids, "doc_id", "left_semi")
-    sets = checkpointed(wanted.mapInArrow(_full, "doc_id long, shingles array<long>"))
+    sets = _sets_of(docs, ids)
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -146,24 +151,71 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "node").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def _rest(classes: DataFrame, trees: int) -> DataFrame:
-    """Pairs of different components that some tree leaves in one node."""
+def _links_within(group: pa.Table) -> pa.Table:
+    """Links that hold on full sets between different components of a bounded block; a spanning forest of them suffices."""
+    ids, part = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+    lists = group.column("shingles").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(ids)), sizes)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    kept, column = np.unique(column[shared], return_inverse=True)
+    row = row[shared]
+    names, of = np.unique(part, return_inverse=True)
+    minor = np.flatnonzero(of != np.bincount(of).argmax())  # the largest component's own pairs are settled
+    common = np.zeros((len(minor), len(ids)), np.float32)
+    for start in range(0, len(kept), 4096):
+        here = (column >= start) & (column < start + 4096)
+        m = np.zeros((len(ids), min(4096, len(kept) - start)), np.float32)
+        m[row[here], column[here] - start] = 1
+        common += m[minor] @ m.T
+    holds = (100 * common >= 75 * (sizes[minor][:, None] + sizes[None, :] - common)) & (of[minor][:, None] != of[None, :])
+    root = np.arange(len(names))
+    links = []
+    for x, y in zip(*np.nonzero(holds), strict=True):
+        p, q = of[minor[x]], of[y]
+        while root[p] != p:
+            p = root[p]
+        while root[q] != q:
+            q = root[q]
+        if p != q:
+            root[p] = q
+            links.append((min(ids[minor[x]], ids[y]), max(ids[minor[x]], ids[y])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _dense_links(docs: DataFrame, rows: DataFrame, n: str = "n") -> DataFrame:
+    """Confirmed links inside large leaves. A leaf is cut into blocks of at most about BLOCK documents, and each pair of blocks is
+    one bounded group, so neither a group nor the number of rows grows with the square of a leaf."""
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    rows = rows.select("node", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("node", "doc_id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.join(_sets_of(docs, rows.select("doc_id").distinct()), "doc_id")
+    return rows.groupBy("node", "low", "high").applyInArrow(_links_within, "a long, b long")
+
+
+def _rest(docs: DataFrame, classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """What the trees leave in one node but in different components: pairs from small leaves, confirmed links from large ones."""
     rows, pairs = _branch(_paths(classes, trees), 0), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         rows = checkpointed(rows.join(nodes.select("node", "n"), "node"))
-        leaves = rows if level == DEPTH else rows.where(F.col("n") <= SMALL_NODE)
+        leaves = rows.where(F.col("n") <= SMALL_NODE)
         a = leaves.select("node", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
         b = leaves.select("node", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
         pairs.append(a.join(b, "node").where("a < b and of_a <> of_b").select("a", "b"))
-        rows = rows.where(F.col("n") > SMALL_NODE).drop("n")
-        if level == DEPTH or rows.isEmpty():
+        rows = rows.where(F.col("n") > SMALL_NODE)
+        if rows.isEmpty():
+            rows = None
             break
-        rows = _branch(rows, level)
+        if level < DEPTH:
+            rows = _branch(rows.drop("n"), level)
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), None if rows is None else _dense_links(docs, rows)
 
 
 def near_duplicates(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
@@ -176,8 +228,9 @@ def near_duplicates(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     links = checkpointed(_confirmed(docs, checkpointed(_alike(_stars(_branch(_paths(classes, STAR_TREES), 0)), classes))))
     parts = connected_components(links)
     named = lambda part: classes.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = _confirmed(docs, checkpointed(_alike(_rest(named(parts), trees_for(recall)), classes)))
-    more = checkpointed(more)
+    pairs, dense = _rest(docs, named(parts), trees_for(recall))
+    more = _confirmed(docs, checkpointed(_alike(pairs, classes)))
+    more = checkpointed(more if dense is None else more.unionByName(dense))
     if not more.isEmpty():
         parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
