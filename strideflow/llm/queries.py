@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideflow.llm import language_id, line_crf, mixing, near_dup, sharding, token_files, warc
+from strideflow.llm import decontaminate, language_id, licenses, line_crf, mixing, near_dup, sharding, token_files, warc
 from strideflow.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language(table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
