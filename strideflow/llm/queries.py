@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideflow.llm import decontaminate, language_id, licenses, line_crf, mixing, near_dup, sharding, token_files, warc
+from strideflow.llm import decontaminate, jpeg, language_id, licenses, line_crf, mixing, near_dup, sharding, token_files, warc
 from strideflow.llm.common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
