@@ -592,7 +592,7 @@ def tensors(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f.height for _, f, _, _ in rows], pa.int32()), pa.array([f.width for _, f, _, _ in rows], pa.int32()), pa.array([t.tobytes() for *_, t in rows], pa.binary())], ["doc_id", "height", "width", "rgb"])
 
     rows = media.select(media["doc_id"], media["media"]).where("media is not null")
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("height", "int").add("width", "int").add("rgb", "binary"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
 
 
 def read_back(media: DataFrame) -> DataFrame:
