@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
+BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -120,7 +121,9 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, shingles of the documents named; other texts are not read into sets."""
-    wanted = docs.select(docs["doc_id"], docs["text"]).join(ids, "doc_id", "left_semi")
+    ids = checkpointed(ids)
+    few = ids.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
+    wanted = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     return checkpointed(wanted.mapInArrow(_full, "doc_id long, shingles array<long>"))
 
 
