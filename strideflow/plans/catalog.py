@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strideflow.functions import guards, insights
 from strideflow.functions import signal as S
-from strideflow.operators import decode, evaluation, recap, timeseries
+from strideflow.operators import decode, evaluation, recap, timeseries, training
+from strideflow.sources.recordings import synthetic_time
 from strideflow.sources.views import LABELS, SCORED_SQL, SENSOR_SQL, scored, sensor, signals, table
 from strideflow.streaming import live
 
@@ -533,3 +534,50 @@ def _(spark, sf):
 @query("rollup_activity", f"WITH {SENSOR_SQL} SELECT session, activity, count(*) AS n FROM sensor GROUP BY ROLLUP (session, activity)")
 def _(spark, sf):
     return sensor(spark, sf).rollup("session", "activity").agg(F.count("*").alias("n"))
+
+
+# --- training and reports -----------------------------------------------------------------------
+
+
+@query("tuning_split", f"WITH {SENSOR_SQL} SELECT session, CASE WHEN substr(md5('42:' || session), 1, 8) < '26666666' THEN 'tune' ELSE 'fit' END AS part, count(*) AS n FROM sensor GROUP BY 1, 2")
+def _(spark, sf):
+    return training.tuning_split(sensor(spark, sf), "session").groupBy("session", "part").agg(F.count("*").alias("n"))
+
+
+@query("confusion_table", PRED_SQL + " SELECT activity AS true_label, " + ", ".join(f"CAST(count(*) FILTER (WHERE predicted = '{n}') AS BIGINT) AS \"{n}\"" for n in ("run", "walk", "stand", "sit/lay")) + " FROM pred GROUP BY 1")
+def _(spark, sf):
+    return training.confusion_table(predicted(spark, sf), ("run", "walk", "stand", "sit/lay"))
+
+
+@query("coverage_metrics", PRED_SQL + ", c AS (SELECT activity, count(*) AS n_rows, count(DISTINCT session) AS sessions FROM pred GROUP BY 1) SELECT activity, 'n_rows' AS metric, n_rows AS value FROM c UNION ALL SELECT activity, 'sessions', sessions FROM c")
+def _(spark, sf):
+    rows = predicted(spark, sf).groupBy("activity").agg(F.count("*").alias("n_rows"), F.count_distinct("session").alias("sessions"))
+    return training.metric_rows(rows, "activity", ("n_rows", "sessions"))
+
+
+@query("synthetic_time", RUNS_SQL + " SELECT session, run, seq, (row_number() OVER (PARTITION BY session, run ORDER BY seq) - 1) / 50.0::DOUBLE AS t FROM runs")
+def _(spark, sf):
+    return synthetic_time(timeseries.label_runs(clean(spark, sf)), key=("session", "run")).select("session", "run", "seq", "t")
+
+
+@query("experiment_history", PRED_SQL + ", a AS (SELECT dataset, count(*) AS n, round(avg(CASE WHEN activity = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred GROUP BY 1) SELECT dataset, accuracy, CASE WHEN dataset >= 3 THEN n END AS n FROM a")
+def _(spark, sf):
+    rows = evaluation.accuracy(predicted(spark, sf), "dataset").select("dataset", r("accuracy").alias("accuracy"), "n")
+    return training.evolve(rows.where("dataset < 3").drop("n"), rows.where("dataset >= 3"))
+
+
+@query("keyed_upsert", """SELECT o_custkey AS session, arg_max(o_totalprice, (o_orderkey, n)) AS seconds, max(o_orderkey) AS version FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n FROM orders)
+GROUP BY 1 HAVING NOT (max(o_orderkey) % 3 = 0 AND max(o_orderkey) % 2 = 0)""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("session"), F.col("o_totalprice").alias("seconds"), F.col("o_orderkey").alias("version"))
+    changed = F.col("version") % 3 == 0
+    return training.upsert(o.where(~changed), o.where(changed).withColumn("deleted", F.col("version") % 2 == 0), "session", "version")
+
+
+@query("forest_confusion")
+def _(spark, sf):
+    """A small weighted forest, refitted on its misses; its confusion over the sessions held out for tuning."""
+    split = training.tuning_split(_weighted(spark, sf).drop("predicted").withColumn("hour", F.col("t") / HOUR % 24), "session")
+    features = ("x", "y", "z", "hour")
+    model = training.refit_on_misses(split.where("part = 'fit'"), features, params={"numTrees": 10, "maxDepth": 4})
+    return evaluation.confusion(training.predict(model, split.where("part = 'tune'")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from strideflow.functions import guards
 from strideflow.functions import signal as S
 from strideflow.functions.features import NAMES, compute, window_features
-from strideflow.operators import decode, recap, timeseries
-from strideflow.sources import files
+from strideflow.operators import decode, recap, timeseries, training
+from strideflow.sources import files, recordings
 from strideflow.streaming import live
 
 ROW = "session long, seq long, t double, x double, y double, z double"
@@ -174,3 +174,43 @@ def test_readers_and_contract_round_trip(spark, tmp_path):
     windows = files.read_windows(spark, str(tmp_path / "out"))
     assert {(r.global_window_id, r.x[0]) for r in windows.collect()} == {("unit:default:session:1:window:0", 0.0), ("unit:default:session:1:window:1", 64.0)}
     assert spark.read.parquet(str(tmp_path / "out/session_manifest")).first().window_count == 2
+
+
+def test_named_csv_finds_the_header(spark, tmp_path):
+    (tmp_path / "p1").mkdir()
+    (tmp_path / "p1/a.csv").write_text("id,attr_time,attr_x,attr_y\n1,1000,1,2\n2,1020,3,\n")
+    (tmp_path / "b.csv").write_text('some title\n"id","attr_y","attr_time","attr_x"\n1,5,2000,4\nid,attr_y,attr_time,attr_x\n2,x,2020,4\n')
+    (tmp_path / "c.csv").write_text("no header\n1,2,3,4\n")
+    got = recordings.named_csv(spark, str(tmp_path), ("attr_time", "attr_x", "attr_y"), "attr_time").orderBy("attr_time").collect()
+    assert [(r.attr_time, r.attr_x, r.attr_y) for r in got] == [(1000, 1, 2), (2000, 4, 5)]
+    rows = recordings.synthetic_time(series(spark, [9, 9, 9], [1, 2, 3])).orderBy("seq").collect()
+    assert [r.t for r in rows] == [0, 0.02, 0.04]
+
+
+def test_forest_learns_and_the_refit_raises_missed_weights(spark):
+    rng = random.Random(3)
+    rows = [(k, label, rng.gauss(m, 0.3), rng.random(), 1.0) for k in range(200) for label, m in (("walk", 0.0), ("run", 3.0))] + [(500, None, 0.0, 0.0, 1.0), (501, "walk", None, 0.5, 1.0)]
+    frame = spark.createDataFrame(rows, "g long, activity string, a double, b double, weight double")
+    split = training.split_or_fall_back(frame.withColumn("one", F.lit(1)), ("one", "g"))
+    assert 0 < split.where("part = 'tune'").count() < 120
+    best = training.search(split, ("a", "b"), [{"numTrees": 3, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 3}], weight="weight")
+    assert len(best) == 2 and best[0][0] >= best[1][0] and best[0][0] > 0.95
+    model = training.refit_on_misses(frame, ("a", "b"), params={"numTrees": 5, "maxDepth": 3})
+    out = training.predict(model, frame.drop("activity")).first()
+    assert sorted(training.labels_of(model)) == ["run", "walk"] and sum(out.probs) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        training.fit_forest(frame.where("activity is null"), ("a", "b"))
+
+
+def test_candidates_differ_and_repeat_with_the_seed():
+    found = training.candidates(20)
+    assert found == training.candidates(20) and len({tuple(c.values()) for c in found}) == 20
+    assert len(training.candidates(99, {"maxDepth": (1, 2)})) == 2
+
+
+def test_history_takes_the_new_fields_and_upserts_delete(spark):
+    old, new = spark.createDataFrame([(1, 0.5, "x")], "run int, score double, gone string"), spark.createDataFrame([(2, "n", 0.7)], "run int, note string, score double")
+    assert [tuple(r) for r in training.evolve(old, new).orderBy("run").collect()] == [(1, None, 0.5), (2, "n", 0.7)]
+    held = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 5)], "k int, v string, ver int")
+    changes = spark.createDataFrame([(1, None, 2, True), (2, "bb", 1, False), (3, "old", 4, False), (4, None, 1, False)], "k int, v string, ver int, deleted boolean")
+    assert sorted(tuple(r) for r in training.upsert(held, changes, "k", "ver").collect()) == [(2, "bb", 1), (3, "c", 5), (4, None, 1)]
