@@ -94,6 +94,52 @@ def calibrate(p: Probs, m: dict) -> Probs:
     return where(m["pocket"] & (m["artifact"] > 1.5), {n: (1 - share) * c + share / len(p) for n, c in p.items()}, p)
 
 
+#: Cadences (steps a minute), periodicities and confidence that the pocket check asks for.
+RUN_CADENCE, RUN_LOW_CADENCE, RUN_PERIODICITY = 130.0, 95.0, 0.75
+STAIRS_CADENCE, STAIRS_PERIODICITY = 85.0, 0.45
+WALKING_CADENCE, WALKING_PERIODICITY = (90.0, 130.0), 0.55
+BURST_CADENCE, BURST_PERIODICITY, BURST_CONFIDENCE = 120.0, 0.25, 0.40
+
+
+def pocket_reason(p: Probs, raw_label: Column, raw_confidence: Column, m: dict) -> Column:
+    """Why a loose pocket's label is doubted, or ``none``. Metrics ``cadence`` and ``periodicity`` beside the usual ones."""
+    cadence, rhythm, label = m["cadence"], m["periodicity"], top(p)
+    slow_run = (cadence < RUN_LOW_CADENCE) | ((cadence < RUN_CADENCE) & (rhythm < RUN_PERIODICITY))
+    weak_stairs = ((cadence > 0) & (cadence < STAIRS_CADENCE)) | (rhythm < STAIRS_PERIODICITY)
+    walking = cadence.between(*WALKING_CADENCE) & (rhythm >= WALKING_PERIODICITY)
+    burst = raw_label.isin(*LOCOMOTION) & (raw_confidence >= BURST_CONFIDENCE) & (cadence >= BURST_CADENCE) & (rhythm >= BURST_PERIODICITY)
+    why = (
+        F.when((label == "run") & slow_run, "run-to-walk-low-cadence-artifact").when((label == "stairs") & weak_stairs, "stairs-to-walk-low-periodicity-artifact")
+        .when((label == "stairs") & walking, "stairs-to-walk-walking-cadence").when((label == "transitions") & burst, F.concat(F.lit("transitions-to-"), raw_label, F.lit("-locomotion-burst")))
+    )
+    return F.coalesce(F.when(m["pocket"] & (m["artifact"] > 1.5), why), F.lit("none"))
+
+
+def pocket_sanity(p: Probs, raw_label: Column, raw_confidence: Column, m: dict) -> Probs:
+    """Where ``pocket_reason`` doubts the label, up to 0.35 of its mass goes to walk; that of transitions to the raw label."""
+    doubted = pocket_reason(p, raw_label, raw_confidence, m) != "none"
+    label = top(p)
+    moved = F.least(F.greatest(*p.values()) * 0.8, F.lit(0.35))
+    taker = F.when(label == "transitions", raw_label).otherwise("walk")
+    new = {n: c - F.when(label == n, moved).otherwise(0.0) + F.when(taker == n, moved).otherwise(0.0) for n, c in p.items()}
+    return where(doubted, {n: c / total(new) for n, c in new.items()}, p)
+
+
+def low_motion_reset(fired: Column, posterior: Column, labels: tuple[str, ...]) -> Column:
+    """Start the decoder anew: the low-motion guard fired and the last posterior is missing, bad or sure (0.45) of locomotion."""
+    known = usable_posterior(posterior, len(labels))
+    first = F.array_position(known, F.array_max(known)).cast("int")
+    moving = F.element_at(F.array(*map(F.lit, labels)), first).isin(*LOCOMOTION) & (F.array_max(known) >= 0.45)
+    return fired & (known.isNull() | F.coalesce(moving, F.lit(False)))
+
+
+def usable_posterior(posterior: Column, size: int) -> Column:
+    """The posterior with sum 1; null where its length is wrong, a part is null or not finite, or nothing is left to share."""
+    bad = F.exists(posterior, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    mass = F.aggregate(posterior, F.lit(0.0), lambda a, x: a + x)
+    return F.when((F.size(posterior) == size) & ~bad & (mass > 0), F.transform(posterior, lambda x: x / mass))
+
+
 def artifact_score(jerk: Column, jerk_p90: Column, dwt_ratio: Column, crest: Column, entropy: Column, periodicity: Column) -> Column:
     """Six clipped terms, weighted; never negative."""
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(4.0), c))
@@ -101,6 +147,13 @@ def artifact_score(jerk: Column, jerk_p90: Column, dwt_ratio: Column, crest: Col
     return F.greatest(F.lit(0.0), sum((w * clip(c) for w, c in parts), F.lit(0.0)))
 
 
+def adaptive_score(base: Column, z: dict[str, Column], enough: Column) -> Column:
+    """With enough history: 0.35 of the base score and 0.65 of the weighted rises over the session's own past; else the base."""
+    weights = {"jerk": 0.30, "hf": 0.30, "entropy": 0.15, "gravity": 0.15, "jitter": 0.10, "periodicity": -0.35}
+    rise = sum((w * F.greatest(F.lit(0.0), z[n]) for n, w in weights.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.when(enough, 0.35 * base + 0.65 * F.greatest(F.lit(0.0), rise)).otherwise(base))
+
+
 #: In this order, before decoding.
 PRE_DECODE = (low_motion, stairs_static, stairs_moving, smooth_walk, stairs_hallucination)
 

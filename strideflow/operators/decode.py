@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,21 @@ def decode(rows: DataFrame, init: list[float], trans: list[list[float]], probs:
     return folded.withColumn("label_index", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
 
 
+def reset_runs(rows: DataFrame, mode: str = "session", gap: float = 0.0, key: str = "session", start: str = "start", end: str = "end") -> DataFrame:
+    """``gap_ms`` (a positive gap to the window before, else null) and ``run``, a number that grows where the decoder starts anew.
+
+    Modes: per-window, per-gap (a gap over ``gap`` seconds; none where that is 0) and session; unknown ones count as session.
+    Decode by (key, run). Windows are taken in order of (start, seq).
+    """
+    mode = mode.strip().lower()
+    order = Window.partitionBy(key).orderBy(start, "seq")
+    space = F.col(start) - F.lag(end).over(order)
+    rows = rows.withColumn("gap_ms", F.when(space > 0, space * 1000))
+    anew = F.lit(mode == "per-window") | (F.coalesce(F.col("gap_ms") > gap * 1000, F.lit(False)) & F.lit(mode == "per-gap" and gap > 0))
+    first = F.row_number().over(order) == 1
+    return rows.withColumn("_new", (anew & ~first).cast("long")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def top_k(probs: dict[str, Column], k: int = 3) -> Column:
     """The k likeliest labels with their probabilities; equals by the later label first."""
     pairs = F.array(*[F.struct(c.alias("p"), F.lit(i).alias("i"), F.lit(n).alias("label")) for i, (n, c) in enumerate(probs.items())])

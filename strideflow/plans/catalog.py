@@ -493,6 +493,41 @@ def _(spark, sf):
     return rows.select("session", "seq", *[r(n).alias(n) for n in names])
 
 
+DOUBT_SQL = f"""WITH {SCORED_SQL}, k AS (SELECT *, dom * 60 AS cadence, 2 * (p3 + p4) AS rhythm, artifact / 4 AS sure, greatest(p0, p1, p2, p3, p4, p5, p6) AS top FROM scored),
+g AS (SELECT *, CASE WHEN p0 = top THEN 'walk' WHEN p1 = top THEN 'run' WHEN p2 = top THEN 'stairs' WHEN p3 = top THEN 'sit/lay' WHEN p4 = top THEN 'stand' WHEN p5 = top THEN 'transitions' END AS label FROM k),
+d AS (SELECT *, CASE WHEN NOT pocket OR artifact <= 1.5 THEN 'none'
+  WHEN label = 'run' AND (cadence < 95 OR cadence < 130 AND rhythm < 0.75) THEN 'run-to-walk-low-cadence-artifact'
+  WHEN label = 'stairs' AND (cadence > 0 AND cadence < 85 OR rhythm < 0.45) THEN 'stairs-to-walk-low-periodicity-artifact'
+  WHEN label = 'stairs' AND cadence BETWEEN 90 AND 130 AND rhythm >= 0.55 THEN 'stairs-to-walk-walking-cadence'
+  WHEN label = 'transitions' AND activity IN ('walk', 'run', 'stairs') AND sure >= 0.4 AND cadence >= 120 AND rhythm >= 0.25 THEN 'transitions-to-' || activity || '-locomotion-burst' ELSE 'none' END AS reason FROM g),
+t AS (SELECT *, least(0.8 * top, 0.35) AS moved, CASE WHEN reason = 'none' THEN '' WHEN label = 'transitions' THEN activity ELSE 'walk' END AS taker, CASE WHEN reason = 'none' THEN '' ELSE label END AS giver FROM d)
+SELECT session, seq, reason, """ + ", ".join(f"round(p{k} - CASE WHEN giver = '{n}' THEN moved ELSE 0 END + CASE WHEN taker = '{n}' THEN moved ELSE 0 END, 6) AS p{k}" for k, n in enumerate(LABELS)) + " FROM t"
+
+
+@query("guard_pocket_sanity", DOUBT_SQL)
+def _(spark, sf):
+    m = metrics() | {"cadence": F.col("dom") * 60, "periodicity": 2 * (F.col("p3") + F.col("p4"))}
+    said, sure, p = F.col("activity"), F.col("artifact") / 4, probabilities()
+    out = guards.pocket_sanity(p, said, sure, m)
+    return scored(spark, sf).select("session", "seq", guards.pocket_reason(p, said, sure, m).alias("reason"), *[r(c).alias(f"p{k}") for k, c in enumerate(out.values())])
+
+
+@query("adaptive_artifact", f"WITH {SCORED_SQL}" + """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) - 1 AS held FROM scored)
+SELECT session, seq, round(greatest(0, CASE WHEN held >= 20 THEN 0.35 * artifact + 0.65 * greatest(0, 0.30 * greatest(0, jerk - 0.5) + 0.30 * greatest(0, energy - 1) + 0.15 * greatest(0, p0 - 0.1)
+  + 0.15 * greatest(0, p1 - 0.1) + 0.10 * greatest(0, p2 - 0.1) - 0.35 * greatest(0, dom - 2)) ELSE artifact END), 6) AS score FROM n""")
+def _(spark, sf):
+    held = F.row_number().over(Window.partitionBy("session").orderBy("t", "seq")) - 1
+    z = {"jerk": F.col("jerk") - 0.5, "hf": F.col("energy") - 1, "entropy": F.col("p0") - 0.1, "gravity": F.col("p1") - 0.1, "jitter": F.col("p2") - 0.1, "periodicity": F.col("dom") - 2}
+    return scored(spark, sf).select("session", "seq", r(guards.adaptive_score(F.col("artifact"), z, held >= 20)).alias("score"))
+
+
+@query("decoder_resets", CLEAN_SQL + """, g AS (SELECT session, seq, t, t - lag(t + 3600) OVER w AS space, row_number() OVER w AS n FROM clean WINDOW w AS (PARTITION BY session ORDER BY t, seq))
+SELECT session, seq, round(CASE WHEN space > 0 THEN space * 1000 END, 3) AS gap_ms, CAST(sum(CASE WHEN n > 1 AND space > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g""")
+def _(spark, sf):
+    rows = clean(spark, sf).select("session", "seq", F.col("t").alias("start"), (F.col("t") + HOUR).alias("end"))
+    return decode.reset_runs(rows, "per-gap", 12 * HOUR).select("session", "seq", r("gap_ms", 3).alias("gap_ms"), "run")
+
+
 @query("top3", f"WITH {SCORED_SQL}, u AS (" + " UNION ALL ".join(f"SELECT session, seq, {k} AS i, '{n}' AS label, p{k} AS p FROM scored" for k, n in enumerate(LABELS)) + "), n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY p DESC, i DESC) AS rank FROM u) SELECT session, seq, rank, label, round(p, 6) AS p FROM n WHERE rank <= 3")
 def _(spark, sf):
     rows = scored(spark, sf).select("session", "seq", F.posexplode(decode.top_k(probabilities())).alias("rank", "s"))

@@ -93,6 +93,40 @@ def test_guards_keep_mass_and_idle_when_quiet(spark):
     assert frame.where("energy <= 8").where(calm["stairs"] != p["stairs"]).count() == 0
 
 
+LABELS = ("walk", "run", "stairs", "sit/lay", "stand", "transitions")
+
+
+@pytest.mark.parametrize(("p", "raw", "sure", "cadence", "rhythm", "artifact", "top", "reason"), [
+    ((0.20, 0.65, 0.05, 0.05, 0.05, 0.0), "run", 0.6, 108.0, 0.30, 1.8, "walk", "run-to-walk-low-cadence-artifact"),
+    ((0.0, 0.20, 0.08, 0.0, 0.0, 0.72), "run", 0.55, 182.0, 0.5, 1.8, "run", "transitions-to-run-locomotion-burst"),
+    ((0.28, 0.0, 0.72, 0.0, 0.0, 0.0), "stairs", 0.7, 110.0, 0.65, 1.9, "walk", "stairs-to-walk-walking-cadence"),
+    ((0.20, 0.65, 0.05, 0.05, 0.05, 0.0), "run", 0.6, 108.0, 0.30, 1.5, "run", "none"),
+    ((0.0, 0.20, 0.08, 0.0, 0.0, 0.72), None, None, 182.0, 0.5, 1.8, "transitions", "none"),
+])
+def test_pocket_sanity(spark, p, raw, sure, cadence, rhythm, artifact, top, reason):
+    probs, m = dict(zip(LABELS, map(F.lit, p), strict=True)), {"pocket": F.lit(True), "artifact": F.lit(artifact), "cadence": F.lit(cadence), "periodicity": F.lit(rhythm)}
+    raw, sure = F.lit(raw).cast("string"), F.lit(sure).cast("double")
+    out = guards.pocket_sanity(probs, raw, sure, m)
+    row = spark.range(1).select(guards.pocket_reason(probs, raw, sure, m).alias("reason"), guards.top(out).alias("top"), sum(out.values(), F.lit(0.0)).alias("mass")).first()
+    assert (row.reason, row.top) == (reason, top) and row.mass == pytest.approx(1)
+
+
+def test_low_motion_resets_the_decoder_unless_it_was_still(spark):
+    cases = [(True, None, True), (True, [0.1, 0.2], True), (True, [0.9, 0, 0, 0.1, 0, 0], True), (True, [0.1, 0, 0, 0.9, 0, 0], False), (True, [0.4, 0.3, 0.3, 0.0, 0.0, 0.0], False),
+             (True, [float("nan")] + [0.2] * 5, True), (True, [0.0] * 6, True), (False, None, False)]
+    rows = spark.createDataFrame([(f, None if p is None else [float(x) for x in p], w) for f, p, w in cases], "fired boolean, p array<double>, want boolean")
+    for r in rows.select("p", "want", guards.low_motion_reset(F.col("fired"), F.col("p"), LABELS).alias("got")).collect():
+        assert r.got == r.want, r.p
+
+
+def test_reset_modes(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, 2.0), (1, 1, 1.0, 3.0), (1, 2, 9.0, 11.0), (2, 0, 5.0, 7.0)], "session long, seq long, start double, end double")
+    runs = lambda *args: [r.run for r in decode.reset_runs(rows, *args).orderBy("session", "seq").collect()]
+    assert runs("per-gap", 5.0) == [0, 0, 1, 0] and runs("per-gap", 6.0) == [0, 0, 0, 0] and runs("per-gap") == [0, 0, 0, 0]
+    assert runs(" Per-Window ") == [0, 1, 2, 0] and runs("other", 5.0) == [0, 0, 0, 0]
+    assert [r.gap_ms for r in decode.reset_runs(rows).orderBy("session", "seq").collect()] == [None, None, 6000.0, None]
+
+
 def test_decoding_against_numpy(spark):
     rng = np.random.default_rng(3)
     init, trans = np.array([0.2, 0.5, 0.3]), rng.dirichlet(np.ones(3), 3)
