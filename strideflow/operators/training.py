@@ -10,10 +10,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.operators import evaluation
+from strideflow.operators import decode, evaluation
 
 #: The forest's base parameters.
 BASE = {"numTrees": 400, "maxDepth": 6, "subsamplingRate": 0.9, "seed": 42}
@@ -73,6 +73,49 @@ def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def fit_two_stage(rows: DataFrame, features: Sequence[str], groups: dict[str, list[str]], label: str = "activity", weight: str | None = None, params: dict | None = None) -> dict[str, PipelineModel]:
+    """A forest over coarse groups (key ``""``) and one inside each group that has two labels to tell apart.
+
+    ``weight`` serves the inner forests; the coarse one weighs its groups by class. Rows of labels outside all groups are left out.
+    """
+    coarse_of = {n: g for g, names in groups.items() for n in names}
+    known = rows.where(F.col(label).isin(*coarse_of)).replace(coarse_of, subset=[label])
+    weights = F.broadcast(evaluation.class_weights(known, label).select(label, F.col("weight").alias("_coarse_weight")))  # one row per group
+    models = {"": fit_forest(known.join(weights, label), features, label, "_coarse_weight", params)}
+    for group, names in groups.items():
+        own = rows.where(F.col(label).isin(*names))
+        low, high = own.agg(F.min(label), F.max(label)).first()
+        if low != high:
+            models[group] = fit_forest(own, features, label, weight, params)
+    return models
+
+
+def predict_two_stage(models: dict[str, PipelineModel], rows: DataFrame, groups: dict[str, list[str]], specialist: PipelineModel | None = None) -> DataFrame:
+    """The rows with ``predicted`` and ``probs`` in the order of the groups' labels: coarse mass times the inner forest's share.
+
+    ``specialist`` (a forest over the static labels) then refines those. A label that a forest never saw gets 0 from it.
+    """
+    names = [n for own in groups.values() for n in own]
+    views, out = models | ({"specialist of static labels": specialist} if specialist else {}), rows
+    for k, model in enumerate(views.values()):
+        out = predict(model, out).drop("predicted").withColumnRenamed("probs", f"_p{k}")
+    views = {view: (f"_p{k}", labels_of(model)) for k, (view, model) in enumerate(views.items())}
+
+    def share(view: str, name: str) -> Column:
+        column, seen = views[view]
+        return F.col(column)[seen.index(name)] if name in seen else F.lit(0.0)
+
+    fine = {g: {n: share(g, n) for n in own} for g, own in groups.items() if g in models}
+    probs = decode.hierarchical({g: share("", g) for g in groups}, fine, groups)
+    out = out.withColumns({f"_q{k}": probs[n] for k, n in enumerate(names)})
+    probs = {n: F.col(f"_q{k}") for k, n in enumerate(names)}
+    if specialist:
+        probs = decode.refine_static(probs, {n: share("specialist of static labels", n) for n in labels_of(specialist)})
+    out = out.withColumn("probs", F.array(*probs.values()))
+    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("probs", F.array_max("probs")).cast("int"))
+    return out.select(*rows.columns, best.alias("predicted"), "probs")
+
+
 def refit_on_misses(rows: DataFrame, features: Sequence[str], label: str = "activity", weight: str = "weight", factor: float = 1.75, params: dict | None = None) -> PipelineModel:
     """Fit, multiply the weights of the rows that it misses, and fit once more."""
     first = predict(fit_forest(rows, features, label, weight, params), rows)

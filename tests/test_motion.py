@@ -236,6 +236,21 @@ def test_forest_learns_and_the_refit_raises_missed_weights(spark):
         training.fit_forest(frame.where("activity is null"), ("a", "b"))
 
 
+def test_two_stage_forests(spark):
+    rng = random.Random(5)
+    groups = {"locomotion": ["walk", "run"], "static": ["stand", "sit/lay"], "transition": ["transitions"]}
+    means = {"walk": (0, 5), "run": (3, 5), "stand": (0, -5), "sit/lay": (3, -5), "transitions": (1.5, 20), "unknown": (0, 0)}
+    rows = [(label, rng.gauss(a, 0.3), rng.gauss(b, 0.3)) for label, (a, b) in means.items() for _ in range(60)]
+    frame = spark.createDataFrame(rows, "activity string, a double, b double")
+    small = {"numTrees": 5, "maxDepth": 3}
+    models = training.fit_two_stage(frame, ("a", "b"), groups, params=small)
+    assert sorted(models) == ["", "locomotion", "static"]
+    for specialist in (None, training.fit_forest(frame.where("activity in ('stand', 'sit/lay')"), ("a", "b"), params=small)):
+        out = training.predict_two_stage(models, frame.where("activity <> 'unknown'"), groups, specialist).collect()
+        assert len(out) == 300 and sum(r.predicted == r.activity for r in out) > 290
+        assert all(sum(r.probs) == pytest.approx(1) and len(r.probs) == 5 for r in out)
+
+
 def test_candidates_differ_and_repeat_with_the_seed():
     found = training.candidates(20)
     assert found == training.candidates(20) and len({tuple(c.values()) for c in found}) == 20
