@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.functions.guards import LOCOMOTION, MOVING, STATIC
+
 MOST_SAMPLES, RING, WINDOW_SECONDS, POINTS, MIN_SHARE = 512, 6000, 2.56, 128, 0.8
+LOW_ENERGY, SURE_OF_MOTION = 0.1, 0.45
 BATCH = "messageId BIGINT, sessionId STRING, deviceId STRING, placementLabel STRING, source STRING, samples ARRAY<STRUCT<timestampMs: DOUBLE, acc: STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>>>"
 SNAPSHOT = "session STRING, message_id BIGINT, status STRING, n INT, window_end_ns BIGINT, energy DOUBLE, dom_freq_hz DOUBLE, label STRING, posterior ARRAY<DOUBLE>"
-STATE = "ns ARRAY<BIGINT>, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, posterior ARRAY<DOUBLE>, last_id BIGINT"
+STATE = "ns ARRAY<BIGINT>, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, posterior ARRAY<DOUBLE>, last_id BIGINT, window_end BIGINT"
 
 
 def parse(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -73,13 +76,24 @@ def latest_window(ns: np.ndarray, xyz: np.ndarray) -> tuple[str, np.ndarray | No
 
 
 class Scorer:
-    """Message by message: ring buffer, window, features, emission, causal decoding. ``emit`` maps features to probabilities."""
+    """Message by message: ring buffer, window, features, emission, causal decoding. ``emit`` maps features to probabilities.
+
+    Under low energy, labels of motion get no mass, and decoding starts anew where it was sure of locomotion. It also does
+    where the window begins more than ``boundary_gap`` seconds after the one before ended (0: never).
+    """
 
-    def __init__(self, labels: tuple[str, ...], emit, trans: np.ndarray | None = None):
-        self.labels, self.emit = labels, emit
+    def __init__(self, labels: tuple[str, ...], emit, trans: np.ndarray | None = None, boundary_gap: float = 0.0):
+        self.labels, self.emit, self.boundary_gap = labels, emit, boundary_gap
         k = len(labels)
         self.trans = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)) if trans is None else trans
 
+    def still(self, emission: np.ndarray) -> np.ndarray:
+        """Without the labels of motion; with nothing left, static labels share evenly."""
+        kept = np.where(np.isin(self.labels, MOVING), 0.0, emission)
+        if kept.sum() <= 0:
+            kept = np.isin(self.labels, STATIC).astype(float)
+        return kept / kept.sum() if kept.sum() > 0 else emission
+
     def message(self, state: dict, session: str, message_id: int, ns: np.ndarray, xyz: np.ndarray) -> dict:
         from strideflow.functions.features import compute
 
@@ -91,7 +105,16 @@ class Scorer:
         if window is None:
             return out
         f = {k: float(v[0]) for k, v in compute(window[None]).items()}
-        emission = np.clip(self.emit(f), 1e-12, 1)
+        emission, end = np.asarray(self.emit(f), float), out["window_end_ns"]
+        held, left = state["posterior"], state["window_end"]
+        if f["body_mag_energy"] < LOW_ENERGY:
+            emission = self.still(emission)
+            if held is not None and self.labels[int(held.argmax())] in LOCOMOTION and held.max() >= SURE_OF_MOTION:
+                state["posterior"] = None
+        if self.boundary_gap > 0 and left is not None and end - int(WINDOW_SECONDS * 1e9) - left > self.boundary_gap * 1e9:
+            state["posterior"] = None
+        state["window_end"] = end
+        emission = np.clip(emission, 1e-12, 1)
         prior = np.full(len(self.labels), 1 / len(self.labels)) if state["posterior"] is None else state["posterior"] @ self.trans
         p = prior * emission / emission.sum()
         p = p / p.sum() if p.sum() > 0 else np.full(len(p), 1 / len(p))
@@ -112,7 +135,7 @@ def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def empty() -> dict:
-        return {"ns": np.zeros(0, np.int64), "xyz": np.zeros((0, 3)), "posterior": None, "last_id": -1}
+        return {"ns": np.zeros(0, np.int64), "xyz": np.zeros((0, 3)), "posterior": None, "last_id": -1, "window_end": None}
 
     def score(state: dict, session: str, frame: pd.DataFrame) -> list[dict]:
         return [scorer.message(state, session, int(m), g["ns"].to_numpy(np.int64), g[["x", "y", "z"]].to_numpy(float)) for m, g in frame.sort_values(["message_id", "seq"]).groupby("message_id")]
@@ -124,11 +147,11 @@ def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = empty()
         if held.exists:
-            ns, x, y, z, posterior, last = held.get
-            state = {"ns": np.array(ns, np.int64), "xyz": np.array([x, y, z], float).T.reshape(-1, 3), "posterior": np.array(posterior) if posterior else None, "last_id": last}
+            ns, x, y, z, posterior, last, end = held.get
+            state = {"ns": np.array(ns, np.int64), "xyz": np.array([x, y, z], float).T.reshape(-1, 3), "posterior": np.array(posterior) if posterior else None, "last_id": last, "window_end": end}
         whole = pd.concat(list(frames))
         out = score(state, key[0], whole)
-        held.update((state["ns"].tolist(), *[state["xyz"][:, k].tolist() for k in range(3)], [] if state["posterior"] is None else state["posterior"].tolist(), state["last_id"]))
+        held.update((state["ns"].tolist(), *[state["xyz"][:, k].tolist() for k in range(3)], [] if state["posterior"] is None else state["posterior"].tolist(), state["last_id"], state["window_end"]))
         yield pd.DataFrame(out, columns=columns)
 
     return rows.groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.NoTimeout)

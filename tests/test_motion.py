@@ -186,6 +186,32 @@ def test_ingest_reasons_and_live_scores_agree_between_batch_and_stream(spark, tm
     assert live.latest(spark.table("snapshots")).count() == 2
 
 
+def test_live_decoding_starts_anew_after_motion_and_gaps():
+    def played(gap, *parts, labels=("walk", "run", "stand"), emit=live.energy_emission, trans=None):
+        scorer = live.Scorer(labels, emit, trans, boundary_gap=gap)
+        state, out = {"ns": np.zeros(0, np.int64), "xyz": np.zeros((0, 3)), "posterior": None, "last_id": -1, "window_end": None}, []
+        for k, (begin, swing) in enumerate(parts):
+            t = begin + np.arange(128) * 0.02
+            xyz = np.stack([0 * t, 0 * t, 9.8 + swing * np.sin(2 * np.pi * 2 * t)], axis=1)
+            out.append(scorer.message(state, "s", k, (t * 1e9).astype(np.int64), xyz))
+        return out
+
+    # walking leads to standing here, so only a fresh start leaves both still labels alike
+    lean = np.array([[0.05, 0.9, 0.05], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]])
+    told = {"labels": ("walk", "stand", "sit/lay"), "emit": lambda f: np.array([0.8, 0.1, 0.1]), "trans": lean}
+    walk, still, later = played(0, (0, 2.5), (6, 0.0), (9, 0.0), **told)
+    assert walk["label"] == "walk" and still["posterior"] == pytest.approx([0, 0.5, 0.5], abs=1e-9)
+    assert later["posterior"] == pytest.approx([0, 0.5, 0.5], abs=1e-9)
+    assert played(0, (0, 2.5), **(told | {"emit": lambda f: np.array([0.0, 0.9, 0.1])}))[0]["label"] == "stand"
+    kept = played(0, (0, 2.5), (6, 0.0), **(told | {"emit": lambda f: np.array([0.2, 0.4, 0.4])}))[1]["posterior"]
+    before = np.array([0.2, 0.4, 0.4]) @ lean
+    assert kept == pytest.approx([0, *(before[1:] / before[1:].sum())], abs=1e-9)
+    again = played(0, (50, 2.0))[0]["posterior"]
+    assert played(5, (0, 2.5), (50, 2.0))[1]["posterior"] == pytest.approx(again)
+    assert played(0, (0, 2.5), (50, 2.0))[1]["posterior"] != pytest.approx(again, abs=1e-9)
+    assert played(60, (0, 2.5), (50, 2.0))[1]["posterior"] != pytest.approx(again, abs=1e-9)
+
+
 def test_readers_and_contract_round_trip(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w/data_7_x.txt").write_text("7,Walking,100,1.0,2.0,3.0;\n\nbad line\n7,Walking,x,1,2,3;\n7,Jogging,200,1,2,3;\n")
