@@ -1,20 +1,18 @@
 """Benchmark decontamination under edit distance.
 
-A word sequence is embedded by a CGK random walk: step j writes the current token and moves on by a random bit of that
-token, so sequences a few edits apart fall back into step and their embeddings agree in most places. Windows of item
-size over every document, and windows of every item, are embedded; bands of sampled places of the embedding are the
-LSH keys, and independent walks with several bands each are repeated until the target recall holds. Every candidate is
-then aligned exactly: an item matches where some stretch of the document is within ``max_edit`` (share of the item's
-words) of it in edit distance.
-
-Tokens are pairs of neighbouring words (letters, digits and bytes over 127; A-Z lower-cased). An item is cut into
-windows of 4, 8, 16 or 32 words, the largest size that it has, half overlapping, so edits in one part leave others
-intact. The benchmark is taken in blocks of at most ``BLOCK_BYTES``, each sent to all tasks; documents stay where they
-are, and there is no shuffle.
-
-Null or empty texts match nothing, nor do items under five words. A document with several places of one item gives the
-best one (fewest edits, then first). Repeated rows give equal rows; empty tables give no rows; other columns are
-ignored.
+An item of n words may differ in k = int(``max_edit`` * n) words (swapped, lost or added). It is cut into k + 1 pieces of
+neighbouring words: k edits leave at least one piece as it stands, so looking up every run of words of a piece's length
+in a table of pieces finds every place that can match. Of the k + 1 pieces, laid in a ring, one begins a chain in which
+any l pieces hold fewer than l edits (pigeonring principle): places where the pieces that follow don't hold enough words
+are dropped. Every candidate left is aligned exactly: an item matches where some stretch of the document is within
+``max_edit`` (share of the item's words) of it in edit distance. No match is missed.
+
+Words are letters, digits and bytes over 127; A-Z lower-cased. Items under five words allow no edit and match where they
+stand verbatim. The benchmark is taken in blocks of at most ``BLOCK_BYTES``, each sent to all tasks; documents stay where
+they are, and there is no shuffle.
+
+Null or empty texts match nothing. A document with several places of one item gives the best one (fewest edits, then
+first). Repeated rows give equal rows; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, mix, sequence_hashes, slices, word_hashes, words_of
+from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, sequence_hashes, slices, word_hashes, words_of
 
-SIZES, SAMPLES, FEWEST_WORDS, MAX_EDIT, BLOCK_BYTES = (32, 16, 8, 4), 4, 5, 0.2, 4 << 20
-PIECE = 1 << 15
-
-
-def bands_for(recall: float = 0.95, agree: float = 0.72) -> int:
-    """Bands that find one window whose embedding agrees in this share of places, with this probability."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - agree**SAMPLES)))
+MAX_EDIT, BLOCK_BYTES = 0.2, 4 << 20
+#: Pieces of a chain, words compared after the first, and candidates compared at once.
+CHAIN, TAIL, AT_ONCE = 4, 16, 1 << 16
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,41 +38,6 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64), rows
 
 
-class Embedding:
-    """Keys of all bands for windows that begin at given places of a token array."""
-
-    def __init__(self, bands: int, walks: int = 2, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.walks = []
-        for w in range(walks):
-            share = bands // walks + (w < bands % walks)
-            places = {c: [np.sort(rng.choice(c - 1, min(SAMPLES, c - 1), replace=False)) for _ in range(share)] for c in SIZES}
-            self.walks.append((np.uint64(rng.integers(1 << 62)), places))
-
-    def keys(self, tokens: np.ndarray, start: np.ndarray, sizes: tuple[int, ...]) -> dict[int, list[np.ndarray]]:
-        """For each window size: one array of keys per band. Places past the array's end hold whatever stands there last."""
-        out: dict[int, list[np.ndarray]] = {c: [] for c in sizes}
-        for w, (seed, places) in enumerate(self.walks):
-            bits = mix(tokens ^ seed)
-            at, live = start.copy(), {c: [np.full(len(start), c * 1000 + w * 100 + b, np.uint64) for b in range(len(places[c]))] for c in sizes}
-            wanted: dict[int, list[np.ndarray]] = {}
-            for c in sizes:
-                for b, chosen in enumerate(places[c]):
-                    for j in chosen.tolist():
-                        wanted.setdefault(j, []).append(live[c][b])
-            for j in range(max(wanted) + 1):
-                np.minimum(at, len(tokens) - 1, out=at)
-                if j in wanted:
-                    here = tokens[at]
-                    for key in wanted[j]:
-                        key *= np.uint64(0x9FB21C651E98DF25)
-                        key ^= here
-                at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(at.dtype)
-            for c in sizes:
-                out[c] += [k * np.uint64(0xD6E8FEB86659FD93) for k in live[c]]
-        return out
-
-
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     """Fewest word edits between the item and any part of the stretch; that part's start and end."""
     n = len(stretch)
@@ -100,68 +59,73 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """One block of the benchmark: its windows' keys, and its words for the exact check."""
+    """One block of the benchmark: its pieces' hashes, and its words for the exact check."""
 
-    def __init__(self, ids: list, texts: pa.Array, embedding: Embedding, max_edit: float = MAX_EDIT):
+    def __init__(self, ids: list, texts: pa.Array, max_edit: float = MAX_EDIT):
+        if not 0 <= max_edit < 1:
+            raise ValueError("max_edit must be at least 0 and less than 1")
         words, rows = _words(texts)
-        self.max_edit, self.items, windows = max_edit, [], {}
-        for item, a, b in zip(ids, rows[:-1], rows[1:], strict=True):
-            n = int(b - a)
-            if n < FEWEST_WORDS:
+        self.max_edit, self.items, pieces = max_edit, [], {}
+        for item, a, b in zip(ids, rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            n = b - a
+            if not n:
                 continue
-            size = next(c for c in SIZES if c <= n)
-            spots = sorted({*range(0, n - size, size // 2), n - size})
-            windows.setdefault(size, []).extend((len(self.items), spot, words[a + spot : a + spot + size]) for spot in spots)
+            count = int(max_edit * n) + 1
+            cuts = [n * k // count for k in range(count + 1)]
+            for k in range(count):
+                last = min(k + CHAIN, count)
+                tail = min(cuts[last] - cuts[k + 1], TAIL)
+                pieces.setdefault(cuts[k + 1] - cuts[k], []).append((len(self.items), cuts[k], a + cuts[k], tail, max(0, tail - (last - k - 1))))
             self.items.append((item, words[a:b]))
-        self.sizes = tuple(windows)
-        self.tables: dict[int, list[tuple]] = {}
-        for size, own in windows.items():
-            tokens = np.concatenate([sequence_hashes(w, 2) for _, _, w in own])
-            keys = embedding.keys(tokens, np.arange(len(own)) * (size - 1), (size,))[size]
-            self.tables[size] = []
-            for k in keys:
-                order = np.argsort(k, kind="stable")
-                near = np.zeros(1 << 20, bool)
-                near[k >> np.uint64(44)] = True
-                self.tables[size].append((near, k[order], order))
-            windows[size] = own
-        self.windows = {size: [(i, s) for i, s, _ in own] for size, own in windows.items()}
-        self.embedding = embedding
-
-    def candidates(self, words: np.ndarray, rows: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, place of the item's first word in the word array; it may lie before the row)."""
-        found: set[tuple[int, int, int]] = set()
-        if len(words) < 2 or not self.sizes:
-            return found
-        tokens = sequence_hashes(words, 2)
-        stop = np.repeat(rows[1:], np.diff(rows))
-        for first in range(0, len(tokens), PIECE):
-            start = np.arange(first, min(first + PIECE, len(tokens)))
-            room = stop[start] - start
-            local = tokens[first : first + PIECE + SIZES[0]]
-            keys = self.embedding.keys(local, start - first, self.sizes)
-            for size in self.sizes:
-                whole = room >= size
-                for key, (near, table, order) in zip(keys[size], self.tables[size], strict=True):
-                    maybe = np.flatnonzero(near[key >> np.uint64(44)] & whole)
-                    if not len(maybe):
-                        continue
-                    low, high = np.searchsorted(table, key[maybe], "left"), np.searchsorted(table, key[maybe], "right")
-                    for p, a, b in zip(start[maybe].tolist(), low.tolist(), high.tolist(), strict=True):
-                        for x in range(a, b):
-                            item, spot = self.windows[size][order[x]]
-                            found.add((int(np.searchsorted(rows, p, "right")) - 1, item, p - spot))
-        return found
+        self.tables: dict[int, tuple] = {}
+        padded = np.concatenate([words, np.zeros(TAIL, np.uint64)])
+        for size, own in pieces.items():
+            item, spot, at, tail, needed = np.array(own, np.int64).T
+            keys = sequence_hashes(words, size)[at]
+            order = np.argsort(keys, kind="stable")
+            near = np.zeros(1 << 20, bool)
+            near[keys >> np.uint64(44)] = True
+            after = padded[at[:, None] + size + np.arange(TAIL)]
+            self.tables[size] = (near, keys[order], *[x[order] for x in (item, spot, after, tail, needed)])
+
+    def candidates(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+        """Sorted (row, item, place of the item's first word in the word array; it may lie before the row)."""
+        found = [np.zeros((0, 3), np.int64)]
+        drift = CHAIN - 1
+        around = np.concatenate([np.zeros(drift, np.uint64), words, np.zeros(TAIL + drift, np.uint64)])
+        row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        for size, (near, table, items, spots, after, tails, needed) in self.tables.items():
+            key = sequence_hashes(words, size)
+            start = np.flatnonzero(near[key >> np.uint64(44)])
+            start = start[rows[row_of[start] + 1] - start >= size]
+            low, high = np.searchsorted(table, key[start], "left"), np.searchsorted(table, key[start], "right")
+            start, low, high = start[high > low], low[high > low], high[high > low]
+            ends = np.cumsum(high - low)
+            total = int(ends[-1]) if len(ends) else 0
+            for first in range(0, total, AT_ONCE):
+                pair = np.arange(first, min(first + AT_ONCE, total))
+                hit = np.searchsorted(ends, pair, "right")
+                piece, at = high[hit] - (ends[hit] - pair), start[hit]
+                same = np.zeros((len(pair), TAIL), bool)
+                ahead = at[:, None] + size + np.arange(TAIL)
+                for d in range(2 * drift + 1):
+                    same |= around[np.minimum(ahead + d, len(around) - 1)] == after[piece]
+                kept = (same & (np.arange(TAIL) < tails[piece][:, None])).sum(1) >= needed[piece]
+                piece, at = piece[kept], at[kept]
+                found.append(np.stack([row_of[at], items[piece], at - spots[piece]], axis=1))
+        return [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()]
 
     def matches(self, texts: pa.Array) -> list[tuple[int, object, int, int, int]]:
         """(row, item id, first word, end, edits) of the best place of each item in each text."""
         words, rows = _words(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, place in sorted(self.candidates(words, rows)):
+        for row, item, place in self.candidates(words, rows):
+            if (row, item) in best and not best[row, item][0]:
+                continue
             own = self.items[item][1]
             slack = int(self.max_edit * len(own))
             low, high = max(int(rows[row]), place - slack), min(int(rows[row + 1]), place + len(own) + slack)
-            if place >= low and np.array_equal(words[place : place + len(own)], own) and place + len(own) <= high:
+            if place >= low and place + len(own) <= high and np.array_equal(words[place : place + len(own)], own):
                 found = (0, place - int(rows[row]), place - int(rows[row]) + len(own))
             else:
                 if len(own) - np.isin(own, words[low:high]).sum() > slack:  # each word that is missing costs an edit
@@ -184,14 +148,13 @@ def blocks_of(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[t
         yield rows.column("item_id").to_pylist(), rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = 0.95, max_edit: float = MAX_EDIT) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
     """doc_id, item_id, first_word, end_word, edits: the benchmark items that stand in documents."""
-    embedding = Embedding(bands_for(recall))
     rows, out = docs.select(docs["doc_id"], docs["text"]), None
     schema = rows.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("first_word", "long").add("end_word", "long").add("edits", "long")
     item_type = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() in ("bigint", "int") else pa.string()
     for ids, texts in blocks_of(benchmark):
-        block = Items(ids, texts, embedding, max_edit)
+        block = Items(ids, texts, max_edit)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):

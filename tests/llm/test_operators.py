@@ -301,6 +301,38 @@ def test_leaks_reach_the_target_recall(spark):
     assert len(pairs & planted) >= 0.95 * len(planted) and not {p for p in pairs if p[0] >= 300}
 
 
+def edited(own, edits, kind, rng):
+    """The words with this many edits at different places."""
+    own = list(own)
+    for k in sorted(rng.sample(range(len(own)), edits), reverse=True):
+        own[k : k + 1] = {"swap": [f"other{k}"], "drop": [], "add": [f"more{k}", own[k]]}[kind]
+    return own
+
+
+def test_leaks_at_exactly_the_bound_by_length(spark):
+    rng, items, rows = random.Random(3), {}, []
+    for n in (5, 7, 8, 10, 16, 20, 30, 32, 40, 64):
+        for k in range(20):
+            items[n * 100 + k] = own = words(n, 3000 * n + k)
+            for j, kind in enumerate(("swap", "drop", "add")):
+                rows.append((10 * (n * 100 + k) + j, " ".join(words(30, 7 * k) + edited(own, n // 5, kind, rng) + words(30, 7 * k + 1))))
+    benchmark = spark.createDataFrame([(i, " ".join(own)) for i, own in items.items()], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert {d for d, _ in rows} - {r.doc_id for r in got.collect() if r.item_id == r.doc_id // 10} == set()
+
+
+def test_leaks_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(40):
+        items = [[rng.choice("abcde") for _ in range(rng.randint(5, 24))] for _ in range(6)]
+        texts = [[rng.choice("abcde") for _ in range(rng.randint(0, 60))] for _ in range(6)]
+        for k, own in enumerate(items):
+            texts[k][10:10] = edited(own, len(own) // 5, rng.choice(["swap", "drop", "add"]), rng)
+        found = decontaminate.Items(list(range(6)), pa.array([" ".join(x) for x in items])).matches(pa.array([" ".join(x) for x in texts]))
+        costs = {(r, k): levenshtein(own, t) for r, t in enumerate(texts) for k, own in enumerate(items)}
+        assert {(row, item): edits for row, item, _, _, edits in found} == {p: c for p, c in costs.items() if c <= int(0.2 * len(items[p[1]]))}
+
+
 def test_leaks_in_blocks_equal_one_block(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(decontaminate.find_leaks(docs, items).collect())
