@@ -333,6 +333,17 @@ def test_leaks_against_brute_force():
         assert {(row, item): edits for row, item, _, _, edits in found} == {p: c for p, c in costs.items() if c <= int(0.2 * len(items[p[1]]))}
 
 
+def test_short_items_and_scripts_without_spaces_leak(spark):
+    poem = "床前明月光疑是地上霜举头望明月低头思故乡"
+    items = spark.createDataFrame([(1, "Zebra"), (2, "blue zebra"), (3, "the mit license now"), (4, poem), (5, "ฉันรักแมวมาก"), (6, "。、 ?!")], "item_id long, text string")
+    rows = [
+        (1, "a blue\n ZEBRA ran"), (2, "zebras blue"), (3, "as the MIT license, now given"), (4, "the mit licence now"), (5, "他说：“" + poem[:10] + "，" + poem[10:] + "”。"),
+        (6, "读" + poem.replace("上", "下") + "吧"), (7, "他们" + poem[:8]), (8, "วันนี้ฉันรักแมวมากจริง"), (9, "。"),
+    ]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (3, 3, 0), (5, 4, 0), (6, 4, 1), (8, 5, 0)}
+
+
 def test_leaks_in_blocks_equal_one_block(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(decontaminate.find_leaks(docs, items).collect())
