@@ -344,6 +344,19 @@ def test_short_items_and_scripts_without_spaces_leak(spark):
     assert got == {(1, 1, 0), (1, 2, 0), (3, 3, 0), (5, 4, 0), (6, 4, 1), (8, 5, 0)}
 
 
+def test_cut_items_leak_at_both_ends_of_documents(spark):
+    items = [(n, words(n, 500 + n)) for n in (5, 8, 16, 17, 32)]
+    rows, planted = [], set()
+    for n, own in items:
+        for k, cut in enumerate((own[1:], own[:-1], own[: n // 2] + own[n // 2 + 1 :], own[n // 5 :], own[: n - n // 5])):
+            for j, text in enumerate((cut, words(30, n + k) + cut, cut + words(30, n + k))):
+                rows.append((n * 100 + k * 10 + j, " ".join(text)))
+                planted.add((rows[-1][0], n))
+    benchmark = spark.createDataFrame([(n, " ".join(own)) for n, own in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == planted
+
+
 def test_leaks_in_blocks_equal_one_block(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(decontaminate.find_leaks(docs, items).collect())
