@@ -1,36 +1,45 @@
-"""Temporal decoding of label probabilities by a causal hidden Markov model: one fold per session."""
+"""Temporal decoding of label probabilities by a causal hidden Markov model: one pass over each session in order."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+
+from strideflow.operators.ordered import in_order
 
 
-def _normal(p: Column) -> Column:
-    clipped = F.transform(p, lambda x: F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x)))
-    return F.transform(clipped, lambda x: x / F.aggregate(clipped, F.lit(0.0), lambda a, b: a + b))
+def _normal(p: np.ndarray) -> np.ndarray:
+    """Values from 1e-12 to 1 that sum to 1; missing ones count as 1."""
+    clipped = np.where(np.isnan(p), 1.0, np.clip(p, 1e-12, 1.0))
+    return clipped / clipped.sum()
 
 
 def decode(rows: DataFrame, init: list[float], trans: list[list[float]], probs: str = "probs", key: str = "session") -> DataFrame:
     """session, seq, posterior, label_index: forward filtering in order of (t, seq); ties go to the first label.
 
-    A session is folded as one array, as its order demands; sessions are the unit of parallelism.
+    A session is read as a stream that carries one posterior. After null probabilities its posteriors are null.
     """
-    k = len(init)
-    matrix = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in trans])
-    start = F.array(*[F.lit(float(x)) for x in init])
-    steps = F.array_sort(F.collect_list(F.struct("t", "seq", F.col(probs).alias("p"))))
-    empty = F.array().cast("array<struct<seq:bigint,posterior:array<double>>>")
-
-    def step(acc: Column, row: Column) -> Column:
-        prior = F.when(F.size(acc["last"]) == 0, start).otherwise(
-            F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda s, i: s + acc["last"][i] * matrix[i][j])))
-        new = _normal(F.zip_with(prior, _normal(row["p"]), lambda a, b: a * b))
-        return F.struct(new.alias("last"), F.array_append(acc["out"], F.struct(row["seq"].cast("bigint").alias("seq"), new.alias("posterior"))).alias("out"))
-
-    begin = F.struct(F.array().cast("array<double>").alias("last"), empty.alias("out"))
-    folded = rows.groupBy(key).agg(steps.alias("_s")).select(key, F.inline(F.aggregate("_s", begin, step)["out"]))
-    return folded.withColumn("label_index", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    start, matrix = np.array(init, float), np.array(trans, float)
+
+    def run(_: object, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior = start
+        for piece in pieces:
+            posteriors, labels = [], []
+            for p in piece.column("_p").to_pylist():
+                new = None if prior is None or p is None else _normal(prior * _normal(np.array(p, float)))
+                posteriors.append(None if new is None else new.tolist())
+                labels.append(None if new is None else int(new.argmax()))
+                prior = None if new is None else new @ matrix
+            yield pa.RecordBatch.from_arrays([piece.column(key), piece.column("seq"), pa.array(posteriors, pa.list_(pa.float64())), pa.array(labels, pa.int32())], [key, "seq", "posterior", "label_index"])
+
+    rows = rows.select(key, "t", F.col("seq").cast("bigint").alias("seq"), F.col(probs).cast("array<double>").alias("_p"))
+    schema = rows.select(key, "seq").schema.add("posterior", ArrayType(DoubleType())).add("label_index", IntegerType())
+    return in_order(rows, ("t", "seq", "_p"), run, schema, key)
 
 
 def reset_runs(rows: DataFrame, mode: str = "session", gap: float = 0.0, key: str = "session", start: str = "start", end: str = "end") -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideflow.operators.ordered import in_order
 from strideflow.operators.timeseries import durations, label_runs
 
 #: Bouts shorter than this many seconds are noise candidates; other labels 1.2.
@@ -49,6 +51,18 @@ def _target(b: list[dict], k: int) -> str | None:
     return None
 
 
+def _merged(b: list[dict]) -> list[dict]:
+    """Neighbours of equal activity as one, summed from the left."""
+    out: list[dict] = []
+    for x in b:
+        if out and out[-1]["activity"] == x["activity"]:
+            for s in SUMS:
+                out[-1][s] += x[s]
+        else:
+            out.append(x)
+    return out
+
+
 def denoise_list(b: list[dict]) -> list[dict]:
     """Fold one bout at a time (inner ones from the left, then the first, then the last), merge equals, start over."""
     b = [dict(x) for x in b]
@@ -58,27 +72,60 @@ def denoise_list(b: list[dict]) -> list[dict]:
         if hit is None:
             break
         b[hit[0]]["activity"] = hit[1]
-        merged: list[dict] = []
-        for x in b:
-            if merged and merged[-1]["activity"] == x["activity"]:
-                for s in SUMS:
-                    merged[-1][s] += x[s]
-            else:
-                merged.append(x)
-        b = merged
+        b = _merged(b)
     return b
 
 
+def _long(bout: dict) -> bool:
+    """Such a bout never folds, so what stands before it and has no fold gets none later."""
+    return bout["duration"] > NOISE_SECONDS.get(bout["activity"], 1.2)
+
+
+def denoise_stream(bouts_in_order: Iterator[dict]) -> Iterator[dict]:
+    """What ``denoise_list`` gives for bouts of which neighbours differ, holding only those since the last long one.
+
+    Inner bouts before place k have no fold. A fold changes what its neighbours see, so the scan goes back by one. The
+    first bout is settled once the second one is, and the last one at the end.
+    """
+    b: list[dict] = []
+    k, barrier, given = 1, 0, False
+    for bout in bouts_in_order:
+        b.append(dict(bout))
+        while k + 1 < len(b):
+            target = _target(b, k)
+            if target and target != b[k]["activity"]:
+                b[k]["activity"] = target
+                at = k - (b[k - 1]["activity"] == target)
+                b[k - 1 : k + 2] = _merged(b[k - 1 : k + 2])
+                k = max(1, at - 1)
+            else:
+                barrier = max(barrier, k) if _long(b[k]) else barrier
+                k += 1
+        if barrier > (0 if given else 1):
+            if not given and (target := _target(b, 0)):
+                b[0]["activity"] = target
+                before, b = len(b), _merged(b)
+                barrier, given = barrier - (before - len(b)), True
+            yield from b[:barrier]
+            b, k, barrier, given = b[barrier:], max(1, len(b) - 1 - barrier), 0, True
+    if not given:
+        yield from denoise_list(b)
+        return
+    if len(b) > 1 and (target := _target(b, len(b) - 1)):
+        b[-1]["activity"] = target
+    yield from _merged(b)
+
+
 def denoise(rows: DataFrame) -> DataFrame:
-    """Denoised bouts of each session; a session's bouts (not its samples) are the group."""
+    """Denoised bouts of each session, read as a stream; only bouts that may still change are held."""
+    fields = {"session": pa.int64(), "run": pa.int64(), "activity": pa.string(), **dict.fromkeys(SUMS, pa.float64()), "windows": pa.int64()}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = denoise_list(group.sort_values("run").to_dict("records"))
-        out = pd.DataFrame(found, columns=["session", "run", "activity", *SUMS])
-        out["run"] = range(1, len(found) + 1)
-        return out
+    def run(session: int, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = enumerate(denoise_stream(bout for piece in pieces for bout in piece.to_pylist()), 1)
+        while part := [bout | {"session": session, "run": n} for n, bout in islice(found, 10_000)]:
+            yield pa.RecordBatch.from_pylist(part, pa.schema(list(fields.items())))
 
-    return rows.groupBy("session").applyInPandas(run, "session long, run long, activity string, duration double, confidence_s double, quality_s double, cadence_s double, windows long")
+    return in_order(rows.select(*fields), ("run",), run, "session long, run long, activity string, duration double, confidence_s double, quality_s double, cadence_s double, windows long")
 
 
 def by_activity(rows: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.functions.guards import LOCOMOTION, MOVING, STATIC
+from strideflow.operators.ordered import in_order
 
 MOST_SAMPLES, RING, WINDOW_SECONDS, POINTS, MIN_SHARE = 512, 6000, 2.56, 128, 0.8
 LOW_ENERGY, SURE_OF_MOTION = 0.1, 0.45
@@ -131,7 +133,10 @@ def energy_emission(f: dict) -> np.ndarray:
 
 
 def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
-    """Snapshots, one per message, of point rows (stream or not), in order of message id within what a trigger brings."""
+    """Snapshots, one per message, of point rows (stream or not), in order of message id within what a trigger brings.
+
+    Without a stream, a session is read message by message and only its state is carried.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def empty() -> dict:
@@ -142,7 +147,19 @@ def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
 
     columns = [c.split()[0] for c in SNAPSHOT.split(", ")]
     if not rows.isStreaming:
-        return rows.groupBy("session").applyInPandas(lambda key, frame: pd.DataFrame(score(empty(), key[0], frame), columns=columns), SNAPSHOT)
+        types = pa.schema([("session", pa.string()), ("message_id", pa.int64()), ("status", pa.string()), ("n", pa.int32()), ("window_end_ns", pa.int64()), ("energy", pa.float64()), ("dom_freq_hz", pa.float64()), ("label", pa.string()), ("posterior", pa.list_(pa.float64()))])
+
+        def ordered(session: str, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, left = empty(), None
+            for piece in pieces:
+                frame = piece.to_pandas() if left is None else pd.concat([left, piece.to_pandas()])
+                last = frame["message_id"].to_numpy() == frame["message_id"].iloc[-1]  # may go on in the next piece
+                left, whole = frame[last], frame[~last]
+                yield pa.RecordBatch.from_pylist(score(state, session, whole), types)
+            yield pa.RecordBatch.from_pylist(score(state, session, left), types)
+
+        named = rows.where("message_id is not null").select(F.col("session").cast("string").alias("session"), F.col("message_id").cast("bigint").alias("message_id"), "seq", "ns", "x", "y", "z")
+        return in_order(named, ("message_id", "seq"), ordered, SNAPSHOT)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = empty()

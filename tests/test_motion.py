@@ -289,3 +289,47 @@ def test_history_takes_the_new_fields_and_upserts_delete(spark):
     held = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 5)], "k int, v string, ver int")
     changes = spark.createDataFrame([(1, None, 2, True), (2, "bb", 1, False), (3, "old", 4, False), (4, None, 1, False)], "k int, v string, ver int, deleted boolean")
     assert sorted(tuple(r) for r in training.upsert(held, changes, "k", "ver").collect()) == [(2, "bb", 1), (3, "c", 5), (4, None, 1)]
+
+
+def test_denoising_as_a_stream_equals_the_list_and_holds_little():
+    rng = np.random.default_rng(5)
+    names = ["walk", "run", "stairs", "sit/lay", "stand", "transitions", "locomotion-other"]
+    for n in range(400):
+        b = []
+        for _ in range(n % 40):
+            b.append(bout(rng.choice([x for x in names if not b or x != b[-1]["activity"]]), float(rng.choice([0.5, 1.0, 2.0, 3.0, 9.0])), rng.choice([0.5, 0.9])))
+        assert list(recap.denoise_stream(iter(b))) == recap.denoise_list(b)
+    taken = 0
+
+    def many():
+        nonlocal taken
+        for k in range(20_000):
+            taken = k
+            yield bout(("walk", "run", "stand", "sit/lay")[k % 4], 5.0 if k % 4 else 1.0)
+
+    for given, _ in enumerate(recap.denoise_stream(many())):
+        assert taken - given < 20_000 * 0.6 and (given > 2 or taken < 20)
+
+
+def test_sessions_are_read_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n, trans = 300, [[0.8, 0.2], [0.3, 0.7]]
+    p = rng.dirichlet(np.ones(2), n)
+    rows = spark.createDataFrame([(k % 7 // 5, k, float(k), v.tolist()) for k, v in enumerate(p)], "session long, seq long, t double, probs array<double>")
+    names = ("walk", "run", "stand")
+    bouts = spark.createDataFrame([(k % 2, k // 2 + 1, names[k // 2 % 3], float(1 + k % 5), 0.5, 50.0, 0.0, 1) for k in range(n)], "session long, run long, activity string, duration double, confidence_s double, quality_s double, cadence_s double, windows long")
+    points = spark.createDataFrame([("ab"[k % 2], k // 6, k, k * 20_000_000, math.sin(k / 4), 0.0, 9.8) for k in range(n)], "session string, message_id long, seq long, ns long, x double, y double, z double")
+    scorer = live.Scorer(names, live.energy_emission)
+    found = {}
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            outs = [decode.decode(rows, [0.5, 0.5], trans), recap.denoise(bouts), live.score_stream(points, scorer)]
+            found[size] = [sorted(map(str, out.collect())) for out in outs]
+            for out in outs:
+                plan = out._jdf.queryExecution().optimizedPlan().toString()
+                assert "FlatMapGroups" not in plan and "collect_list" not in plan
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["7"] == found["10000"] and len(found["7"][0]) == n and len(found["7"][2]) == 100
+    assert len(found["7"][1]) == sum(len(recap.denoise_list([r.asDict() for r in bouts.where(f"session = {s}").orderBy("run").collect()])) for s in (0, 1))
