@@ -16,7 +16,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
 import struct
 import zlib
@@ -28,12 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import checkpointed, mix, new_folder, open_new, open_old, slices
+from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, new_folder, open_new, open_old, slices, word_hashes, words_of
 
 END, MAGIC, FOOTER = 2, b"SFTOKEN1", struct.Struct("<QQQQQQ8s")
 NULL_KEY = -(1 << 63)
 #: The pieces into which this tokenizer family splits a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How byte-level models show bytes: those with a visible Latin-1 character as it, the others by characters from 256 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+LATIN_END = "\u0250"
 
 
 # --- the index -------------------------------------------------------------------------------
@@ -109,10 +112,11 @@ class ShardWriter:
     def __init__(self, stream, width: int):
         self.stream, self.width, self.keys, self.counts = stream, width, [], []
 
-    def add(self, key: int, ids: np.ndarray) -> None:
+    def add(self, keys: list[int], ids: np.ndarray, counts: list[int]) -> None:
+        """Documents with these keys and numbers of ids; their ids end to end."""
         self.stream.write(ids.astype(f"<u{self.width}").tobytes())
-        self.keys.append(key)
-        self.counts.append(len(ids))
+        self.keys += keys
+        self.counts += counts
 
     def close(self) -> tuple[int, int]:
         keys, counts = np.array(self.keys, np.int64), np.array(self.counts, np.uint64)
@@ -174,14 +178,19 @@ class Shard:
 
 
 class Encoder:
-    """Encodes with a public tokenizer, keeping each word's ids in a bounded cache.
+    """Encodes with a public tokenizer, word by word from a bounded cache, a whole Arrow batch at a time.
 
     The tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids end to end.
-    Unknown words of letters only are one piece each: they are encoded together, and pieces are told apart by their
-    word-end tokens; other words are encoded one by one.
+    A batch's words are found by their hashes; length, first and last eight bytes (and all bytes of longer words) are
+    compared too, so equal hashes of different words do no harm: such batches are encoded text by text. Unknown words of
+    Latin letters, and such with one mark behind, go to the tokenizer's model at once; other words that begin with a letter are
+    encoded together, and told apart by their word-end tokens; the rest one by one. Long texts are cut at white space,
+    so memory is bounded by ``CHUNK`` and ``most_words``, not by a text.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    CHUNK, RECENT = 1 << 20, 1 << 17
+
+    def __init__(self, path: str, most_words: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -193,7 +202,17 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.pieces = regex.compile(PIECES)
         self.whole = self.ends.any() and [e.ids for e in self._batch(["Ab c", "ab"])] == [self._one("ab") + self._one("c"), self._one("ab")]
-        self.cache: dict[bytes, bytes] = {}
+        tried = ("the", "qzxkvvw", "\u00e9t\u00e9", "\u00e8\u0159\u01b6")
+        self.marks = {m: self._direct(chr(m)) for m in b".,;:!?"}
+        self.direct = all(self._direct(w) == self._one(w) and all(self._one(w + chr(m)) == self._direct(w) + ids for m, ids in self.marks.items()) for w in tried)
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache. Slots are found in sorted hashes, or among recent ones; each has the bounds of its ids in ``pool``."""
+        self.known, self.slot_of, self.recent = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+        self.long: dict[int, bytes] = {}
+        self.size, self.begin, self.count, self.shape = 0, np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros((1024, 3), np.uint64)
+        self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -201,55 +220,157 @@ class Encoder:
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in words]
-        many = [len(self.pieces.findall(t)) if "<|" not in t else 0 for t in texts]
-        joint = [k for k, n in enumerate(many) if n]
+    def _direct(self, word: str) -> list[int]:
+        """The ids of one piece: Latin letters, or a mark. Such letters are in normal form C as they stand."""
+        shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(SHOWN)
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word, by the tokenizer."""
+        out: list[list[int]] = [[]] * len(words)
+        many: dict[int, int] = {}
+        alone = []
+        for k, w in enumerate(words):
+            text = w.decode("utf-8").lower()  # may part a letter from its mark
+            behind = self.marks.get(w[-1])
+            core = text if behind is None else text[:-1]
+            if self.direct and core.isalpha() and max(core) < LATIN_END:
+                out[k] = self._direct(core) + (behind or [])
+            elif "<|" not in text and (n := len(self.pieces.findall(text))):
+                many[k] = n
+            else:
+                alone.append(k)
+        joint = list(many)
         for a in range(0, len(joint), 4096):
             part = joint[a : a + 4096]
-            ids = np.array(self._batch([" ".join(texts[k] for k in part)])[0].ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            ids = self._batch([" ".join(words[k].decode("utf-8") for k in part)])[0].ids
+            stops = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
             counts = np.cumsum([many[k] for k in part])
             if len(stops) != counts[-1]:  # these can't be told apart
-                for k in part:
-                    self.cache[words[k]] = np.array(self._one(texts[k]), np.uint32).tobytes()
+                alone += part
                 continue
-            raw, cut = ids.astype("<u4").tobytes(), (stops[counts - 1] * 4).tolist()
+            cut = stops[counts - 1].tolist()
             for k, x, y in zip(part, [0, *cut], cut, strict=False):
-                self.cache[words[k]] = raw[x:y]
-        for k, n in enumerate(many):
-            if not n:
-                self.cache[words[k]] = np.array(self._one(texts[k]), "<u4").tobytes()
+                out[k] = ids[x:y]
+        for k in alone:
+            out[k] = self._one(words[k].decode("utf-8"))
+        return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian 32-bit integers, without the end id."""
+    def _learn(self, hashes: np.ndarray, words: list[bytes], shapes: np.ndarray) -> np.ndarray:
+        """The new words' slots."""
+        found, base = self._ids(words), self.size
+        sizes = np.array([len(x) for x in found], np.int32)
+        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        self.size = total = base + len(words)
+        if total > len(self.begin):
+            self.begin, self.count, self.shape = (np.concatenate([x, np.zeros((total + len(x), *x.shape[1:]), x.dtype)]) for x in (self.begin, self.count, self.shape))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(flat), np.uint32)])
+        self.begin[base:total] = self.used + np.cumsum(sizes) - sizes
+        self.count[base:total], self.shape[base:total] = sizes, shapes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        slots = np.arange(base, total)
+        self.long |= {base + k: w for k, w in enumerate(words) if len(w) > 16}
+        self.recent |= dict(zip(hashes.tolist(), slots.tolist(), strict=True))
+        if len(self.recent) > self.RECENT:
+            known = np.concatenate([self.known, np.fromiter(self.recent, np.uint64, len(self.recent))])
+            slot_of = np.concatenate([self.slot_of, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+            order = np.argsort(known, kind="stable")
+            self.known, self.slot_of, self.recent = known[order], slot_of[order], {}
+        return slots
+
+    def _slots_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Each word's slot, new words learned; None where two different words have one hash."""
+        names, first, of = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]), 8)
+        size = ends - starts
+        shape = np.stack([np.ascontiguousarray(eight[at]).view(np.uint64)[:, 0] for at in (starts + 8, ends)] + [size.astype(np.uint64)], axis=1)
+        under = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+        some = under < 64
+        shape[some, 0] &= (np.uint64(1) << under[some]) - np.uint64(1)
+        shape[some, 1] >>= np.uint64(64) - under[some]
+        slots = np.full(len(names), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
+            hit = self.known[at] == names
+            slots[hit] = self.slot_of[at[hit]]
+        rest = np.flatnonzero(slots < 0)
+        slots[rest] = np.fromiter((self.recent.get(k, -1) for k in names[rest].tolist()), np.int64, len(rest))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            at = first[new]
+            slots[new] = self._learn(names[new], [data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], shape[at])
+        slots = slots[of]
+        if not np.array_equal(shape, self.shape[slots]):
+            return None
+        for k in np.flatnonzero(size > 16).tolist():
+            if data[starts[k] : ends[k]].tobytes() != self.long[int(slots[k])]:
+                return None
+        return slots
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, without end ids, and each text's number of ids. Null texts have none."""
         if not self.whole:
-            return [np.array(e.ids, "<u4").tobytes() for e in self._batch([t.decode("utf-8") for t in texts])]
-        split = [t.lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = set(itertools.chain.from_iterable(split)) - self.cache.keys()
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            return self._plain(texts)
+        data, bounds = buffer_of(texts)
+        data = LOWER[data]  # A-Z only; the tokenizer lower-cases the rest
+        counts, parts, at = np.zeros(len(bounds) - 1, np.int64), [], 0
+        while at < len(data):
+            stop = min(at + self.CHUNK, len(data))
+            while stop < len(data):  # back, else on, to white space
+                breaks = np.flatnonzero(SPACES[data[at + 1 : stop]])
+                if len(breaks):
+                    stop = at + 1 + int(breaks[-1])
+                    break
+                stop = min(stop + self.CHUNK, len(data))
+            if self.size > self.most:
+                self._forget()
+            own = data[at:stop]
+            starts, ends, rows = words_of(own, np.clip(bounds - at, 0, len(own)), SPACES)
+            at = stop
+            if not len(starts):
+                continue
+            slots = self._slots_of(own, starts, ends)
+            if slots is None:
+                return self._plain(texts)
+            size = self.count[slots].astype(np.int64)
+            ahead = np.concatenate([[0], np.cumsum(size)])
+            parts.append(self.pool[np.repeat(self.begin[slots] - ahead[:-1], size) + np.arange(ahead[-1])])
+            counts += np.diff(ahead[rows])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self._one(t or ""), np.uint32) for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
 
 # --- Spark -----------------------------------------------------------------------------------
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """This Python worker's encoder; tasks that follow one another in a worker share its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataFrame:
     """Write all documents in ascending doc_id order; shard, path, n_docs, n_tokens of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, uri = Encoder(tokenizer), None, ""
+        encoder, writer, uri = encoder_for(tokenizer), None, ""
         for batch in slices(batches, "text"):
             if writer is None:
                 uri, stream = open_new(folder, ".ids")
                 writer = ShardWriter(stream, encoder.width)
-            texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-            for key, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                writer.add(NULL_KEY if key is None else key, np.append(np.frombuffer(raw, "<u4"), np.uint32(end)))
+            ids, counts = encoder.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+            writer.add([NULL_KEY if k is None else k for k in batch.column("doc_id").to_pylist()], ids, (counts + 1).tolist())
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [uri], "n_docs": [n_docs], "n_tokens": [n_tokens]})

@@ -402,7 +402,7 @@ def test_perfect_hash_and_shards(tmp_path):
     uri, stream = token_files.open_new(tmp_path.as_uri(), ".ids")
     writer = token_files.ShardWriter(stream, 2)
     for k in (5, 5, 9):
-        writer.add(k, np.arange(k + len(writer.keys), dtype=np.uint32))
+        writer.add([k], np.arange(k + len(writer.keys), dtype=np.uint32), [k + len(writer.keys)])
     writer.close()
     with token_files.open_old(uri) as file:
         shard = token_files.Shard(file)
@@ -425,6 +425,27 @@ def test_token_files_against_the_tokenizer(spark, odd):
         start += len(ids)
 
 
+def test_encoder_against_the_tokenizer_over_a_whole_table(sf, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/../sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    texts = pa.concat_arrays([texts, pa.array([None, "", "\u00c9t\u00e9. \u0130STANBUL \u03a3\u03a3 a\u0301b! don't <|endoftext|> x1,y", "\u4e2d\u6587\uff0cb.", "ab." * 40, "A\u00a0b\u2003c\u0085d"])])
+    encoder = token_files.Encoder(queries.public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.whole and encoder.direct
+    want = [encoder._one(t or "") for t in texts.to_pylist()]
+    for chunk, recent, most in ((1 << 20, 1 << 17, 1 << 20), (999, 50, 3000)):
+        monkeypatch.setattr(token_files.Encoder, "CHUNK", chunk)
+        monkeypatch.setattr(token_files.Encoder, "RECENT", recent)
+        encoder.most = most
+        encoder._forget()
+        ids, counts = encoder.encode(texts)
+        ends = np.cumsum(counts)
+        assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == want
+    monkeypatch.setattr(token_files, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))  # all collide
+    ids, counts = encoder.encode(texts[:50])
+    assert ids.tolist() == [i for x in want[:50] for i in x]
+
+
 def test_pipeline_against_its_stages(spark, sf):
     import corpus_pipeline
 
