@@ -1,16 +1,22 @@
 """Benchmark decontamination under edit distance.
 
-An item of n words may differ in k = int(``max_edit`` * n) words (swapped, lost or added). It is cut into k + 1 pieces of
-neighbouring words: k edits leave at least one piece as it stands, so looking up every run of words of a piece's length
-in a table of pieces finds every place that can match. Of the k + 1 pieces, laid in a ring, one begins a chain in which
-any l pieces hold fewer than l edits (pigeonring principle): places where the pieces that follow don't hold enough words
-are dropped. Every candidate left is aligned exactly: an item matches where some stretch of the document is within
-``max_edit`` (share of the item's words) of it in edit distance. No match is missed.
+A word sequence is embedded by a CGK random walk: step j writes the present word and moves on by a random bit of that
+word, so sequences a few edits apart fall back into step and their embeddings agree in most places: edit distance
+becomes Hamming distance. Windows of item size (a power of two, at most ``LARGEST``) begin at every word of every
+document and of every item. Bit-sampling LSH: a band is a walk of its own and a few sampled places of its embedding;
+documents' windows are looked up in a table of the items' windows. Bands are repeated until the target recall holds, by
+measurement: ``bands_for`` embeds random items with the most edits allowed, evenly spread, which is the hardest case, and
+counts the bands that find the share ``recall`` of them. An item's windows whose samples show too few words are left out
+of the tables, as they would match anything; so are those that reach past its end.
+
+Candidates that lack more of an item's words around their place than edits are allowed are dropped, the others aligned
+exactly: an item matches where some stretch of the document is within ``max_edit`` (share of the item's words) of it in
+edit distance.
 
 Words are letters, digits and bytes over 127; A-Z lower-cased. Chinese, Japanese, Thai, Lao, Tibetan, Burmese and Khmer
-characters are one word each, as no spaces part their words. Items under five words allow no edit and match where they
-stand verbatim. The benchmark is taken in blocks of at most ``BLOCK_BYTES``, each sent to all tasks; documents stay where
-they are, and there is no shuffle.
+characters are one word each, as no spaces part their words. Items that allow no edit (under five words) have equal
+embeddings where they stand, so one band finds them all. The benchmark is taken in blocks of at most ``BLOCK_BYTES``,
+each sent to all tasks, which build its tables; documents stay where they are, and there is no shuffle.
 
 Null or empty texts match nothing. A document with several places of one item gives the best one (fewest edits, then
 first). Repeated rows give equal rows; empty tables give no rows; other columns are ignored.
@@ -19,17 +25,20 @@ first). Repeated rows give equal rows; empty tables give no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, sequence_hashes, slices, word_hashes, words_of
+from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, mix, slices, word_hashes, words_of
 
-MAX_EDIT, BLOCK_BYTES = 0.2, 4 << 20
-#: Pieces of a chain, words compared after the first, and candidates compared at once.
-CHAIN, TAIL, AT_ONCE = 4, 16, 1 << 16
+MAX_EDIT, RECALL, BLOCK_BYTES = 0.2, 0.9995, 2 << 20
+#: Windows in words; sampled places; words that an item's sample must show; bands at most.
+SMALLEST, LARGEST, SAMPLES, SHOWN, MOST_BANDS = 4, 16, {4: 3, 8: 4, 16: 4}, {4: 2, 8: 3, 16: 4}, 32
+#: Windows embedded at once, and candidates compared at once.
+PIECE, AT_ONCE = 1 << 15, 1 << 14
 
 
 def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,84 +86,204 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
+@lru_cache(maxsize=1 << 10)
+def band(size: int, nth: int) -> tuple[int, tuple[int, ...]]:
+    """The nth band of a window size: its walk's seed, and the places it samples. Bands of all sizes share the nth walk."""
+    seed = int(np.random.default_rng(nth).integers(1 << 62))
+    if size <= SMALLEST - 1:
+        return seed, tuple(range(size))
+    rng = np.random.default_rng((nth, size))
+    return seed, (0, *sorted(rng.choice(np.arange(1, size), SAMPLES[size] - 1, replace=False).tolist()))
+
+
+def embed(words: np.ndarray, start: np.ndarray, wanted: dict[int, tuple[int, ...]], seed: int, stop: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One walk from each start. For each size: a key of the sampled words, how many words they show, whether all lie before ``stop``.
+
+    Without ``stop`` (documents) the walk goes on to what follows, and only the keys are made.
+    """
+    words = np.concatenate([words, np.zeros(LARGEST, np.uint64)])  # no walk leaves the array
+    bits = np.unpackbits(mix(words ^ np.uint64(seed)).view(np.uint8).reshape(-1, 8)[:, 5:7], axis=1).T.copy()
+    at, keys = start.copy(), {c: np.full(len(start), c, np.uint64) for c in wanted}
+    shown, inside, before = {c: np.zeros(len(start), np.int64) for c in wanted}, {c: np.ones(len(start), bool) for c in wanted}, {c: np.full(len(start), -1) for c in wanted}
+    for j in range(max(p[-1] for p in wanted.values()) + 1):
+        here = None
+        for c, places in wanted.items():
+            if j in places:
+                here = words.take(at) if here is None else here
+                keys[c] *= np.uint64(0x9FB21C651E98DF25)
+                keys[c] ^= here
+                if stop is not None:
+                    inside[c] &= at < stop
+                    shown[c] += at != before[c]
+                    before[c] = at.copy()
+        at += bits[j].take(at)
+    return {c: (k * np.uint64(0xD6E8FEB86659FD93), shown[c], inside[c]) for c, k in keys.items()}
+
+
+@lru_cache(maxsize=64)
+def bands_for(size: int, recall: float = RECALL, max_edit: float = MAX_EDIT, trials: int = 2000) -> int:
+    """Bands of a window size that find this share of items that have the most edits allowed, evenly spread.
+
+    Measured over the length of that size on which the edits are densest, for words swapped, lost and added.
+    """
+    lengths = range(max(size, SMALLEST + 1), 2 * size)
+    n = max(lengths, key=lambda n: (int(max_edit * n) / n, -n))
+    spots = [(e + 1) * n // (int(max_edit * n) + 1) for e in range(int(max_edit * n))]
+    rng = np.random.default_rng(size)
+    items = rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64)
+    other = rng.integers(1, 1 << 62, (trials, len(spots))).astype(np.uint64)
+    swapped = items.copy()
+    swapped[:, spots] = other
+    texts = [swapped, np.delete(items, spots, axis=1), np.insert(items, spots, other, axis=1)]
+
+    def keys(x: np.ndarray, nth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of windows from every word, told apart by the trial; words shown; the trials."""
+        own = np.repeat(np.arange(trials), x.shape[1])
+        seed, places = band(size, nth)
+        key, shown, inside = embed(x.ravel(), np.arange(x.size), {size: places}, seed, (own + 1) * x.shape[1])[size]
+        return mix(key[inside] + own[inside].astype(np.uint64)), shown[inside], own[inside]
+
+    found = np.zeros((len(texts), trials), bool)
+    for nth in range(MOST_BANDS):
+        key, shown, own = keys(items, nth)
+        for k, x in enumerate(texts):
+            found[k, own[np.isin(key, keys(x, nth)[0]) & (shown >= SHOWN[size])]] = True
+        if found.mean(axis=1).min() >= recall:
+            return nth + 1
+    raise ValueError(f"{MOST_BANDS} bands find {found.mean(axis=1).min():.4f} of the items of {n} words with {len(spots)} edits, not {recall}")
+
+
+def all_bands(max_edit: float = MAX_EDIT, recall: float = RECALL) -> dict[int, int]:
+    """Bands of each window size."""
+    if not 0 <= max_edit < 1 or not 0 < recall < 1:
+        raise ValueError("max_edit must be at least 0 and less than 1, recall between 0 and 1")
+    return {c: bands_for(c, recall, max_edit) for c in SHOWN}
+
+
 class Items:
-    """One block of the benchmark: its pieces' hashes, and its words for the exact check."""
+    """One block of the benchmark: its windows' tables, and its words for the exact check."""
 
-    def __init__(self, ids: list, texts: pa.Array, max_edit: float = MAX_EDIT):
-        if not 0 <= max_edit < 1:
-            raise ValueError("max_edit must be at least 0 and less than 1")
+    def __init__(self, ids: list, texts: pa.Array, max_edit: float = MAX_EDIT, bands: dict[int, int] | None = None):
+        bands = bands or all_bands(max_edit)
         words, rows = _words(texts)
-        self.max_edit, self.items, pieces = max_edit, [], {}
-        for item, a, b in zip(ids, rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            n = b - a
-            if not n:
+        if len(words) >= 1 << 21:
+            raise ValueError("a block of the benchmark has under 2**21 words")
+        some = np.flatnonzero(np.diff(rows))
+        self.ids, self.words = [ids[k] for k in some.tolist()], words
+        self.begin, self.size = rows[:-1][some], np.diff(rows)[some]
+        self.slack = (max_edit * self.size).astype(np.int64)
+        window = np.where(self.slack == 0, np.minimum(self.size, SMALLEST - 1), SMALLEST)
+        for c in SHOWN:
+            window[(self.slack > 0) & (self.size >= c)] = c
+        self.tables: dict[int, dict[int, tuple]] = {}
+        for c in np.unique(window).tolist():
+            own = np.flatnonzero(window == c)
+            if c < SMALLEST:
+                self._place_exact(c, own)
                 continue
-            count = int(max_edit * n) + 1
-            cuts = [n * k // count for k in range(count + 1)]
-            for k in range(count):
-                last = min(k + CHAIN, count)
-                tail = min(cuts[last] - cuts[k + 1], TAIL)
-                pieces.setdefault(cuts[k + 1] - cuts[k], []).append((len(self.items), cuts[k], a + cuts[k], tail, max(0, tail - (last - k - 1))))
-            self.items.append((item, words[a:b]))
-        self.tables: dict[int, tuple] = {}
-        padded = np.concatenate([words, np.zeros(TAIL, np.uint64)])
-        for size, own in pieces.items():
-            item, spot, at, tail, needed = np.array(own, np.int64).T
-            keys = sequence_hashes(words, size)[at]
-            order = np.argsort(keys, kind="stable")
-            near = np.zeros(1 << 20, bool)
-            near[keys >> np.uint64(44)] = True
-            after = padded[at[:, None] + size + np.arange(TAIL)]
-            self.tables[size] = (near, keys[order], *[x[order] for x in (item, spot, after, tail, needed)])
-
-    def candidates(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
-        """Sorted (row, item, place of the item's first word in the word array; it may lie before the row)."""
+            spot = np.concatenate([np.arange(n) for n in self.size[own].tolist()])
+            item = np.repeat(own, self.size[own])
+            for nth in range(bands[c]):
+                seed, places = band(c, nth)
+                key, shown, inside = embed(words, self.begin[item] + spot, {c: places}, seed, (self.begin + self.size)[item])[c]
+                kept = inside & (shown >= SHOWN[c])
+                self._add(nth, c, key[kept], item[kept], spot[kept])
+
+    def _place_exact(self, c: int, own: np.ndarray) -> None:
+        """Items without edits stand in one band each, in that of the first few which shows most of their words."""
+        best, shown_best = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        keys = np.zeros((8, len(own)), np.uint64)
+        for nth in range(len(keys)):
+            seed, places = band(c, nth)
+            keys[nth], shown, _ = embed(self.words, self.begin[own], {c: places}, seed, (self.begin + self.size)[own])[c]
+            better = shown > shown_best
+            best[better], shown_best[better] = nth, shown[better]
+        for nth in np.unique(best).tolist():
+            at = np.flatnonzero(best == nth)
+            self._add(nth, c, keys[nth, at], own[at], np.zeros(len(at), np.int64))
+
+    def _add(self, nth: int, c: int, key: np.ndarray, item: np.ndarray, spot: np.ndarray) -> None:
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            shift = 64 - min(max(len(key).bit_length() + 5, 12), 22)
+            near = np.zeros(1 << (64 - shift), bool)
+            near[key >> np.uint64(shift)] = True
+            self.tables.setdefault(nth, {})[c] = (near, np.uint64(shift), key[order], item[order].astype(np.int32), spot[order].astype(np.int32))
+
+    def candidates(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sorted (row, item, place of the item's first word in the word array; it may lie before the row), by the bands."""
         found = [np.zeros((0, 3), np.int64)]
-        drift = CHAIN - 1
-        around = np.concatenate([np.zeros(drift, np.uint64), words, np.zeros(TAIL + drift, np.uint64)])
-        row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        for size, (near, table, items, spots, after, tails, needed) in self.tables.items():
-            key = sequence_hashes(words, size)
-            start = np.flatnonzero(near[key >> np.uint64(44)])
-            start = start[rows[row_of[start] + 1] - start >= size]
-            low, high = np.searchsorted(table, key[start], "left"), np.searchsorted(table, key[start], "right")
-            start, low, high = start[high > low], low[high > low], high[high > low]
-            ends = np.cumsum(high - low)
-            total = int(ends[-1]) if len(ends) else 0
-            for first in range(0, total, AT_ONCE):
-                pair = np.arange(first, min(first + AT_ONCE, total))
-                hit = np.searchsorted(ends, pair, "right")
-                piece, at = high[hit] - (ends[hit] - pair), start[hit]
-                same = np.zeros((len(pair), TAIL), bool)
-                ahead = at[:, None] + size + np.arange(TAIL)
-                for d in range(2 * drift + 1):
-                    same |= around[np.minimum(ahead + d, len(around) - 1)] == after[piece]
-                kept = (same & (np.arange(TAIL) < tails[piece][:, None])).sum(1) >= needed[piece]
-                piece, at = piece[kept], at[kept]
-                found.append(np.stack([row_of[at], items[piece], at - spots[piece]], axis=1))
-        return [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()]
+        for first in range(0, len(words), PIECE):
+            start = np.arange(min(PIECE, len(words) - first))
+            local = words[first : first + PIECE + LARGEST]
+            packed = [np.zeros(0, np.int64)]
+            for nth, own in self.tables.items():
+                seed = band(SMALLEST, nth)[0]
+                keys = embed(local, start, {c: band(c, nth)[1] for c in own}, seed)
+                for c, (near, shift, table, items, spots) in own.items():
+                    key = keys[c][0]
+                    maybe = np.flatnonzero(near.take((key >> shift).view(np.int64)))
+                    low, high = np.searchsorted(table, key[maybe], "left"), np.searchsorted(table, key[maybe], "right")
+                    hit = high > low
+                    at, low, high = maybe[hit] + first, low[hit], high[hit]
+                    ends = np.cumsum(high - low)
+                    total = int(ends[-1]) if len(ends) else 0
+                    for a in range(0, total, AT_ONCE):
+                        pair = np.arange(a, min(a + AT_ONCE, total))
+                        of = np.searchsorted(ends, pair, "right")
+                        entry = high[of] - (ends[of] - pair)
+                        row = np.searchsorted(rows, at[of], "right") - 1
+                        # a row of a batch, an item and a place fit into one number: a block has under 2**21 words
+                        packed.append(np.unique((row << 43) | (items[entry].astype(np.int64) << 22) | (at[of] - spots[entry] - first + (1 << 21))))
+            both = np.unique(np.concatenate(packed))
+            pairs = np.stack([both >> 43, (both >> 22) & ((1 << 21) - 1), (both & ((1 << 22) - 1)) - (1 << 21) + first], axis=1)
+            for a in range(0, len(pairs), AT_ONCE):
+                part = pairs[a : a + AT_ONCE]
+                found.append(part[self._plausible(words, rows, part)])
+        found = np.concatenate(found)
+        return found[np.lexsort(found.T[::-1])]
+
+    def _plausible(self, words: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's words stand near where they should: a word that is missing there costs an edit."""
+        kept = np.zeros(len(pairs), bool)
+        size, slack = self.size[pairs[:, 1]], self.slack[pairs[:, 1]]
+        for n in np.unique(size).tolist():
+            here = np.flatnonzero(size == n)
+            k = int(slack[here[0]])
+            row, item, place = pairs[here].T
+            missing = np.zeros(len(here), np.int64)
+            low, high = rows[row][:, None], rows[row + 1][:, None]
+            for i in range(0, n, 16):  # a few words at a time, of the candidates that are left
+                left = np.flatnonzero(missing <= k)
+                step = np.arange(i, min(i + 16, n))
+                own = self.words[self.begin[item[left]][:, None] + step]
+                same = np.zeros(own.shape, bool)
+                for drift in range(-k, k + 1):
+                    at = place[left][:, None] + step + drift
+                    same |= (words[np.clip(at, 0, len(words) - 1)] == own) & (at >= low[left]) & (at < high[left])
+                missing[left] += (~same).sum(1)
+            kept[here] = missing <= k
+        return kept
 
     def matches(self, texts: pa.Array) -> list[tuple[int, object, int, int, int]]:
         """(row, item id, first word, end, edits) of the best place of each item in each text."""
         words, rows = _words(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, place in self.candidates(words, rows):
-            if (row, item) in best and not best[row, item][0]:
-                continue
-            own = self.items[item][1]
-            slack = int(self.max_edit * len(own))
-            low, high = max(int(rows[row]), place - slack), min(int(rows[row + 1]), place + len(own) + slack)
-            if place >= low and place + len(own) <= high and np.array_equal(words[place : place + len(own)], own):
-                found = (0, place - int(rows[row]), place - int(rows[row]) + len(own))
-            else:
-                if len(own) - np.isin(own, words[low:high]).sum() > slack:  # each word that is missing costs an edit
-                    continue
-                edits, a, b = align(own, words[low:high])
-                if edits > slack:
-                    continue
-                found = (edits, low + a - int(rows[row]), low + b - int(rows[row]))
-            best[row, item] = min(found, best.get((row, item), found))
-        return [(row, self.items[item][0], a, b, edits) for (row, item), (edits, a, b) in sorted(best.items())]
+        found = self.candidates(words, rows)
+        slack = self.slack[found[:, 1]]
+        apart = np.ones(len(found), bool)  # places of one item that lie close together are one stretch
+        apart[1:] = (found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] - found[:-1, 2] > 2 * slack[1:] + 1)
+        begins = np.flatnonzero(apart)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(found)], strict=False):
+            row, item, place = found[a].tolist()
+            k, n = int(self.slack[item]), int(self.size[item])
+            own = self.words[self.begin[item] : self.begin[item] + n]
+            low, high = max(int(rows[row]), place - k), min(int(rows[row + 1]), int(found[b - 1, 2]) + n + k)
+            edits, x, y = align(own, words[low:high])
+            if edits <= k:
+                spot = (edits, low + x - int(rows[row]), low + y - int(rows[row]))
+                best[row, item] = min(spot, best.get((row, item), spot))
+        return [(row, self.ids[item], a, b, edits) for (row, item), (edits, a, b) in sorted(best.items())]
 
 
 def blocks_of(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, pa.Array]]:
@@ -167,15 +296,15 @@ def blocks_of(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[t
         yield rows.column("item_id").to_pylist(), rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, first_word, end_word, edits: the benchmark items that stand in documents."""
-    rows, out = docs.select(docs["doc_id"], docs["text"]), None
+    rows, out, bands = docs.select(docs["doc_id"], docs["text"]), None, all_bands(max_edit, recall)
     schema = rows.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("first_word", "long").add("end_word", "long").add("edits", "long")
     item_type = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() in ("bigint", "int") else pa.string()
     for ids, texts in blocks_of(benchmark):
-        block = Items(ids, texts, max_edit)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+            block = Items(ids, texts, max_edit, bands)
             for batch in slices(batches, "text"):
                 found = block.matches(batch.column("text"))
                 at = pa.array([f[0] for f in found], pa.int64())

@@ -333,6 +333,33 @@ def test_leaks_against_brute_force():
         assert {(row, item): edits for row, item, _, _, edits in found} == {p: c for p, c in costs.items() if c <= int(0.2 * len(items[p[1]]))}
 
 
+def test_leaks_reach_the_target_recall_inside_the_whole_radius():
+    rng, worst = random.Random(6), {}
+    for n in (1, 2, 4, 5, 6, 8, 10, 15, 16, 20, 30, 32, 40, 48, 64):
+        for share in (10, 20):
+            own = [words(n, 70_000 + 100 * n + k + share) for k in range(25)]
+            items = decontaminate.Items(list(range(25)), pa.array([" ".join(x) for x in own]))
+            for kind in ("swap", "drop", "add", "mix", "spread"):
+                texts = []
+                for x in own:
+                    k = n * share // 100
+                    if kind == "spread":
+                        copy = [f"other{j}" if j in {(e + 1) * n // (k + 1) for e in range(k)} else w for j, w in enumerate(x)]
+                    else:
+                        copy = edited(x, k, rng.choice(["swap", "drop", "add"]) if kind == "mix" else kind, rng)
+                    texts += [" ".join(copy), " ".join(words(25, rng.random()) + copy + words(25, rng.random()))]
+                found = {(row, item) for row, item, *_ in items.matches(pa.array(texts))}
+                for j, place in enumerate(("alone", "in context")):
+                    worst[n, share, kind, place] = sum((2 * k + j, k) in found for k in range(25)) / 25
+    assert min(worst.values()) >= 0.92 and sum(worst.values()) / len(worst) >= 0.995, {k: v for k, v in worst.items() if v < 1}
+
+
+def test_bands_need_a_reachable_recall():
+    assert decontaminate.bands_for(16, 0.9) <= decontaminate.bands_for(16, 0.99) <= decontaminate.MOST_BANDS
+    with pytest.raises(ValueError):
+        decontaminate.bands_for(16, 0.9999, 0.8)
+
+
 def test_short_items_and_scripts_without_spaces_leak(spark):
     poem = "床前明月光疑是地上霜举头望明月低头思故乡"
     items = spark.createDataFrame([(1, "Zebra"), (2, "blue zebra"), (3, "the mit license now"), (4, poem), (5, "ฉันรักแมวมาก"), (6, "。、 ?!")], "item_id long, text string")
