@@ -1,21 +1,24 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-A document is the set of its distinct five-word shingles. Equal sets are folded into one class first, so copies cost
-nothing. Each class has 128 minwise tokens. A tree branches documents by a chosen minwise token; a node with few
-documents is compared exhaustively, a larger one branches again by the tree's next token, so unlike documents that
-share a passage part, and independent trees are repeated until the recall target holds.
+A document is the set of its distinct five-word shingles. Equal sets are folded into one class first, told apart by two
+hashes of the set, so copies cost nothing. Each class has 128 minwise tokens. A tree branches classes by a chosen minwise
+token; a node with few classes is compared exhaustively, a larger one branches again by the tree's next token, so unlike
+documents that share a passage part, and independent trees are repeated until the recall target holds.
 
-Large nodes of true copies never get small. They aren't compared pair by pair: each document is first compared with
-its node's first one, links that hold are joined to components, and later rounds only compare documents of different
+Large nodes of true copies never get small. They aren't compared pair by pair: each class is first compared with its
+node's first one, links that hold are joined to components, and later rounds only compare classes of different
 components. No link between components is lost by that, and nothing is capped: at the last level, large nodes are cut
-into blocks, and whatever is still in different components is compared on full sets, block by block.
+into blocks, and what lies outside a node's largest component is compared with the rest on full sets, block by block.
+Rows of a node, or of a class, that holds more than 1/HEAVY of all rows are spread over SALTS tasks when they are joined
+to what is known of their group.
 
 Pairs whose minwise tokens agree too little (five standard deviations under the threshold) are dropped; the others are
 confirmed on full shingle sets, ``100 * intersection >= 75 * union``.
 
-Null or wordless texts have an empty set and link with nothing; a text of fewer than five words is one shingle; rows
-without doc_id take no part and keep their null component; repeated rows fall into one class; an empty table gives no
-rows; other columns are ignored.
+Null or wordless texts have an empty set and link with nothing; a text of fewer than five words is one shingle; repeated
+rows fall into one class, two texts under one doc_id into the classes of their texts; rows without doc_id get a null
+component, but link others, and ``one_of_each`` treats them like the rest; an empty table gives no rows; other columns
+are ignored, and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ from pyspark.sql import functions as F
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, HEAVY, SALTS = 1_000_000, 4096, 64
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def trees_for(recall: float = 0.99999, similarity: float = 0.75, depth: int = 3) -> int:
+def trees_for(recall: float = 0.99999, similarity: float = 0.75, depth: int = DEPTH) -> int:
     """Independent trees that find a pair with this probability when it must survive ``depth`` branchings."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**depth)))
+    trees = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**depth)))
+    if trees * depth > SIGNATURE:
+        raise ValueError(f"{trees} independent trees take {trees * depth} minwise tokens; there are {SIGNATURE}")
+    return trees
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -52,18 +58,21 @@ def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
 
 
+def _class_key(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; -1 as the second for the empty one."""
+    if not len(s):
+        return 0, -1
+    return int(np.add.reduce(mix(s))) - (1 << 63), int(np.bitwise_xor.reduce(mix(s + np.uint64(77)))) >> 1
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        counts, first, second, tokens = [], [], [], []
-        for k, s in enumerate(_sets(batch)):
+        counts, keys, tokens = [], [], []
+        for s in _sets(batch):
             counts.append(len(s))
-            if not len(s):  # a class of its own
-                own = np.array([batch.column("doc_id")[k].as_py() or 0], np.int64).view(np.uint64)
-                first.append(int(mix(own)[0]) >> 1)
-                second.append(-1)
+            keys.append(_class_key(s))
+            if not len(s):
                 continue
-            first.append(int(np.add.reduce(mix(s))) - (1 << 63))
-            second.append((int(np.bitwise_xor.reduce(mix(s + np.uint64(77)))) >> 1))
             short = (s >> np.uint64(32)).astype(np.uint32)
             least = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
             for i in range(0, len(short), 2048):
@@ -71,22 +80,40 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(least)
         flat = np.concatenate(tokens).view(np.int32) if tokens else np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+            [batch.column("doc_id").cast(pa.int64()), batch.column("check"), pa.array(counts, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
              _lists(flat, [SIGNATURE * (n > 0) for n in counts])],
-            ["doc_id", "n_shingles", "first", "second", "tokens"],
+            ["doc_id", "check", "n_shingles", "first", "second", "tokens"],
         )
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()  # a task gives each set once
     for batch in slices(batches, "text"):
-        found = list(_sets(batch))
-        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _lists(flat, [len(s) for s in found])], ["doc_id", "shingles"])
+        found = {}
+        for s in _sets(batch):
+            key = _class_key(s)
+            if key not in seen:
+                seen.add(key)
+                found[key] = s
+        flat = np.concatenate(list(found.values())).view(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), _lists(flat, [len(s) for s in found.values()])], ["first", "second", "shingles"])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    rows = docs.select(docs["doc_id"], docs["text"])
-    return rows.mapInArrow(_features, "doc_id long, n_shingles long, first long, second long, tokens array<int>")
+    rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("check"))
+    return rows.mapInArrow(_features, "doc_id long, check long, n_shingles long, first long, second long, tokens array<int>")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, salt: str) -> DataFrame:
+    """Rows joined to their groups, of which ``n`` tells the size; a group of more than 1/HEAVY of all rows is spread by ``salt``.
+
+    There are fewer than HEAVY such groups, whatever the table: their keys are sent to all tasks.
+    """
+    heavy = F.col("n") > total / HEAVY
+    hot = groups.where(heavy).select(*keys, F.lit(SALTS).alias("_salts"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(groups.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -112,26 +139,29 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose minwise tokens agree often enough to be worth a full comparison."""
-    side = lambda s: classes.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    side = lambda s: classes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
     return both.where(sizes & (same >= FEWEST_EQUAL)).select("a", "b").distinct()
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles of the documents named; other texts are not read into sets."""
-    ids = checkpointed(ids)
-    few = ids.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
-    wanted = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return checkpointed(wanted.mapInArrow(_full, "doc_id long, shingles array<long>"))
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, shingles of the classes named. Only texts of their representatives (by doc_id and the text's check) are read into sets."""
+    wanted = checkpointed(classes.join(wanted, "class", "left_semi").select("class", "first", "second", F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
+    few = wanted.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
+    sent = F.broadcast if few else lambda x: x
+    rows = docs.select(docs["doc_id"], docs["text"])
+    texts = rows.join(sent(wanted.select("_id", "_check")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_check")), "left_semi")
+    sets = texts.mapInArrow(_full, "first long, second long, shingles array<long>")
+    return checkpointed(sets.join(sent(wanted.select("class", "first", "second")), ["first", "second"]).select("class", "shingles"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int = 75) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """Pairs that hold on full sets. Only texts in some pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets_of(docs, ids)
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = _sets_of(docs, classes, wanted)
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("shingles").alias(f"s_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * similarity_percent).select("a", "b").distinct()
@@ -144,19 +174,19 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
 
 def _paths(classes: DataFrame, trees: int) -> DataFrame:
     """One row per tree; ``path`` holds the tokens that the tree's levels choose."""
-    path = lambda t: F.struct(F.lit(t).cast("long").alias("node"), F.array(*[F.col("tokens")[(t * DEPTH + k) % SIGNATURE] for k in range(DEPTH)]).alias("path"))
-    return classes.select("doc_id", *(["component"] if "component" in classes.columns else []), F.explode(F.array(*map(path, range(trees)))).alias("x")).select("*", "x.node", "x.path").drop("x")
+    path = lambda t: F.struct(F.lit(t).cast("long").alias("node"), F.array(*[F.col("tokens")[t * DEPTH + k] for k in range(DEPTH)]).alias("path"))
+    return classes.select("class", *(["component"] if "component" in classes.columns else []), F.explode(F.array(*map(path, range(trees)))).alias("x")).select("*", "x.node", "x.path").drop("x")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Each document with the first one of its node."""
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(nodes, "node").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+def _stars(rows: DataFrame, total: int) -> DataFrame:
+    """Each class with the first one of its node."""
+    nodes = rows.groupBy("node").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(rows.select("node", "class"), nodes, ["node"], total, "class").where("class <> a").select("a", F.col("class").alias("b")).distinct()
 
 
 def _links_within(group: pa.Table) -> pa.Table:
-    """Links that hold on full sets between different components of a bounded block; a spanning forest of them suffices."""
-    ids, part = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+    """Links on full sets between the ``minor`` rows of a bounded block and its other rows, of different components; a spanning forest suffices."""
+    ids, part, minor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("class", "component", "minor"))
     lists = group.column("shingles").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy()
@@ -166,80 +196,118 @@ def _links_within(group: pa.Table) -> pa.Table:
     kept, column = np.unique(column[shared], return_inverse=True)
     row = row[shared]
     names, of = np.unique(part, return_inverse=True)
-    minor = np.flatnonzero(of != np.bincount(of).argmax())  # the largest component's own pairs are settled
-    common = np.zeros((len(minor), len(ids)), np.float32)
+    one, two = np.flatnonzero(minor), np.flatnonzero(~minor)
+    common = np.zeros((len(one), len(two)), np.float32)
     for start in range(0, len(kept), 4096):
         here = (column >= start) & (column < start + 4096)
         m = np.zeros((len(ids), min(4096, len(kept) - start)), np.float32)
         m[row[here], column[here] - start] = 1
-        common += m[minor] @ m.T
-    holds = (100 * common >= 75 * (sizes[minor][:, None] + sizes[None, :] - common)) & (of[minor][:, None] != of[None, :])
+        common += m[one] @ m[two].T
+    holds = (100 * common >= 75 * (sizes[one][:, None] + sizes[two][None, :] - common)) & (of[one][:, None] != of[two][None, :])
     root = np.arange(len(names))
     links = []
     for x, y in zip(*np.nonzero(holds), strict=True):
-        p, q = of[minor[x]], of[y]
+        p, q = of[one[x]], of[two[y]]
         while root[p] != p:
             p = root[p]
         while root[q] != q:
             q = root[q]
         if p != q:
             root[p] = q
-            links.append((min(ids[minor[x]], ids[y]), max(ids[minor[x]], ids[y])))
+            links.append((min(ids[one[x]], ids[two[y]]), max(ids[one[x]], ids[two[y]])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _dense_links(docs: DataFrame, rows: DataFrame, n: str = "n") -> DataFrame:
-    """Confirmed links inside large leaves. A leaf is cut into blocks of at most about BLOCK documents, and each pair of blocks is
-    one bounded group, so neither a group nor the number of rows grows with the square of a leaf."""
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = rows.select("node", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("node", "doc_id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.join(_sets_of(docs, rows.select("doc_id").distinct()), "doc_id")
-    return rows.groupBy("node", "low", "high").applyInArrow(_links_within, "a long, b long")
-
+def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Confirmed links inside large leaves, between what lies outside a leaf's largest component (``minor``) and all the leaf.
 
-def _rest(docs: DataFrame, classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    Both are cut into blocks of about BLOCK classes; each pair of blocks is one bounded group. What the largest component
+    holds is settled, so its classes are repeated once for each block of the others only.
+    """
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    leaves = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("_major"), F.max_by("component", F.struct("n", "component")).alias("major"))
+    leaves = leaves.select("node", "n", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("_all"), F.ceil((F.col("n") - F.col("_major")) / BLOCK).cast("int").alias("_minor"))
+    rows = spread_join(rows.select("node", "class", "component"), leaves, ["node"], rows.count(), "class")
+    in_all, in_minor = F.pmod(F.xxhash64("class"), F.col("_all")).cast("int"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("_minor")).cast("int")
+    sides = [
+        rows.select("node", "class", "component", F.lit(False).alias("minor"), in_all.alias("all"), F.explode(F.sequence(F.lit(0), F.col("_minor") - 1)).alias("of")),
+        rows.where("component <> major").select("node", "class", "component", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("all"), in_minor.alias("of")),
+    ]
+    both = checkpointed(sides[0].unionByName(sides[1]))
+    both = both.join(_sets_of(docs, classes, both.select("class").distinct()), "class")
+    return both.groupBy("node", "all", "of").applyInArrow(_links_within, "a long, b long")
+
+
+def _rest(docs: DataFrame, classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFrame | None]:
     """What the trees leave in one node but in different components: pairs from small leaves, confirmed links from large ones."""
     rows, pairs = _branch(_paths(classes, trees), 0), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rows = checkpointed(rows.join(nodes.select("node", "n"), "node"))
+        rows = checkpointed(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"))
         leaves = rows.where(F.col("n") <= SMALL_NODE)
-        a = leaves.select("node", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-        b = leaves.select("node", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+        a = leaves.select("node", F.col("class").alias("a"), F.col("component").alias("of_a"))
+        b = leaves.select("node", F.col("class").alias("b"), F.col("component").alias("of_b"))
         pairs.append(a.join(b, "node").where("a < b and of_a <> of_b").select("a", "b"))
         rows = rows.where(F.col("n") > SMALL_NODE)
         if rows.isEmpty():
             rows = None
             break
-        if level < DEPTH:
-            rows = _branch(rows.drop("n"), level)
+        rows = rows.drop("n") if level == DEPTH else _branch(rows.drop("n"), level)
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
-    return out.distinct(), None if rows is None else _dense_links(docs, rows)
+    return out.distinct(), None if rows is None else _dense_links(docs, classes, rows)
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
+    """doc_id, check (a hash of the text), n_shingles, group (null for empty sets), least (the group's smallest doc_id) of every row."""
+    trees = trees_for(recall)
     rows = checkpointed(features(docs))
-    sets = rows.where("doc_id is not null").groupBy("first", "second").agg(F.min("doc_id").alias("class"))
-    own = rows.where("n_shingles > 0").join(sets.select(F.col("class").alias("doc_id"), "first", "second"), ["doc_id", "first", "second"], "left_semi")
-    classes = checkpointed(own.select("doc_id", "n_shingles", "tokens").dropDuplicates(["doc_id", "n_shingles"]))
-
-    links = checkpointed(_confirmed(docs, checkpointed(_alike(_stars(_branch(_paths(classes, STAR_TREES), 0)), classes))))
+    full = rows.where("n_shingles > 0")
+    known = full.groupBy("first", "second").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    known = checkpointed(known.select("first", "second", "n", "least", "r.doc_id", "r.check").withColumn("class", F.monotonically_increasing_id()))
+    keys = ["first", "second"]  # each class once, by its representative's row: copies of it have other ids, so no key is hot
+    named_by = known.select("class", *[F.col(c).alias(f"_{c}") for c in (*keys, "doc_id", "check")])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "doc_id", "check")]
+    own = full.join(named_by, same[0] & same[1] & same[2] & same[3]).dropDuplicates(["class"])
+    classes = checkpointed(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"))
+    count = classes.count()
+
+    stars = _stars(_branch(_paths(classes, STAR_TREES), 0), count * STAR_TREES)
+    links = checkpointed(_confirmed(docs, classes, checkpointed(_alike(stars, classes))))
     parts = connected_components(links)
-    named = lambda part: classes.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pairs, dense = _rest(docs, named(parts), trees_for(recall))
-    more = _confirmed(docs, checkpointed(_alike(pairs, classes)))
+    named = lambda part: classes.join(part.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    pairs, dense = _rest(docs, named(parts), trees, count * trees)
+    more = _confirmed(docs, classes, checkpointed(_alike(pairs, classes)))
     more = checkpointed(more if dense is None else more.unionByName(dense))
     if not more.isEmpty():
         parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    final = sets.join(parts.withColumnRenamed("id", "class"), "class", "left")
-    final = final.select("first", "second", F.coalesce("component", "class").alias("of_class"))
-    out = rows.select("doc_id", "n_shingles", "first", "second").join(final, ["first", "second"], "left")
-    linked = F.when(F.col("n_shingles") > 0, F.col("of_class")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
+    final = known.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
+    least = final.groupBy("group").agg(F.min("least").alias("least"))
+    final = final.select("first", "second", "n", "group").join(least, "group")
+    out = spread_join(full.select("doc_id", "check", "n_shingles", "first", "second"), checkpointed(final), keys, rows.count(), "doc_id")
+    none = rows.where("n_shingles = 0").select("doc_id", "check", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("least"))
+    return out.select("doc_id", "check", "n_shingles", "group", "least").unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    out = groups(docs, recall).select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
+    """One row of each group, with all its columns: that with the smallest doc_id (rows without one come last).
+
+    Rows of equal doc_id and text are one document, also without words; of a doc_id that stands in two groups each may stay.
+    """
+    rows = groups(docs, recall)
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")
+    chosen = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.check").alias("_check"))
+    chosen = checkpointed(chosen.unionByName(rows.where("group is null").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()))
+    packed = docs.select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text_check"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    once = packed.dropDuplicates(["_of", "_text_check"])
+    kept = once.join(chosen, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text_check") == F.col("_check")), "left_semi")
+    return kept.select("_row.*")

@@ -141,6 +141,32 @@ def test_dense_blocks_find_what_full_sets_have(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_a_doc_id_with_two_texts_links_by_each_of_them(spark):
+    a, b = words(30, 21), words(30, 22)
+    near = [*b[:15], "changed", *b[16:]]
+    far = words(30, 23)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b[:29], "changed"])), (None, " ".join(far)), (None, " ".join(far)), (5, " ".join(far[:29] + ["q"])), (6, None), (6, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, check string, `group` long")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).where("doc_id is not null").collect())
+    assert got == [(1, 26, 1, True), (1, 26, 1, True), (2, 26, 1, False), (5, 26, 5, True), (6, 0, 6, True), (6, 0, 6, True)]
+    assert near != b
+    one = near_dup.one_of_each(docs)
+    assert one.columns == docs.columns
+    assert sorted(((r.doc_id or 0), (r.text or "").strip()) for r in one.collect()) == sorted([(1, rows[0][1]), (1, rows[1][1]), (5, rows[5][1]), (6, ""), (0, "")])
+
+
+def test_heavy_groups_are_spread_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HEAVY", 4)
+    monkeypatch.setattr(near_dup, "SALTS", 3)
+    rows = spark.createDataFrame([(k % 7 if k > 60 else 1, k) for k in range(100)], "node long, class long")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"))
+    got = near_dup.spread_join(rows, nodes, ["node"], 100, "class")
+    want = rows.join(nodes, "node")
+    assert sorted(map(tuple, got.select("node", "class", "n").collect())) == sorted(map(tuple, want.select("node", "class", "n").collect()))
+    with pytest.raises(ValueError):
+        near_dup.trees_for(0.9999999)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in near_dup.connected_components(links).collect()}
