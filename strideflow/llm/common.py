@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is used instead.
+    Where it is unset, a temporary folder is used on one machine (``local``); on a cluster that is an error, as executors
+    would write where nobody else can read.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder and current.isDefined():
         folder = current.get()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strideflow-")
     if current.isEmpty():
         sc.setCheckpointDir(folder)

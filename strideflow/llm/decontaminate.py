@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, mix, slices, word_hashes, words_of
+from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, checkpointed, mix, slices, word_hashes, words_of
 
-MAX_EDIT, RECALL, BLOCK_BYTES = 0.2, 0.9995, 2 << 20
+MAX_EDIT, RECALL, BLOCK_BYTES, BROADCAST_IDS = 0.2, 0.9995, 2 << 20, 250_000
 #: Windows in words; sampled places; words that an item's sample must show; bands at most.
 SMALLEST, LARGEST, SAMPLES, SHOWN, MOST_BANDS = 4, 16, {4: 3, 8: 4, 16: 4}, {4: 2, 8: 3, 16: 4}, 32
 #: Windows embedded at once, and candidates compared at once.
@@ -313,3 +313,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL) -> DataFrame:
+    """The rows in which no item stands, with all their columns. Rows are told apart by doc_id and text, so ids may be null."""
+    named = docs.select(F.struct(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_check")).alias("doc_id"), docs["text"])
+    leaked = checkpointed(find_leaks(named, benchmark, max_edit, recall).select("doc_id.*").distinct())
+    few = leaked.count() <= BROADCAST_IDS  # some MB as a hash relation; beyond that both sides are shuffled
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_check"))
+    return docs.join(F.broadcast(leaked) if few else leaked, same, "left_anti").select(docs.columns)

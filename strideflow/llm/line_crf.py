@@ -221,17 +221,26 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     return fit(found.column("text").combine_chunks(), found.column("quality").to_numpy().astype(int))
 
 
-def score(docs: DataFrame, model: LineCRF, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` of each row and its ``score``."""
+def _scored(docs: DataFrame, model: LineCRF, carry: tuple[str, ...]) -> DataFrame:
+    """``_carry`` (the columns named, whatever their names) and ``_score`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = model.scores(*buffer_of(batch.column("_text")))
-            yield pa.RecordBatch.from_arrays([batch.column("_carry"), pa.array(found, pa.float64())], ["_carry", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_carry"), pa.array(found, pa.float64())], ["_carry", "_score"])
 
     rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("_carry"), docs["text"].alias("_text"))
-    schema = rows.select("_carry").schema.add("score", "double")
-    return rows.mapInArrow(run, schema).select("_carry.*", "score")
+    return rows.mapInArrow(run, rows.select("_carry").schema.add("_score", "double"))
+
+
+def score(docs: DataFrame, model: LineCRF, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of each row and its ``score``."""
+    return _scored(docs, model, carry).select("_carry.*", F.col("_score").alias("score"))
+
+
+def good_documents(docs: DataFrame, model: LineCRF, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns and no other."""
+    return _scored(docs, model, tuple(docs.columns)).where(F.col("_score") >= threshold).select("_carry.*")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def position(fraction: Column, knots: Sequence[tuple[float, float]]) -> Column:
 def passes(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most_passes: float = 3.0, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, first position and the columns ``keep``."""
     kept = F.struct(*[docs[c] for c in keep]) if keep else F.lit(None)
-    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), docs["text"], F.lit("")))  # rows without an id are spread too
     rows = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), key.alias("_key"), kept.alias("_kept"))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, 3))
     slim = docs.select(docs["source"], word_count(docs["text"]).alias("size"), F.substring(key, 1, 3).alias("_bucket"))
@@ -106,14 +106,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most_
     """The documents of the mix in training order: each as often as it is taken, with all its columns."""
     rows = passes(docs, weights, schedules, most_passes, keep=docs.columns)
     rows = rows.where("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.withColumn("_at", at(rows, F.col("_pass"), schedules)).select("_at", "_kept.*")
-    return rows.orderBy("_at", "doc_id").drop("_at")
+    rows = rows.select(at(rows, F.col("_pass"), schedules).alias("_at"), "_kept")  # names of kept columns can't clash
+    return rows.orderBy("_at", "_kept.doc_id").select("_kept.*")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+         md5(COALESCE(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS most FROM s),

@@ -23,7 +23,7 @@ are ignored, and kept by ``one_of_each``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
-BROADCAST_IDS, HEAVY, SALTS = 1_000_000, 4096, 64
+BROADCAST_IDS, HEAVY, SALTS = 250_000, 4096, 64
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -137,10 +137,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _with_sides(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+    """Checkpointed pairs joined to both their classes. One class may be the first of very many pairs, so these are spread."""
+    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).join(side("a"), "a")
+    return spread_join(pairs, firsts, ["a"], pairs.count(), "b").drop("n").join(side("b"), "b")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose minwise tokens agree often enough to be worth a full comparison."""
     side = lambda s: classes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = _with_sides(checkpointed(pairs), side)
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
     return both.where(sizes & (same >= FEWEST_EQUAL)).select("a", "b").distinct()
@@ -162,7 +168,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = _sets_of(docs, classes, wanted)
     side = lambda s: sets.select(F.col("class").alias(s), F.col("shingles").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = _with_sides(pairs, side)
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * similarity_percent).select("a", "b").distinct()
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import text_bytes
+from strideflow.llm.common import checkpointed, new_folder, text_bytes
 
 N_SLOTS = 8192
 
@@ -72,6 +72,12 @@ def rebalance(old: DataFrame, loads: DataFrame, n_shards: int, slack: float = 0.
     return edited.crossJoin(F.broadcast(old.agg(version))).select("version", "virtual_slot", "shard")  # one row
 
 
+def first_map(spark, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """Version 1: slots dealt in turn, before any bytes are known."""
+    slot = F.col("id").cast("int")
+    return spark.range(n_slots).select(F.lit(1).alias("version"), slot.alias("virtual_slot"), F.pmod(slot, F.lit(n_shards)).alias("shard"))
+
+
 def save_map(new: DataFrame, folder: str) -> None:
     """Add a version to the stored maps; earlier ones stay readable."""
     new.write.mode("append").partitionBy("version").parquet(folder)
@@ -83,15 +89,22 @@ def load_map(spark, folder: str, version: int | None = None) -> DataFrame:
     return maps.join(F.broadcast(wanted), "version")  # one row
 
 
-def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, maps: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    ``slot`` is the row's place in its shard, gapless from 0: places are counted per virtual slot, whose first place
-    comes from the rows of the slots before it, so no task ever sorts a whole shard.
+    ``maps`` is the folder of the stored map: its last version (a new folder gets ``first_map``) is rebalanced by the bytes
+    of the slots, stored as the next version and read back. ``slot`` is the row's place in its shard, gapless from 0: places
+    are counted per virtual slot, whose first place comes from the rows of the slots before it, so no task ever sorts a
+    whole shard. Texts are read once; what follows works on their sizes and checksums.
     """
-    rows = records(docs, n_slots)
-    loads = slot_loads(rows, n_slots)
-    placed = slot_map(loads, n_shards).join(loads, "virtual_slot")
+    spark = docs.sparkSession
+    rows = checkpointed(records(docs, n_slots))
+    loads = checkpointed(slot_loads(rows, n_slots))
+    if maps is None:
+        maps = new_folder(spark, "shard-maps")
+        save_map(first_map(spark, n_shards, n_slots), maps)
+    save_map(rebalance(load_map(spark, maps), loads, n_shards, slack=0.0), maps)
+    placed = load_map(spark, maps).join(loads, "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("first_place", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)))
     placed = placed.select("virtual_slot", "shard", "first_place", F.col("version").alias("map_version"))

@@ -426,7 +426,7 @@ def test_shards_are_even_and_gapless(spark, sf):
         assert r.size == len(texts[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.law == "bytes"
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
-    assert max(load) - min(load) <= max(r.size for r in rows)
+    assert max(load) - min(load) <= max(r.size for r in rows) and {r.map_version for r in rows} == {2}
     assert all(sorted(s) == list(range(len(s))) for s in slots)
 
 
@@ -499,6 +499,44 @@ def test_encoder_against_the_tokenizer_over_a_whole_table(sf, monkeypatch):
     assert ids.tolist() == [i for x in want[:50] for i in x]
 
 
+def test_stored_maps_are_edited_and_used(spark, sf, tmp_path):
+    docs, folder = spark.read.parquet(f"{sf}/documents.parquet"), tmp_path.as_uri() + "/maps"
+    sharding.save_map(sharding.first_map(spark, 6, 64), folder)
+    one = {r.doc_id: r for r in sharding.shard(docs, 6, 64, folder).collect()}
+    two = {r.doc_id: r for r in sharding.shard(docs, 8, 64, folder).collect()}
+    assert {r.map_version for r in one.values()} == {2} and {r.map_version for r in two.values()} == {3}
+    assert {r.shard for r in one.values()} == set(range(6)) and {r.shard for r in two.values()} == set(range(8))
+    held = {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder, 3).collect()}
+    assert all(held[r.virtual_slot] == r.shard and one[d].virtual_slot == r.virtual_slot for d, r in two.items())
+    assert sum(one[d].size for d in one if one[d].shard != two[d].shard) < 0.5 * sum(r.size for r in one.values())
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    clash = "doc_id long, text string, lang string, source string, score double, _at int, check string, _row int, quality int, _id int"
+    long, leak = " ".join(words(40, 5)) + ".", spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (None, long, None, None), (None, leak + " and more", "en", "a"), (4, None, None, None), (5, "", "en", ""), (None, None, None, None), (6, leak, "en", "b"),
+            (7, long.replace(".", " more words."), "en", "b"), (8, " ".join(words(20_000, 9)), "en", "a")]
+    docs = spark.createDataFrame([(*r, 0.5, 1, "c", 2, 1, 3) for r in rows], clash)
+    for docs, some in ((docs, True), (docs.where("false"), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert name == "sharding" or out.columns == docs.columns
+            got = [(r.doc_id, r.text) for r in out.collect()] if name != "sharding" else None
+            if not some:
+                assert out.count() == 0
+            elif name == "near-duplicates":
+                texts = [t for _, t in got]
+                assert texts.count(long) == 1 and (1, long) in got and len(got) == 6  # 1; one of both leaks; 8; 4, 5 and None without words
+            elif name == "decontamination":
+                assert len(got) == 8 and not any(leak in (t or "") for _, t in got)
+            elif name == "mixing":
+                assert {t for _, t in got} <= {r[1] for r in rows}
+            elif name == "sharding":
+                assert out.count() == len(rows)
+
+
 def test_pipeline_against_its_stages(spark, sf):
     import corpus_pipeline
 
