@@ -1,36 +1,30 @@
 """A training corpus from ``documents``: filter, deduplicate, decontaminate, mix, shard.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Columns of any name are carried
+along; null ids and texts, empty texts and repeated rows are treated as each operator states; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strideflow.llm import decontaminate, line_crf, mixing, near_dup, sharding
-from strideflow.llm.common import checkpointed, new_folder, table
+from strideflow.llm.common import new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
-    return line_crf.score(docs, model, tuple(docs.columns)).where(F.col("score") >= line_crf.THRESHOLD).drop("score")
+    return line_crf.good_documents(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id, once."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    nameless = docs.where("doc_id is null")
-    return first.unionByName(nameless)
+    """One row of each group: that with the smallest doc_id. Rows of equal doc_id and text are one document; null ids come last."""
+    return near_dup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaked = checkpointed(leaks.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a benchmark item, with or without a doc_id."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
