@@ -320,5 +320,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX
     named = docs.select(F.struct(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_check")).alias("doc_id"), docs["text"])
     leaked = checkpointed(find_leaks(named, benchmark, max_edit, recall).select("doc_id.*").distinct())
     few = leaked.count() <= BROADCAST_IDS  # some MB as a hash relation; beyond that both sides are shuffled
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_check"))
-    return docs.join(F.broadcast(leaked) if few else leaked, same, "left_anti").select(docs.columns)
+    packed = docs.select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text_check"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    same = F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text_check") == F.col("_check"))
+    return packed.join(F.broadcast(leaked) if few else leaked, same, "left_anti").select("_row.*")
