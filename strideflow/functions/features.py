@@ -90,7 +90,8 @@ def compute(acc: np.ndarray, fs: float = FS) -> dict[str, np.ndarray]:
         fa, fb = (np.fft.rfft(x - x.mean(1, keepdims=True), axis=1) for x in (ax[a], ax[b]))
         at = np.maximum(1, np.abs(freq[None, :] - out["body_mag_dom_freq_hz"][:, None]).argmin(1)) if len(freq) > 1 else np.zeros(n, int)
         d = np.angle(fb[np.arange(n), at]) - np.angle(fa[np.arange(n), at])
-        out[f"body_{a}{b}_phase_at_dom_freq"] = (d + np.pi) % (2 * np.pi) - np.pi
+        moving = (out["body_mag_dom_freq_hz"] > 0) & (ax[a].std(1) >= EPS) & (ax[b].std(1) >= EPS)
+        out[f"body_{a}{b}_phase_at_dom_freq"] = np.where(moving, np.arctan2(np.sin(d), np.cos(d)), 0)
     zero = np.zeros(n)
     if points >= 32:
         sf, sp = S.stft_power(mag, fs)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Probs = dict[str, Column]
-LOCOMOTION, STATIC = ("walk", "run", "stairs"), ("sit/lay", "stand")
+GAIT, STATIC = ("walk", "run", "stairs"), ("sit/lay", "stand")
+LOCOMOTION = (*GAIT, "locomotion-other")
 #: Thresholds of the guards.
 MOVING = ("walk", "run", "stairs", "locomotion-other", "transitions")
 
@@ -50,9 +51,12 @@ def stairs_static(p: Probs, m: dict) -> Probs:
 
 
 def stairs_moving(p: Probs, m: dict) -> Probs:
-    """Metric ``dom_mix``: 0.6 of the present plus 0.4 of the previous walk share, where a stream supplies it."""
-    fires = m["pocket"] & (m["energy"] >= 0.35) & m["dom"].between(1.2, 3.2) & (m.get("walk_mix", total(p, ("walk", "run"))) >= 0.35)
-    fires = fires & (total(p, ("walk", "run")) >= 0.30) & (p["stairs"] > 0.15)
+    """Sticky stairs in a moving pocket: 0.6 of the present and 0.4 of the previous posterior's stairs (metric
+    ``previous_stairs``; the present alone where it is missing) must reach 0.35, and gait must hold 0.30."""
+    stairs = p["stairs"]
+    smoothed = 0.6 * stairs + 0.4 * F.coalesce(m["previous_stairs"], stairs) if "previous_stairs" in m else stairs
+    fires = m["pocket"] & (m["energy"] >= 0.35) & m["dom"].between(1.2, 3.2) & (smoothed >= 0.35)
+    fires = fires & (total(p, ("walk", "run")) >= 0.30) & (stairs > 0.15)
     return where(fires, _cap(p, "stairs", 0.15, ("walk", "run")), p)
 
 
@@ -102,12 +106,13 @@ BURST_CADENCE, BURST_PERIODICITY, BURST_CONFIDENCE = 120.0, 0.25, 0.40
 
 
 def pocket_reason(p: Probs, raw_label: Column, raw_confidence: Column, m: dict) -> Column:
-    """Why a loose pocket's label is doubted, or ``none``. Metrics ``cadence`` and ``periodicity`` beside the usual ones."""
-    cadence, rhythm, label = m["cadence"], m["periodicity"], top(p)
+    """Why a loose pocket's label is doubted, or ``none``. Metrics ``cadence`` and ``periodicity`` beside the usual ones, and
+    ``top``, the likeliest label, where it is known already."""
+    cadence, rhythm, label = m["cadence"], m["periodicity"], m.get("top", top(p))
     slow_run = (cadence < RUN_LOW_CADENCE) | ((cadence < RUN_CADENCE) & (rhythm < RUN_PERIODICITY))
     weak_stairs = ((cadence > 0) & (cadence < STAIRS_CADENCE)) | (rhythm < STAIRS_PERIODICITY)
     walking = cadence.between(*WALKING_CADENCE) & (rhythm >= WALKING_PERIODICITY)
-    burst = raw_label.isin(*LOCOMOTION) & (raw_confidence >= BURST_CONFIDENCE) & (cadence >= BURST_CADENCE) & (rhythm >= BURST_PERIODICITY)
+    burst = raw_label.isin(*GAIT) & (raw_confidence >= BURST_CONFIDENCE) & (cadence >= BURST_CADENCE) & (rhythm >= BURST_PERIODICITY)
     why = (
         F.when((label == "run") & slow_run, "run-to-walk-low-cadence-artifact").when((label == "stairs") & weak_stairs, "stairs-to-walk-low-periodicity-artifact")
         .when((label == "stairs") & walking, "stairs-to-walk-walking-cadence").when((label == "transitions") & burst, F.concat(F.lit("transitions-to-"), raw_label, F.lit("-locomotion-burst")))
@@ -140,20 +145,48 @@ def usable_posterior(posterior: Column, size: int) -> Column:
     return F.when((F.size(posterior) == size) & ~bad & (mass > 0), F.transform(posterior, lambda x: x / mass))
 
 
-def artifact_score(jerk: Column, jerk_p90: Column, dwt_ratio: Column, crest: Column, entropy: Column, periodicity: Column) -> Column:
-    """Six clipped terms, weighted; never negative."""
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(4.0), c))
-    parts = zip((0.30, 0.30, 0.15, 0.15, 0.10, -0.35), (jerk, jerk_p90, dwt_ratio, crest, entropy, periodicity), strict=True)
-    return F.greatest(F.lit(0.0), sum((w * clip(c) for w, c in parts), F.lit(0.0)))
+#: Weight, offset and scale of each metric of the artifact score; terms are clipped to 0..2.5.
+ARTIFACT = {"jerk": (0.30, 1.5, 2.0), "hf": (0.30, 0.35, 0.40), "entropy": (0.15, 3.2, 1.2), "gravity": (0.15, 0.10, 0.20), "jitter": (0.10, 0.18, 0.22), "periodicity": (-0.35, 1.3, 1.0)}
+
+
+def artifact_metrics(f: dict[str, Column]) -> dict[str, Column]:
+    """The score's six metrics from window features by their names."""
+    high, low = (F.greatest(f[f"body_mag_energy_{b}_hz"], F.lit(0.0)) for b in ("8_20", "0p5_4"))
+    return {
+        "jerk": F.abs(f["jerk_mag_p90"]), "hf": high / F.greatest(low, F.lit(1e-8)), "entropy": F.abs(f["body_mag_spectral_entropy"]), "gravity": F.abs(f["gravity_angle_stability_std"]),
+        "jitter": F.abs(f["stft_dom_freq_std"]), "periodicity": F.abs(f["body_mag_autocorr_periodicity_ratio"]),
+    }
+
+
+def artifact_score(metrics: dict[str, Column]) -> Column:
+    """How much a window looks like a loose pocket; never negative."""
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(2.5), c))
+    return F.greatest(F.lit(0.0), sum((w * clip((metrics[n] - a) / b) for n, (w, a, b) in ARTIFACT.items()), F.lit(0.0)))
 
 
 def adaptive_score(base: Column, z: dict[str, Column], enough: Column) -> Column:
     """With enough history: 0.35 of the base score and 0.65 of the weighted rises over the session's own past; else the base."""
-    weights = {"jerk": 0.30, "hf": 0.30, "entropy": 0.15, "gravity": 0.15, "jitter": 0.10, "periodicity": -0.35}
-    rise = sum((w * F.greatest(F.lit(0.0), z[n]) for n, w in weights.items()), F.lit(0.0))
+    rise = sum((w * F.greatest(F.lit(0.0), z[n]) for n, (w, _, _) in ARTIFACT.items()), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.when(enough, 0.35 * base + 0.65 * F.greatest(F.lit(0.0), rise)).otherwise(base))
 
 
+def source_suffix(source: Column, corrections: dict[str, Column]) -> Column:
+    """The decoder's source with ``+name`` for each correction that was applied, in the order given."""
+    return F.concat(source, *[F.when(applied, f"+{name}").otherwise("") for name, applied in corrections.items()])
+
+
+def apply_pocket_sanity(rows: DataFrame, columns: dict[str, str], raw_label: Column, raw_confidence: Column, m: dict) -> DataFrame:
+    """``pocket_sanity`` on probability columns, with ``reason``. Label and reason are columns first, so no expression repeats them."""
+    p = {label: F.col(name) for label, name in columns.items()}
+    rows = rows.withColumns({"_top": top(p), "_most": F.greatest(*p.values())})
+    rows = rows.withColumn("reason", pocket_reason(p, raw_label, raw_confidence, m | {"top": F.col("_top")}))
+    moved = F.when(F.col("reason") != "none", F.least(F.col("_most") * 0.8, F.lit(0.35))).otherwise(0.0)
+    rows = rows.withColumns({"_moved": moved, "_taker": F.when(F.col("_top") == "transitions", raw_label).otherwise("walk")})
+    give, take = F.col("_moved") * -1, F.col("_moved")
+    new = {columns[n]: c + F.when(F.col("_top") == n, give).otherwise(0.0) + F.when(F.col("_taker") == n, take).otherwise(0.0) for n, c in p.items()}
+    return rows.withColumns(new).drop("_top", "_most", "_moved", "_taker")
+
+
 #: In this order, before decoding.
 PRE_DECODE = (low_motion, stairs_static, stairs_moving, smooth_walk, stairs_hallucination)
 

@@ -125,11 +125,11 @@ def shape(freq: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
 
 
 def autocorr_peak(x: np.ndarray, fs: float = FS) -> list[np.ndarray]:
-    """Peak, its lag in seconds and Hz, and its ratio to the mean absolute autocorrelation."""
+    """Peak, its lag in seconds and Hz, and its ratio to the mean absolute autocorrelation of the lags searched."""
     n = x.shape[1]
     x = x - x.mean(1, keepdims=True)
     low, high = int(fs / 4), min(n - 1, int(fs / 0.5))
-    if high < low:
+    if n < 3 or high <= low:
         return [np.zeros(len(x))] * 4
     f = np.fft.rfft(x, 2 * n, axis=1)
     ac = np.fft.irfft(np.abs(f) ** 2, 2 * n, axis=1)[:, :n]
@@ -137,8 +137,8 @@ def autocorr_peak(x: np.ndarray, fs: float = FS) -> list[np.ndarray]:
     part = ac[:, low : high + 1]
     at = part.argmax(1)
     peak, lag = part[np.arange(len(x)), at], (at + low) / fs
-    live = (x**2).sum(1) > EPS
-    return [np.where(live, v, 0) for v in (peak, lag, 1 / lag, peak / (np.abs(ac).mean(1) + EPS))]
+    live = x.std(1) >= EPS
+    return [np.where(live, v, 0) for v in (peak, lag, 1 / lag, peak / (np.abs(part).mean(1) + EPS))]
 
 
 def find_peaks(row: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +179,10 @@ def peak_stats(x: np.ndarray, fs: float = FS) -> np.ndarray:
 def ar_coefficients(x: np.ndarray, order: int = 4) -> np.ndarray:
     out = np.zeros((len(x), order))
     x = x - x.mean(1, keepdims=True)
-    if x.shape[1] <= 2 * order:
+    if x.shape[1] <= order:
         return out
-    for k, row in enumerate(x):
+    for k in np.flatnonzero(x.std(1) >= EPS):
+        row = x[k]
         lags = np.stack([row[order - j : -j] for j in range(1, order + 1)], axis=1)
         out[k] = np.linalg.lstsq(lags, row[order:], rcond=None)[0]
     return out

@@ -42,6 +42,40 @@ def transitions(rows: DataFrame, label: str = "activity", key: str = "session")
     return pairs.where("source is not null and target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
+def initial_probs(rows: DataFrame, labels: DataFrame, label: str = "activity", key: str = "session") -> DataFrame:
+    """label, p: how often a series begins with each label, one added to each (``labels``: a handful of rows)."""
+    first = rows.where(F.col(label).isNotNull()).groupBy(key).agg(F.min_by(label, F.struct("t", "seq")).alias(label)).groupBy(label).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)) + 1
+    return labels.select(label).where(F.col(label).isNotNull()).distinct().join(first, label, "left").select(label, (n / F.sum(n).over(Window.partitionBy())).alias("p"))
+
+
+def log_form(probs: DataFrame, column: str = "p") -> DataFrame:
+    """Probabilities as logarithms, none below that of 1e-12."""
+    return probs.withColumn(column, F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), F.col(column)))))
+
+
+def coverage(rows: DataFrame, datasets: tuple[str, ...], placements: tuple[str, ...], labels: tuple[str, ...], remap: dict[str, str] | None = None) -> DataFrame:
+    """metric, value: windows of each label in order of its name (0 where there is none), the total, and what was left out by
+    dataset, placement or label, each counted at the first of these; then the number of labels without a window.
+
+    Needs dataset_id, placement_label, activity_label. One pass; the counts are a handful of rows.
+    """
+    label = F.col("activity_label")
+    for old, new in (remap or {}).items():
+        label = F.when(F.col("activity_label") == old, new).otherwise(label)
+    why = (
+        F.when(~F.coalesce(F.lower("dataset_id").isin(*datasets), F.lit(False)), "excluded_dataset").when(~F.coalesce(F.col("placement_label").isin(*placements), F.lit(False)), "excluded_placement")
+        .when(~F.coalesce(label.isin(*labels), F.lit(False)), "excluded_activity").otherwise(F.concat(F.lit("label:"), label))
+    )
+    found = rows.groupBy(why.alias("metric")).agg(F.count("*").alias("n"))
+    names = [*(f"label:{n}" for n in sorted(labels)), "excluded_dataset", "excluded_placement", "excluded_activity"]
+    wanted = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("metric"))
+    told = wanted.join(found, "metric", "left").select("metric", F.coalesce("n", F.lit(0)).alias("value"))
+    own = F.col("metric").startswith("label:")
+    sums = told.agg(F.sum(F.when(own, F.col("value")).otherwise(0)).alias("total_windows"), F.count_if(own & (F.col("value") == 0)).alias("missing_labels"))
+    return told.unionByName(sums.select(F.explode(F.create_map(F.lit("total_windows"), "total_windows", F.lit("missing_labels"), "missing_labels")).alias("metric", "value")))
+
+
 def run_lengths(rows: DataFrame, label: str = "activity", key: str = "session") -> DataFrame:
     """Mean run length of each label with one run of one row added."""
     from strideflow.operators.timeseries import label_runs

@@ -21,6 +21,33 @@ SMALL_GRID = {"numTrees": (200, 400, 600), "maxDepth": (4, 6, 8), "subsamplingRa
 WIDE_GRID = {"numTrees": tuple(range(100, 901, 100)), "maxDepth": tuple(range(3, 13)), "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0), "minInstancesPerNode": (1, 2, 4, 8, 16)}
 
 
+def collect_examples(windows: DataFrame, datasets: Sequence[str], placements: Sequence[str], labels: Sequence[str], merged: dict[str, str] | None = None, train_only: bool = True) -> DataFrame:
+    """Windows to learn from and to test on, routed by ``part`` (train or test), with their sequence and subject groups.
+
+    Needs dataset_id, placement_label, activity_label, split, global_subject_id, stream_id. Labels are merged first; windows of other
+    datasets, placements, labels or splits are left out (``train_only`` windows count as train, or not at all). Test windows whose label
+    never occurs in training are left out too. The labels of both parts are a handful of rows.
+    """
+    label = F.col("activity_label")
+    for old, new in (merged or {}).items():
+        label = F.when(F.col("activity_label") == old, new).otherwise(label)
+    part = F.when(F.col("split") == "test", "test").when((F.col("split") == "train") | (F.lit(train_only) & (F.col("split") == "train_only")), "train")
+    rows = windows.withColumns({"activity_label": label, "part": part}).where(F.col("dataset_id").isin(*datasets) & F.col("placement_label").isin(*placements) & F.col("activity_label").isin(*labels) & F.col("part").isNotNull())
+    rows = rows.withColumns({"sequence_group": F.concat_ws("|", "dataset_id", "global_subject_id", "stream_id"), "subject_group": F.concat_ws("|", "dataset_id", "global_subject_id")})
+    learned = rows.where("part = 'train'").select("activity_label").distinct().withColumnRenamed("activity_label", "_label")
+    return rows.join(F.broadcast(learned), F.col("activity_label") == F.col("_label"), "left_semi")  # at most len(labels) rows
+
+
+def decode_predictions(rows: DataFrame, decoder: str, init: Sequence[float], trans: Sequence[Sequence[float]], key: str = "session", probs: str = "probs") -> DataFrame:
+    """key, seq, label_index by a decoder's name: none (the likeliest label of each row) or causal-hmm; others raise."""
+    if decoder == "none":
+        best = (F.array_position(probs, F.array_max(probs)) - 1).cast("int")
+        return rows.select(key, "seq", best.alias("label_index"))
+    if decoder == "causal-hmm":
+        return decode.decode(rows, list(init), [list(r) for r in trans], probs, key).select(key, "seq", "label_index")
+    raise ValueError(f"no such decoder: {decoder}")
+
+
 def tuning_split(rows: DataFrame, group: str, share: float = 0.15, seed: int = 42) -> DataFrame:
     """``part``: tune or fit. All rows of a group go to one part by a hash of the group, so there is no shuffle.
 

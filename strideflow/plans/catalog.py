@@ -143,12 +143,32 @@ def _(spark, sf):
     return recap.by_activity(recap.bouts(entries(spark, sf))).withColumn("seconds", r("seconds", 4)).withColumn("longest", r("longest", 4))
 
 
-@query("session_summary", ENTRY_SQL + """ SELECT session, round(sum(duration), 3) AS seconds, count(*) AS bouts, round(sum(CASE WHEN activity IN ('walk', 'run', 'stairs') THEN duration ELSE 0 END), 3) AS moving_seconds,
-round(sum(CASE WHEN activity IN ('sit/lay', 'stand') THEN duration ELSE 0 END), 3) AS still_seconds, round(coalesce(max(CASE WHEN activity = 'walk' THEN duration END), 0), 3) AS longest_walk_bout_seconds,
-round(sum(confidence_s) / sum(duration), 8) AS mean_confidence, round(sum(quality_s) / sum(duration), 8) AS mean_quality FROM bouts GROUP BY 1""")
+def told(rows: DataFrame) -> DataFrame:
+    """A summary's columns, rounded."""
+    seconds = ("total_seconds", "locomotion_seconds", "stationary_seconds", "walking_seconds", "longest_walk_bout_seconds")
+    means = ("average_cadence_spm", "peak_cadence_spm", "signal_quality_mean", "signal_quality_min")
+    return rows.select("session", "bouts", "estimated_steps", r("estimated_distance_m", 3).alias("estimated_distance_m"), *[r(c, 3).alias(c) for c in seconds], *[r(c, 8).alias(c) for c in means], "noise_bouts_folded", "dominant_activity", "notes", "summary_text")
+
+
+@query("session_summary")
+def _(spark, sf):
+    """Summaries of denoised sessions; ``raw_bout_summary`` holds the same sums against SQL without the denoising."""
+    own = told(recap.summary(entries(spark, sf)))
+    return own.withColumn("notes", F.concat_ws(" ", "notes"))
+
+
+@query("raw_bout_summary", ENTRY_SQL + """, q AS (SELECT session, avg(quality) AS qm, min(quality) AS ql FROM dur GROUP BY 1),
+cad AS (SELECT session, run, activity, duration, cadence_s, (SELECT coalesce(sum(duration) FILTER (WHERE cadence > 0), 0) FROM runs r WHERE r.session = b.session AND r.run = b.run) AS cadence_d FROM bouts b),
+a AS (SELECT session, count(*) AS bouts, CAST(round_even(round(sum(cadence_s), 9), 0) AS BIGINT) AS steps, sum(duration) AS total, sum(duration) FILTER (WHERE activity IN ('walk', 'run', 'stairs')) AS moving, sum(duration) FILTER (WHERE activity IN ('sit/lay', 'stand')) AS still,
+  sum(duration) FILTER (WHERE activity = 'walk') AS walking, max(duration) FILTER (WHERE activity = 'walk') AS longest, sum(cadence_s) FILTER (WHERE activity IN ('walk', 'run', 'stairs')) AS cs, sum(cadence_d) FILTER (WHERE activity IN ('walk', 'run', 'stairs')) AS cd,
+  max(CASE WHEN cadence_d > 0 THEN 60 * cadence_s / cadence_d END) FILTER (WHERE activity IN ('walk', 'run', 'stairs')) AS peak FROM cad GROUP BY 1),
+m AS (SELECT session, arg_max(activity, (s, -f)) AS dominant FROM (SELECT session, activity, sum(duration) AS s, min(run) AS f FROM bouts GROUP BY 1, 2) GROUP BY 1)
+SELECT session, bouts, steps AS estimated_steps, round(steps * 0.7::DOUBLE, 3) AS estimated_distance_m, round(total, 3) AS total_seconds, round(coalesce(moving, 0), 3) AS locomotion_seconds, round(coalesce(still, 0), 3) AS stationary_seconds, round(coalesce(walking, 0), 3) AS walking_seconds,
+round(coalesce(longest, 0), 3) AS longest_walk_bout_seconds, round(coalesce(CASE WHEN cd > 0 THEN 60 * cs / cd END, 0), 8) AS average_cadence_spm, round(coalesce(peak, 0), 8) AS peak_cadence_spm, round(qm, 8) AS signal_quality_mean, round(ql, 8) AS signal_quality_min, dominant AS dominant_activity
+FROM a JOIN q USING (session) JOIN m USING (session)""")
 def _(spark, sf):
-    rows = recap.summary(recap.bouts(entries(spark, sf)))
-    return rows.select("session", r("seconds", 3).alias("seconds"), "bouts", *[r(c, 3).alias(c) for c in ("moving_seconds", "still_seconds", "longest_walk_bout_seconds")], r("mean_confidence", 8).alias("mean_confidence"), r("mean_quality", 8).alias("mean_quality"))
+    rows = entries(spark, sf)
+    return told(recap.summary(rows, recap.bouts(rows))).drop("noise_bouts_folded", "notes", "summary_text")
 
 
 @query("dominant_activity")
@@ -362,11 +382,14 @@ SIG = "WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 
 @query("feat_moments", SIG + ", m AS (SELECT vec_id, avg(x) AS mean, sqrt(avg(c * c)) AS std, sqrt(avg(x * x)) AS rms, avg(abs(c)) AS mad, min(x) AS low, max(x) AS high, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4 FROM q GROUP BY 1) SELECT vec_id, round(mean, 6) AS mean, round(std, 6) AS std, round(rms, 6) AS rms, round(mad, 6) AS mad, round(low, 6) AS low, round(high, 6) AS high, round(CASE WHEN std < 1e-8 THEN 0 ELSE m3 / (std * std * std) END, 5) AS skew, round(CASE WHEN std < 1e-8 THEN 0 ELSE m4 / (std * std * std * std) - 3 END, 5) AS kurt FROM m")
 def _(spark, sf):
-    x = signals(spark, sf).select("vec_id", F.explode("v").alias("x")).groupBy("vec_id").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.collect_list("x").alias("v"), F.min("x").alias("low"), F.max("x").alias("high"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
-    mad = F.aggregate("v", F.lit(0.0), lambda a, y: a + F.abs(y - F.col("mean"))) / F.size("v")
-    gate = lambda c: F.when(F.col("std") < 1e-8, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
-    return x.select("vec_id", r("mean").alias("mean"), r("std").alias("std"), r("rms").alias("rms"), r(mad).alias("mad"), r("low").alias("low"), r("high").alias("high"), r(gate("skew"), 5).alias("skew"), r(gate("kurt"), 5).alias("kurt"))
+    v, mean = F.col("v"), F.col("mean")
+    rows = signals(spark, sf).where("size(v) > 0").withColumn("mean", S.mean(v)).withColumn("c", F.transform(v, lambda x: x - mean))
+    rows = rows.withColumns({"rms": F.sqrt(S.mean(F.transform("v", lambda x: x * x))), "std": F.sqrt(S.mean(F.transform("c", lambda x: x * x))), "mad": S.mean(F.transform("c", F.abs)),
+                             "m3": S.mean(F.transform("c", lambda x: x * x * x)), "m4": S.mean(F.transform("c", lambda x: x * x * x * x))})
+    std = F.col("std")
+    gate = lambda c: F.when(std < 1e-8, 0.0).otherwise(c)
+    return rows.select("vec_id", *[r(c).alias(c) for c in ("mean", "std", "rms", "mad")], r(F.array_min("v")).alias("low"), r(F.array_max("v")).alias("high"),
+                       r(gate(F.col("m3") / (std * std * std)), 5).alias("skew"), r(gate(F.col("m4") / (std * std * std * std) - 3), 5).alias("kurt"))
 
 
 @query("feat_percentiles", SIG + " SELECT vec_id, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM l GROUP BY 1")
@@ -383,25 +406,36 @@ def _(spark, sf):
     return rows.select("vec_id", r(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["s"]) / F.size("e")).alias("zcr"), r(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["d"] * 50 * e["d"] * 50) / F.size("e")), 4).alias("jerk_rms"))
 
 
-@query("feat_trend_halves", SIG + " SELECT vec_id, round(sum((i / 50.0 - 0.63) * x) / sum((i / 50.0 - 0.63) * (i / 50.0 - 0.63)), 5) AS trend, round(avg(CASE WHEN i < 32 THEN x END), 6) AS first_half, round(avg(CASE WHEN i >= 32 THEN x END), 6) AS second_half, round(avg(CASE WHEN i >= 32 THEN x * x END) / (avg(CASE WHEN i < 32 THEN x * x END) + 1e-8), 4) AS energy_ratio FROM l GROUP BY 1")
+@query("feat_trend_halves", SIG + """, n AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM l), h AS (SELECT *, i < n // 2 AS one FROM n)
+SELECT vec_id, round(regr_slope(x, i / 50.0::DOUBLE), 5) AS trend, round(avg(CASE WHEN one THEN x END), 6) AS first_half, round(avg(CASE WHEN NOT one THEN x END), 6) AS second_half,
+round(avg(CASE WHEN NOT one THEN x * x END) / (avg(CASE WHEN one THEN x * x END) + 1e-8), 4) AS energy_ratio FROM h GROUP BY 1""")
 def _(spark, sf):
-    x = signals(spark, sf).select("vec_id", F.posexplode("v").alias("i", "x"))
-    one, two = F.when(F.col("i") < 32, F.col("x")), F.when(F.col("i") >= 32, F.col("x"))
+    x = signals(spark, sf).select("vec_id", F.floor(F.size("v") / 2).alias("half"), F.posexplode("v").alias("i", "x"))
+    one, two = F.when(F.col("i") < F.col("half"), F.col("x")), F.when(F.col("i") >= F.col("half"), F.col("x"))
     return x.groupBy("vec_id").agg(r(F.regr_slope("x", F.col("i") / 50.0), 5).alias("trend"), r(F.avg(one)).alias("first_half"), r(F.avg(two)).alias("second_half"), r(F.avg(two * two) / (F.avg(one * one) + 1e-8), 4).alias("energy_ratio"))
 
 
-POWER = SIG + """, b AS (SELECT vec_id, k, sum(c * cos(2 * pi() * k * i / 64)) AS re, sum(c * sin(2 * pi() * k * i / 64)) AS im FROM q, range(0, 33) t(k) GROUP BY 1, 2),
-p AS (SELECT vec_id, k, k * 50 / 64.0::DOUBLE AS f, re * re + im * im AS p FROM b), t AS (SELECT vec_id, sum(p) AS total, sum(p * f) / sum(p) AS centroid FROM p GROUP BY 1)"""
+POWER = SIG + """, w AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM q),
+b AS (SELECT vec_id, n, k, sum(c * cos(2 * pi() * k * i / n)) AS re, sum(c * sin(2 * pi() * k * i / n)) AS im FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM w) GROUP BY 1, 2, 3),
+p AS (SELECT vec_id, k, k * 50 / n::DOUBLE AS f, re * re + im * im AS p FROM b), t AS (SELECT vec_id, sum(p) AS total, sum(p * f) / sum(p) AS centroid FROM p GROUP BY 1)"""
 
 
 def power(spark, sf) -> DataFrame:
-    """vec_id, p: the power of each of the 33 bins, by sums against literal waves."""
-    x = signals(spark, sf).select("vec_id", F.posexplode("v").alias("i", "x"))
-    waves = [F.array(*[F.lit(float(f(2 * np.pi * j / 64))) for j in range(64)]) for f in (np.cos, np.sin)]
-    # over whole periods the mean adds nothing to any bin but the first, which holds the mean alone and is 0
-    sums = [F.sum(F.col("x") * w[(F.col("i") * k) % 64]).alias(f"{n}{k}") for k in range(1, 33) for n, w in zip("cs", waves, strict=True)]
-    bins = F.array(F.lit(0.0), *[F.col(f"c{k}") * F.col(f"c{k}") + F.col(f"s{k}") * F.col(f"s{k}") for k in range(1, 33)])
-    return x.groupBy("vec_id").agg(*sums).select("vec_id", F.posexplode(bins).alias("k", "p")).withColumn("f", F.col("k") * 50 / 64.0)
+    """vec_id, k, p, f: the power of each bin up to half the rate, whatever the signals' lengths."""
+    rows = signals(spark, sf).select("vec_id", F.size("v").alias("n"), F.posexplode("v").alias("i", "x"))
+    sizes = [row["n"] for row in signals(spark, sf).select(F.size("v").alias("n")).distinct().limit(1024).collect()]  # lengths, not signals
+    if len(sizes) == 1:  # one length: waves are literals, and the sums stay in generated code
+        n = sizes[0]
+        waves = [F.array(*[F.lit(float(f(2 * np.pi * j / n))) for j in range(n)]) for f in (np.cos, np.sin)]
+        # over whole periods the mean adds nothing to any bin but the first, which holds the mean alone and is 0
+        sums = [F.sum(F.col("x") * w[(F.col("i") * k) % n]).alias(f"{c}{k}") for k in range(1, n // 2 + 1) for c, w in zip("cs", waves, strict=True)]
+        bins = F.array(F.lit(0.0), *[F.col(f"c{k}") * F.col(f"c{k}") + F.col(f"s{k}") * F.col(f"s{k}") for k in range(1, n // 2 + 1)])
+        return rows.groupBy("vec_id", "n").agg(*sums).select("vec_id", "n", F.posexplode(bins).alias("k", "p")).withColumn("f", F.col("k") * 50 / F.col("n"))
+    angle = 2 * np.pi * F.col("k") * F.col("i") / F.col("n")
+    wide = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
+    sums = wide.groupBy("vec_id", "n", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("c"), F.sum(F.col("x") * F.sin(angle)).alias("s")).select("vec_id", "n", "k", (F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("p"))
+    first = rows.select("vec_id", "n", F.lit(0).alias("k"), F.lit(0.0).alias("p")).distinct()
+    return sums.unionByName(first).withColumn("f", F.col("k") * 50 / F.col("n"))
 
 
 @query("feat_bands", POWER + " SELECT vec_id, round(total, 4) AS total, " + ", ".join(f"round(sum(CASE WHEN f BETWEEN {a} AND {b} THEN p ELSE 0 END), 4) AS band_{n}" for n, a, b in (("05_4", 0.5, 4), ("4_8", 4, 8), ("8_20", 8, 20))) + ", round(centroid, 4) AS centroid FROM p JOIN t USING (vec_id) GROUP BY vec_id, total, centroid")
@@ -432,12 +466,13 @@ def _(spark, sf):
 
 @query("features_153")
 def _(spark, sf):
+    """All features of every sliding window of 32 sensor rows, the least that the short-time spectra need."""
     from strideflow.functions.features import window_features
 
-    v = F.col("v")
-    third = F.floor(F.size(v) / 3).cast("int")
-    rows = signals(spark, sf).select("vec_id", *[F.slice(v, third * k + 1, third).alias(a) for k, a in enumerate("xyz")])
-    return window_features(rows, ("vec_id",))
+    rows = timeseries.sliding_windows(clean(spark, sf), 32, 16)
+    samples = F.array_sort(F.collect_list(F.struct("sample_index", "x", "y", "z")))
+    windows = rows.groupBy("session", "window_index").agg(samples.alias("s"))
+    return window_features(windows.select("session", "window_index", *[F.transform("s", lambda v, a=a: v[a]).alias(a) for a in "xyz"]), ("session", "window_index"))
 
 
 # --- decoding, guards, insights -----------------------------------------------------------------
@@ -452,44 +487,72 @@ def metrics() -> dict:
 
 
 def guarded(spark, sf, guard):
-    rows = scored(spark, sf)
-    out = guard(probabilities(), metrics())
+    rows = seen(spark, sf)
+    out = guard(probabilities(), metrics() | {"previous_stairs": F.col("previous_stairs")})
     return rows.select("session", "seq", *[r(c).alias(f"p{k}") for k, c in enumerate(out.values())])
 
 
-def _sql(*columns: str) -> str:
-    return f"WITH {SCORED_SQL} SELECT session, seq, " + ", ".join(f"round({c}, 6) AS p{k}" for k, c in enumerate(columns)) + " FROM scored"
+#: Each guard's seven columns in SQL.
+GUARD_SQL = {
+    "low_motion": [f"CASE WHEN energy < 0.1 THEN {'0' if k in (0, 1, 2, 5, 6) else f'p{k} / (p3 + p4)'} ELSE p{k} END" for k in range(7)],
+    "stairs_static": [f"CASE WHEN energy <= 0.35 AND jerk <= 0.9 AND dom <= 0.7 AND p2 > 0.03 THEN {'0.03' if k == 2 else f'p{k} * (1 + (p2 - 0.03) / (1 - p2))'} ELSE p{k} END" for k in range(7)],
+    "stairs_moving": [f"CASE WHEN pocket AND energy >= 0.35 AND dom BETWEEN 1.2 AND 3.2 AND 0.6 * p2 + 0.4 * coalesce(previous_stairs, p2) >= 0.35 AND p0 + p1 >= 0.3 AND p2 > 0.15 THEN {'0.15' if k == 2 else f'p{k} * (1 + (p2 - 0.15) / (p0 + p1))' if k < 2 else f'p{k}'} ELSE p{k} END" for k in range(7)],
+    "smooth_walk": [f"CASE WHEN pocket AND energy BETWEEN 0.3 AND 1.8 AND dom BETWEEN 1.35 AND 2.45 AND jerk <= 1.2 AND p0 >= 0.18 AND p1 <= 0.45 AND p2 <= 0.45 THEN {('p0 + p1 - least(p1, 0.22) + p2 - least(p2, 0.18)', 'least(p1, 0.22)', 'least(p2, 0.18)', 'p3', 'p4', 'p5', 'p6')[k]} ELSE p{k} END" for k in range(7)],
+    "stairs_hallucination": [f"CASE WHEN pocket AND energy > 8 AND jerk > 40 AND p2 > 0.05 THEN {'0.05' if k == 2 else f'CASE WHEN p0 + p1 > 0 THEN p{k} * (1 + (p2 - 0.05) / (p0 + p1)) ELSE (p2 - 0.05) / 2 END' if k < 2 else f'p{k}'} ELSE p{k} END" for k in range(7)],
+}
+#: ``scored`` with the stairs of the row before, as a previous posterior.
+SEEN_SQL = SCORED_SQL + ", seen AS (SELECT *, lag(p2) OVER (PARTITION BY session ORDER BY t, seq) AS previous_stairs FROM scored)"
+
 
+def _sql(columns: list[str]) -> str:
+    return f"WITH {SEEN_SQL} SELECT session, seq, " + ", ".join(f"round({c}, 6) AS p{k}" for k, c in enumerate(columns)) + " FROM seen"
 
-@query("guard_low_motion", _sql(*[f"CASE WHEN energy < 0.1 THEN {'0' if k in (0, 1, 2, 5, 6) else f'p{k} / (p3 + p4)'} ELSE p{k} END" for k in range(7)]))
+
+def seen(spark, sf) -> DataFrame:
+    return scored(spark, sf).withColumn("previous_stairs", F.lag("p2").over(Window.partitionBy("session").orderBy("t", "seq")))
+
+
+@query("guard_low_motion", _sql(GUARD_SQL["low_motion"]))
 def _(spark, sf):
     return guarded(spark, sf, guards.low_motion)
 
 
-@query("guard_stairs_static", _sql(*[f"CASE WHEN energy <= 0.35 AND jerk <= 0.9 AND dom <= 0.7 AND p2 > 0.03 THEN {'0.03' if k == 2 else f'p{k} * (1 + (p2 - 0.03) / (1 - p2))'} ELSE p{k} END" for k in range(7)]))
+@query("guard_stairs_static", _sql(GUARD_SQL["stairs_static"]))
 def _(spark, sf):
     return guarded(spark, sf, guards.stairs_static)
 
 
-@query("guard_stairs_moving", _sql(*[f"CASE WHEN pocket AND energy >= 0.35 AND dom BETWEEN 1.2 AND 3.2 AND p0 + p1 >= 0.35 AND p2 > 0.15 THEN {'0.15' if k == 2 else f'p{k} * (1 + (p2 - 0.15) / (p0 + p1))' if k < 2 else f'p{k}'} ELSE p{k} END" for k in range(7)]))
+@query("guard_stairs_moving", _sql(GUARD_SQL["stairs_moving"]))
 def _(spark, sf):
     return guarded(spark, sf, guards.stairs_moving)
 
 
-@query("guard_smooth_walk", _sql(*[f"CASE WHEN pocket AND energy BETWEEN 0.3 AND 1.8 AND dom BETWEEN 1.35 AND 2.45 AND jerk <= 1.2 AND p0 >= 0.18 AND p1 <= 0.45 AND p2 <= 0.45 THEN {('p0 + p1 - least(p1, 0.22) + p2 - least(p2, 0.18)', 'least(p1, 0.22)', 'least(p2, 0.18)', 'p3', 'p4', 'p5', 'p6')[k]} ELSE p{k} END" for k in range(7)]))
+@query("guard_smooth_walk", _sql(GUARD_SQL["smooth_walk"]))
 def _(spark, sf):
     return guarded(spark, sf, guards.smooth_walk)
 
 
-@query("guard_calibration", _sql(*[f"CASE WHEN pocket AND artifact > 1.5 THEN (1 - CASE WHEN artifact >= 2.2 THEN 0.5 ELSE 0.35 END) * p{k} + CASE WHEN artifact >= 2.2 THEN 0.5 ELSE 0.35 END / 7 ELSE p{k} END" for k in range(7)]))
+@query("guard_stairs_hallucination", _sql(GUARD_SQL["stairs_hallucination"]).replace("FROM seen", "FROM (SELECT * REPLACE (energy * 2 AS energy, jerk * 80 AS jerk) FROM seen)"))
+def _(spark, sf):
+    """On rows with twice the energy and 80 times the jerk, as the plain ones never reach the gates."""
+    out = guards.stairs_hallucination(probabilities(), metrics() | {"energy": F.col("energy") * 2, "jerk": F.col("jerk") * 80})
+    return scored(spark, sf).select("session", "seq", *[r(c).alias(f"p{k}") for k, c in enumerate(out.values())])
+
+
+@query("guard_calibration", _sql([f"CASE WHEN pocket AND artifact > 1.5 THEN (1 - CASE WHEN artifact >= 2.2 THEN 0.5 ELSE 0.35 END) * p{k} + CASE WHEN artifact >= 2.2 THEN 0.5 ELSE 0.35 END / 7 ELSE p{k} END" for k in range(7)]))
 def _(spark, sf):
     return guarded(spark, sf, guards.calibrate)
 
 
-@query("guard_chain")
+CHAIN_SQL = f"WITH {SEEN_SQL}"
+for _n, (_name, _columns) in enumerate(GUARD_SQL.items()):
+    CHAIN_SQL += f", g{_n} AS (SELECT session, seq, energy, jerk, dom, artifact, pocket, previous_stairs, " + ", ".join(f"{c} AS p{k}" for k, c in enumerate(_columns)) + f" FROM {f'g{_n - 1}' if _n else 'seen'})"
+
+
+@query("guard_chain", CHAIN_SQL + " SELECT session, seq, " + ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(7)) + " FROM g4")
 def _(spark, sf):
     names = [f"p{k}" for k in range(len(LABELS))]
-    rows = guards.apply_in_turn(scored(spark, sf), dict(zip(LABELS, names, strict=True)), metrics(), guards.PRE_DECODE)
+    rows = guards.apply_in_turn(seen(spark, sf), dict(zip(LABELS, names, strict=True)), metrics() | {"previous_stairs": F.col("previous_stairs")}, guards.PRE_DECODE)
     return rows.select("session", "seq", *[r(n).alias(n) for n in names])
 
 
@@ -507,18 +570,46 @@ SELECT session, seq, reason, """ + ", ".join(f"round(p{k} - CASE WHEN giver = '{
 @query("guard_pocket_sanity", DOUBT_SQL)
 def _(spark, sf):
     m = metrics() | {"cadence": F.col("dom") * 60, "periodicity": 2 * (F.col("p3") + F.col("p4"))}
-    said, sure, p = F.col("activity"), F.col("artifact") / 4, probabilities()
-    out = guards.pocket_sanity(p, said, sure, m)
-    return scored(spark, sf).select("session", "seq", guards.pocket_reason(p, said, sure, m).alias("reason"), *[r(c).alias(f"p{k}") for k, c in enumerate(out.values())])
+    names = {n: f"p{k}" for k, n in enumerate(LABELS)}
+    rows = guards.apply_pocket_sanity(scored(spark, sf), names, F.col("activity"), F.col("artifact") / 4, m)
+    return rows.select("session", "seq", "reason", *[r(n).alias(n) for n in names.values()])
+
+
+#: Window features from the scored rows, in the same words for both engines.
+FEATURES = {
+    "jerk_mag_p90": "jerk * 4", "body_mag_energy_8_20_hz": "energy", "body_mag_energy_0p5_4_hz": "dom + 0.5", "body_mag_spectral_entropy": "3 + p0 * 8", "gravity_angle_stability_std": "p1", "stft_dom_freq_std": "p2", "body_mag_autocorr_periodicity_ratio": "1 + p3 * 4",
+    "body_mag_energy": "energy", "body_mag_dom_freq_hz": "dom * 2", "body_mag_autocorr_peak_freq_hz": "dom", "body_mag_interpeak_interval_cv": "p4", "jerk_mag_std": "jerk * 2", "dwt_high_low_ratio": "p5 * 8", "gravity_tilt_start_end_delta": "p6 * 2 - 0.3",
+    "body_vertical_energy": "energy / 2", "gravity_tilt_abs_z_std": "p0 / 4", "body_mag_coeff_var": "p1 * 4", "gravity_x_mean": "p2 * 20", "gravity_y_mean": "(p3 - 0.15) * 60", "gravity_z_mean": "(p4 - 0.15) * 60",
+}
+FEATURE_SQL = SCORED_SQL + ", f AS (SELECT session, seq, t, activity, p0 + p1 + p2 + 0.2 AS confidence, artifact, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in FEATURES.items()) + " FROM scored)"
+
+
+def featured(spark, sf) -> DataFrame:
+    rows = scored(spark, sf)
+    return rows.select("session", "seq", "t", "activity", F.expr("p0 + p1 + p2 + 0.2").alias("confidence"), "artifact", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in FEATURES.items()])
+
 
+ARTIFACT_SQL = FEATURE_SQL + ", m AS (SELECT *, abs(jerk_mag_p90) AS jerk, greatest(body_mag_energy_8_20_hz, 0) / greatest(greatest(body_mag_energy_0p5_4_hz, 0), 1e-8) AS hf, abs(body_mag_spectral_entropy) AS entropy, abs(gravity_angle_stability_std) AS gravity, abs(stft_dom_freq_std) AS jitter, abs(body_mag_autocorr_periodicity_ratio) AS periodicity FROM f), base AS (SELECT *, greatest(0, 0.30 * greatest(0, least(2.5, (jerk - 1.5) / 2)) + 0.30 * greatest(0, least(2.5, (hf - 0.35) / 0.4)) + 0.15 * greatest(0, least(2.5, (entropy - 3.2) / 1.2)) + 0.15 * greatest(0, least(2.5, (gravity - 0.1) / 0.2)) + 0.10 * greatest(0, least(2.5, (jitter - 0.18) / 0.22)) - 0.35 * greatest(0, least(2.5, periodicity - 1.3))) AS base FROM m)"
 
-@query("adaptive_artifact", f"WITH {SCORED_SQL}" + """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) - 1 AS held FROM scored)
-SELECT session, seq, round(greatest(0, CASE WHEN held >= 20 THEN 0.35 * artifact + 0.65 * greatest(0, 0.30 * greatest(0, jerk - 0.5) + 0.30 * greatest(0, energy - 1) + 0.15 * greatest(0, p0 - 0.1)
-  + 0.15 * greatest(0, p1 - 0.1) + 0.10 * greatest(0, p2 - 0.1) - 0.35 * greatest(0, dom - 2)) ELSE artifact END), 6) AS score FROM n""")
+
+@query("artifact_score", "WITH " + ARTIFACT_SQL + " SELECT session, seq, round(base, 6) AS score FROM base")
 def _(spark, sf):
-    held = F.row_number().over(Window.partitionBy("session").orderBy("t", "seq")) - 1
-    z = {"jerk": F.col("jerk") - 0.5, "hf": F.col("energy") - 1, "entropy": F.col("p0") - 0.1, "gravity": F.col("p1") - 0.1, "jitter": F.col("p2") - 0.1, "periodicity": F.col("dom") - 2}
-    return scored(spark, sf).select("session", "seq", r(guards.adaptive_score(F.col("artifact"), z, held >= 20)).alias("score"))
+    rows = featured(spark, sf)
+    return rows.select("session", "seq", r(guards.artifact_score(guards.artifact_metrics({n: F.col(n) for n in FEATURES}))).alias("score"))
+
+
+_METRICS = tuple(guards.ARTIFACT)
+ADAPTIVE_SQL = "WITH " + ARTIFACT_SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) - 1 AS held, " + ", ".join(f"list({n}) OVER (PARTITION BY session ORDER BY t, seq ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS h_{n}" for n in _METRICS) + " FROM base), z AS (SELECT session, seq, base, held, " + ", ".join(f"CASE WHEN len(h_{n}) >= 20 THEN greatest(-4, least(4, ({n} - list_median(h_{n})) / greatest(1e-3, 1.4826 * list_median(list_transform(h_{n}, lambda v: abs(v - list_median(h_{n}))))))) ELSE 0 END AS z_{n}" for n in _METRICS) + " FROM h) SELECT session, seq, round(CASE WHEN held >= 20 THEN 0.35 * base + 0.65 * greatest(0, " + " + ".join(f"({w}) * greatest(0, z_{n})" for n, (w, _, _) in guards.ARTIFACT.items()) + ") ELSE base END, 8) AS score FROM z"
+
+
+@query("adaptive_artifact", ADAPTIVE_SQL)
+def _(spark, sf):
+    found = guards.artifact_metrics({n: F.col(n) for n in FEATURES})
+    rows = featured(spark, sf).select("session", "seq", "t", *[c.alias(n) for n, c in found.items()])
+    rows = rows.withColumn("base", guards.artifact_score({n: F.col(n) for n in _METRICS})).withColumn("held", F.row_number().over(Window.partitionBy("session").orderBy("t", "seq")) - 1)
+    for n in _METRICS:
+        rows = timeseries.history_z(rows, n).withColumnRenamed("z", f"z_{n}")
+    return rows.select("session", "seq", r(guards.adaptive_score(F.col("base"), {n: F.col(f"z_{n}") for n in _METRICS}, F.col("held") >= 20), 8).alias("score"))
 
 
 @query("decoder_resets", CLEAN_SQL + """, g AS (SELECT session, seq, t, t - lag(t + 3600) OVER w AS space, row_number() OVER w AS n FROM clean WINDOW w AS (PARTITION BY session ORDER BY t, seq))
@@ -534,12 +625,20 @@ def _(spark, sf):
     return rows.select("session", "seq", (F.col("rank") + 1).cast("long").alias("rank"), "s.label", r("s.p").alias("p"))
 
 
-@query("hmm_decode")
+#: With equal chances to leave a label, the prior is 0.03 of all and 0.79 more of the label's own.
+HMM_SQL = "WITH RECURSIVE " + SCORED_SQL + """, o AS (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS n, list_transform([p0, p1, p2, p3, p4, p5, p6], lambda x: greatest(1e-12, least(1.0, x))) AS e FROM scored),
+e AS (SELECT session, seq, n, list_transform(e, lambda x: x / list_sum(e)) AS e FROM o),
+r AS (SELECT session, seq, n, list_transform(e, lambda x: x / list_sum(e)) AS post FROM e WHERE n = 1
+UNION ALL SELECT session, seq, n, list_transform(q, lambda x: x / list_sum(q)) FROM (SELECT e.session, e.seq, e.n, list_transform([1, 2, 3, 4, 5, 6, 7], lambda b: greatest(1e-12, least(1.0, (0.03 * list_sum(post) + 0.79 * post[b]) * e.e[b]))) AS q FROM r JOIN e ON e.session = r.session AND e.n = r.n + 1))
+SELECT session, seq, CAST(list_position(post, list_max(post)) - 1 AS INTEGER) AS label_index, """ + ", ".join(f"round(post[{k + 1}], 6) AS p{k}" for k in range(7)) + " FROM r"
+
+
+@query("hmm_decode", HMM_SQL)
 def _(spark, sf):
     k = len(LABELS)
     trans = [[0.82 if a == b else 0.03 for b in range(k)] for a in range(k)]
     rows = scored(spark, sf).select("session", "t", "seq", F.array(*probabilities().values()).alias("probs"))
-    return decode.decode(rows, [1 / k] * k, trans).select("session", "seq", "label_index", F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"))
+    return decode.decode(rows, [1 / k] * k, trans).select("session", "seq", "label_index", *[r(F.col("posterior")[b]).alias(f"p{b}") for b in range(k)])
 
 
 @query("insight_scores", f"""WITH {SCORED_SQL}, b AS (SELECT *, sqrt(energy / 0.123) AS ratio, CASE WHEN dom BETWEEN 0.5 AND 4 THEN dom ELSE 0 END AS cadence FROM scored)
@@ -554,6 +653,102 @@ def _(spark, sf):
                                     r(insights.posture_stability(e, a), 4).alias("stability"), insights.confidence_tier(F.col("p0"), a).alias("tier"), insights.group_of(F.col("activity")).alias("grp"))
 
 
+_C = lambda x, a=0, b=1: f"greatest({a}, least({b}, {x}))"
+INSIGHT_SQL = "WITH " + FEATURE_SQL + f""", i AS (SELECT *, coalesce(activity, 'unknown') AS said, sqrt(body_mag_energy / 0.123) AS intensity_ratio, abs(gravity_tilt_start_end_delta) * 180 / pi() AS orientation_change_deg,
+CASE WHEN abs(gravity_z_mean) >= 8.5 AND abs(gravity_z_mean) >= greatest(abs(gravity_x_mean), abs(gravity_y_mean)) THEN 'flat' WHEN abs(gravity_y_mean) >= 8.5 AND abs(gravity_y_mean) >= greatest(abs(gravity_x_mean), abs(gravity_z_mean)) THEN CASE WHEN gravity_y_mean < 0 THEN 'upright' ELSE 'upside-down' END ELSE 'tilted' END AS phone_orientation,
+100 * (0.5 * (1 - {_C('artifact')}) + 0.3 * (1 - {_C('(dwt_high_low_ratio - 0.5) / 2')}) + 0.2 * (1 - {_C('body_mag_coeff_var / 1.5')})) AS signal_quality_score,
+CASE WHEN confidence >= 0.8 AND artifact < 1.5 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS tier,
+60 * CASE WHEN body_mag_autocorr_peak_freq_hz BETWEEN 0.5 AND 4 THEN body_mag_autocorr_peak_freq_hz WHEN body_mag_dom_freq_hz BETWEEN 0.5 AND 4 THEN body_mag_dom_freq_hz ELSE 0 END AS cadence_spm,
+100 * (0.45 * (1 - {_C('jerk_mag_std / 2.5')}) + 0.35 * (1 - {_C('jerk_mag_p90 / 4')}) + 0.2 * (1 - {_C('(dwt_high_low_ratio - 0.5) / 2')})) AS smoothness_score,
+{_C('14 * sqrt(body_vertical_energy) + 20 * gravity_tilt_abs_z_std', 0, 80)} AS vertical_oscillation_mm, 100 * (0.5 * {_C('jerk_mag_p90 / 4')} + 0.3 * {_C('jerk_mag_std / 2.5')} + 0.2 * {_C('body_mag_energy / 6')}) AS ground_impact_score,
+100 * (0.4 * (1 - {_C('body_mag_energy / 0.5')}) + 0.35 * (1 - {_C('sqrt(body_mag_energy) / 0.3')}) + 0.25 * (1 - {_C('gravity_angle_stability_std / 0.2')})) AS posture_stability_score, gravity_tilt_abs_z_std * 180 / pi() AS sway_amplitude_deg FROM f),
+j AS (SELECT *, CASE WHEN intensity_ratio < 1.2 THEN 'still' WHEN intensity_ratio < 1.8 THEN 'light' WHEN intensity_ratio < 2.8 THEN 'moderate' ELSE 'high' END AS intensity_level, orientation_change_deg >= 15 AS posture_change_detected,
+CASE WHEN cadence_spm > 0 THEN 100 * (0.5 * {_C('(body_mag_autocorr_periodicity_ratio - 1) / 2')} + 0.3 * (1 - {_C('body_mag_interpeak_interval_cv / 0.5')}) + 0.2 * (1 - {_C('stft_dom_freq_std / 0.75')})) ELSE 0 END AS regularity,
+CASE WHEN said IN ('walk', 'run', 'stairs') THEN 'locomotion' WHEN said IN ('sit/lay', 'stand') THEN 'static' WHEN said = 'transitions' THEN 'transition' ELSE 'other' END AS grp,
+said IN ('walk', 'run', 'stairs') AND jerk_mag_p90 >= 2.5 AND ground_impact_score >= 55 AND intensity_ratio >= 2 AS burst_detected FROM i),
+k AS (SELECT *, ' at ' || CAST(CAST(round_even(cadence_spm, 0) AS BIGINT) AS VARCHAR) || ' SPM' AS spm, printf('%.1f', round_even(sway_amplitude_deg, 1)) || '\u00b0' AS sway FROM j)"""
+NUMBERS = ("intensity_ratio", "orientation_change_deg", "signal_quality_score", "cadence_spm", "smoothness_score", "vertical_oscillation_mm", "ground_impact_score", "posture_stability_score", "sway_amplitude_deg")
+
+
+@query("window_insights", INSIGHT_SQL + " SELECT session, seq, " + ", ".join(f"round({n}, 5) AS {n}" for n in NUMBERS) + """, round(regularity, 5) AS stride_regularity_score, intensity_level, burst_detected, posture_change_detected, phone_orientation, tier AS prediction_confidence_tier,
+CAST(9 + CASE grp WHEN 'locomotion' THEN 6 WHEN 'static' THEN 2 WHEN 'transition' THEN 1 ELSE 0 END AS INTEGER) AS n_applicable, CASE WHEN tier = 'low' THEN 'Uncertain \u2014 try adjusting phone position'
+WHEN said = 'walk' THEN CASE WHEN regularity >= 80 THEN 'Steady walking' WHEN ground_impact_score >= 60 THEN 'Walking with firm steps' ELSE 'Walking' END || spm
+WHEN said = 'run' THEN CASE WHEN ground_impact_score >= 70 THEN 'High-impact running \u2014 consider softer landing' WHEN regularity >= 80 THEN 'Smooth running' || spm ELSE 'Running' || spm END WHEN said = 'stairs' THEN 'Climbing' || spm
+WHEN said = 'sit/lay' THEN CASE WHEN posture_stability_score >= 80 THEN 'Stable seated posture' WHEN sway_amplitude_deg >= 5 THEN 'Slight sway while seated \u2014 ' || sway ELSE 'Relaxed seated posture' END
+WHEN said = 'stand' THEN CASE WHEN posture_stability_score >= 80 THEN 'Standing still' WHEN sway_amplitude_deg >= 3 THEN 'Slight sway while standing \u2014 ' || sway ELSE 'Standing' END WHEN said = 'transitions' THEN 'Transitioning...' ELSE 'Activity detected' END AS activity_specific_insight FROM k""")
+def _(spark, sf):
+    rows = insights.window_insights(featured(spark, sf))
+    return rows.select("session", "seq", *[r(n, 5).alias(n) for n in (*NUMBERS, "stride_regularity_score")], "intensity_level", "burst_detected", "posture_change_detected", "phone_orientation", "prediction_confidence_tier", F.size("applicable_insights").alias("n_applicable"), "activity_specific_insight")
+
+
+@query("session_recap", INSIGHT_SQL + """, l AS (SELECT *, lag(intensity_level) OVER w AS before_level, lag(phone_orientation) OVER w AS before_place FROM k WINDOW w AS (PARTITION BY session ORDER BY t, seq)),
+a AS (SELECT session, count(*) AS windows, 1.28 * count(*) FILTER (WHERE intensity_level <> 'still') AS active_seconds, 1.28 * count(*) FILTER (WHERE intensity_level IN ('moderate', 'high')) AS moderate_or_higher_seconds, 1.28 * count(*) FILTER (WHERE grp = 'locomotion') AS locomotion_seconds, 1.28 * count(*) FILTER (WHERE grp = 'static') AS static_seconds,
+max(intensity_ratio) AS peak_intensity_ratio, max(cadence_spm) AS peak_cadence_spm, max(ground_impact_score) AS peak_impact_score, coalesce(avg(cadence_spm) FILTER (WHERE cadence_spm > 0), 0) AS cadence_mean_spm, coalesce(avg(regularity) FILTER (WHERE cadence_spm > 0), 0) AS cadence_consistency_mean_pct,
+avg(smoothness_score) AS smoothness_mean_score, avg(signal_quality_score) AS signal_quality_mean, least(100, min(signal_quality_score)) AS signal_quality_min, coalesce(avg(posture_stability_score) FILTER (WHERE grp = 'static'), 0) AS avg_posture_stability, count(*) FILTER (WHERE before_level <> intensity_level) AS transition_count,
+count(*) FILTER (WHERE before_place <> phone_orientation) AS phone_reposition_count, count(*) FILTER (WHERE burst_detected) AS burst_count, count(*) FILTER (WHERE posture_change_detected) AS posture_change_count, count(*) FILTER (WHERE said = 'walk') AS walks FROM l GROUP BY 1),
+c AS (SELECT session, arg_max(said, (n, -t0, -s0)) AS most_common_activity FROM (SELECT session, said, count(*) AS n, min(t) AS t0, arg_min(seq, (t, seq)) AS s0 FROM k GROUP BY 1, 2) GROUP BY 1)
+SELECT session, windows, transition_count, phone_reposition_count, burst_count, posture_change_count, most_common_activity, CAST(CASE WHEN walks > 0 THEN round_even(round(cadence_mean_spm * locomotion_seconds / 60, 9), 0) ELSE 0 END AS BIGINT) AS estimated_steps, """ + ", ".join(f"round({n}, 4) AS {n}" for n in (
+    "active_seconds", "moderate_or_higher_seconds", "locomotion_seconds", "static_seconds", "peak_intensity_ratio", "peak_cadence_spm", "peak_impact_score", "cadence_mean_spm", "cadence_consistency_mean_pct", "smoothness_mean_score", "signal_quality_mean", "signal_quality_min", "avg_posture_stability")) + " FROM a JOIN c USING (session)")
+def _(spark, sf):
+    rows = recap.session_recap(insights.window_insights(featured(spark, sf)))
+    rounded = ("active_seconds", "moderate_or_higher_seconds", "locomotion_seconds", "static_seconds", "peak_intensity_ratio", "peak_cadence_spm", "peak_impact_score", "cadence_mean_spm", "cadence_consistency_mean_pct", "smoothness_mean_score", "signal_quality_mean", "signal_quality_min", "avg_posture_stability")
+    return rows.select("session", "windows", "transition_count", "phone_reposition_count", "burst_count", "posture_change_count", "most_common_activity", "estimated_steps", *[r(n, 4).alias(n) for n in rounded])
+
+
+@query("activity_log", CLEAN_SQL + ", l AS (SELECT session, row_number() OVER w AS window_index, lag(activity) OVER w AS from_activity, activity AS to_activity FROM clean WINDOW w AS (PARTITION BY session ORDER BY t, seq)) SELECT * FROM l WHERE from_activity <> to_activity")
+def _(spark, sf):
+    return recap.activity_log(clean(spark, sf))
+
+
+@query("initial_probs", TRANS_SQL + ", i AS (SELECT session, arg_min(activity, (t, seq)) AS activity FROM clean WHERE activity IS NOT NULL GROUP BY 1), c AS (SELECT activity, count(*) AS n FROM i GROUP BY 1) SELECT a AS activity, round(ln((coalesce(n, 0) + 1) / (sum(coalesce(n, 0) + 1) OVER ())::DOUBLE), 6) AS p FROM names LEFT JOIN c ON c.activity = a WHERE a IS NOT NULL")
+def _(spark, sf):
+    rows = clean(spark, sf)
+    return evaluation.log_form(evaluation.initial_probs(rows, rows)).select("activity", r("p").alias("p"))
+
+
+@query("label_coverage", PRED_SQL + """, w AS (SELECT CASE WHEN dataset NOT IN (1, 2, 3, 4) THEN 'excluded_dataset' WHEN predicted NOT IN ('run', 'walk', 'sit/lay') THEN 'excluded_placement' WHEN label NOT IN ('lay', 'stairs', 'stand', 'walk') THEN 'excluded_activity' ELSE 'label:' || label END AS metric
+FROM (SELECT *, CASE WHEN activity = 'sit/lay' THEN 'lay' ELSE activity END AS label FROM pred)), c AS (SELECT metric, count(*) AS n FROM w GROUP BY 1),
+t AS (SELECT metric, coalesce(n, 0) AS value FROM (SELECT unnest(['label:lay', 'label:stairs', 'label:stand', 'label:walk', 'excluded_dataset', 'excluded_placement', 'excluded_activity']) AS metric) LEFT JOIN c USING (metric))
+SELECT * FROM t UNION ALL SELECT 'total_windows', CAST(sum(value) FILTER (WHERE metric LIKE 'label:%') AS BIGINT) FROM t UNION ALL SELECT 'missing_labels', count(*) FILTER (WHERE metric LIKE 'label:%' AND value = 0) FROM t""")
+def _(spark, sf):
+    rows = predicted(spark, sf).select(F.col("dataset").cast("string").alias("dataset_id"), F.col("predicted").alias("placement_label"), F.col("activity").alias("activity_label"))
+    return evaluation.coverage(rows, ("1", "2", "3", "4"), ("run", "walk", "sit/lay"), ("walk", "stand", "stairs", "lay"), {"sit/lay": "lay"})
+
+
+FLUSH_SQL = f"""WITH {SENSOR_SQL}, named AS (SELECT session, seq, t, x * 9.81 AS x, y * 9.81 AS y, z * 9.81 AS z FROM sensor WHERE activity IN ('walk', 'run', 'stand', 'sit/lay')),
+first AS (SELECT *, row_number() OVER (PARTITION BY session, t ORDER BY seq) AS n FROM named WHERE t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), clean AS (SELECT session, seq, t - min(t) OVER (PARTITION BY session) AS t, x FROM first WHERE n = 1),
+cut AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t, seq) > 172800 THEN 1 ELSE 0 END AS c FROM clean), seg AS (SELECT *, sum(c) OVER (PARTITION BY session ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS segment FROM cut),
+own AS (SELECT CASE WHEN max(segment) OVER (PARTITION BY session) > 0 THEN session || ':segment:' || CAST(segment AS BIGINT) ELSE CAST(session AS VARCHAR) END AS session, t - min(t) OVER (PARTITION BY session, segment) AS t, seq, x FROM seg),
+a AS (SELECT *, lead(t) OVER w AS t1, lead(x) OVER w AS x1 FROM own WINDOW w AS (PARTITION BY session ORDER BY t, seq)), g AS (SELECT session, unnest(range(0, CAST(ceil((max(t) + 7200) / 14400) AS BIGINT))) AS i FROM own GROUP BY session),
+grid AS (SELECT g.session, g.i, CASE WHEN t1 IS NULL THEN x ELSE x + (g.i * 14400.0::DOUBLE - t) / (t1 - t) * (x1 - x) END AS x FROM g JOIN a ON g.session = a.session AND g.i * 14400 >= t AND (t1 IS NULL OR g.i * 14400 < t1)),
+n AS (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM grid), w AS (SELECT session, x, i, unnest(range(CAST(greatest(0, ceil((i - 15) / 8.0)) AS BIGINT), CAST(least(i // 8, (n - 16) // 8) AS BIGINT) + 1)) AS window_index FROM n WHERE n >= 16)
+SELECT session, window_index, count(*) AS n, round(avg(x), 7) AS mean_x, round(sum((i - window_index * 8) * x), 3) AS weighted FROM w GROUP BY 1, 2"""
+
+
+@query("session_flush", FLUSH_SQL)
+def _(spark, sf):
+    """Raw sensor rows to windows in one operator: labels, scale, gaps of two days, a grid of four hours, windows of 16 by 8."""
+    from strideflow.sources.files import flush_sessions
+
+    rows = sensor(spark, sf).withColumns({"raw": F.concat(F.lit(" "), F.upper("activity")), "subject": F.col("session"), "split": F.lit("train"), "placement": F.lit("pocket")}).drop("activity")
+    names = {"walk": "walk", "run": "run", "stand": "stand", "sit/lay": "sit/lay", "transitions": None}
+    windows = flush_sessions(rows, names, 9.81, 48 * HOUR, 4 * HOUR, 16, 8)
+    return windows.groupBy("session", "window_index").agg(F.count("*").alias("n"), r(F.avg("x"), 7).alias("mean_x"), r(F.sum(F.col("sample_index") * F.col("x")), 3).alias("weighted"))
+
+
+@query("example_routing", PRED_SQL + """, e AS (SELECT *, CASE WHEN activity = 'sit/lay' THEN 'stand' ELSE activity END AS label, CASE session % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'train_only' WHEN 2 THEN 'other' ELSE 'train' END AS split FROM pred),
+p AS (SELECT *, CASE split WHEN 'test' THEN 'test' WHEN 'train' THEN 'train' END AS part FROM e WHERE dataset IN (1, 2, 3) AND predicted IN ('run', 'walk') AND label IN ('walk', 'stand', 'run') AND split IN ('test', 'train') AND NOT (label = 'run' AND split = 'train'))
+SELECT part, dataset || '|' || session AS subject_group, label AS activity_label, count(*) AS n FROM p WHERE label IN (SELECT label FROM p WHERE part = 'train') GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Examples without train_only sessions; runs are kept from training, so the test's runs have no label to fit."""
+    s = F.col("session") % 5
+    split = F.when(s == 0, "test").when(s == 1, "train_only").when(s == 2, "other").otherwise("train")
+    rows = predicted(spark, sf).select(F.col("dataset").cast("string").alias("dataset_id"), F.col("predicted").alias("placement_label"), F.col("activity").alias("activity_label"), split.alias("split"), F.col("session").cast("string").alias("global_subject_id"), F.lit("s").alias("stream_id"))
+    rows = rows.where("not (activity_label = 'run' and split = 'train')")
+    out = training.collect_examples(rows, ("1", "2", "3"), ("run", "walk"), ("walk", "stand", "run"), {"sit/lay": "stand"}, train_only=False)
+    return out.groupBy("part", "subject_group", "activity_label").agg(F.count("*").alias("n"))
+
+
 @query("live_snapshots")
 def _(spark, sf):
     """Sessions of the sensor scored message by message (one message per event; hours stand for the 20 ms step)."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strideflow.operators import timeseries
+
 #: Contract columns and types.
 CONTRACT = (
     "dataset_enum STRING, dataset_id STRING, stream_id STRING, split STRING, global_subject_id STRING, subject_local_id STRING, global_session_id STRING, source_session_id STRING, "
@@ -53,7 +55,7 @@ def recording_folder(path: Column, activities: tuple[str, ...]) -> tuple[Column,
 
 
 def holdout(subjects: DataFrame, rule: str, values: tuple[int, ...] = (), column: str = "subject") -> DataFrame:
-    """subject, split. Rules: none, exact, list (one less each where ids start at 0), every-fifth."""
+    """subject, split. Rules: none, exact, list (the ids as they stand, else one less each; raises where neither are all there), every-fifth."""
     n = F.col(column).cast("int")
     ids = subjects.select(column).distinct()
     zero = F.min(n).over(Window.partitionBy()) == 0
@@ -62,7 +64,11 @@ def holdout(subjects: DataFrame, rule: str, values: tuple[int, ...] = (), column
     elif rule == "exact":
         test = n.isin(*values)
     elif rule == "list":
-        test = F.when(zero, (n + 1).isin(*values)).otherwise(n.isin(*values))
+        have = {row[0] for row in ids.where(n.isin(*values, *(v - 1 for v in values))).select(n).collect()}  # at most two for each value
+        based = next((k for k in (0, 1) if {v - k for v in values} <= have), None)
+        if based is None:
+            raise ValueError(f"subjects {sorted(values)} are not all there, nor those one less")
+        test = n.isin(*(v - based for v in values))
     elif rule == "every-fifth":
         test = F.when(zero, (n + 1) % 5 == 0).otherwise(n % 5 == 0)
     else:
@@ -70,6 +76,79 @@ def holdout(subjects: DataFrame, rule: str, values: tuple[int, ...] = (), column
     return ids.select(column, F.when(test, "test").otherwise("train").alias("split"))
 
 
+def map_labels(rows: DataFrame, names: dict[str, str | None], raw: str = "raw", label: str = "activity") -> DataFrame:
+    """The rows whose raw activity name, normalised, has a label; others, and names mapped to none, are left out."""
+    known = {k: v for k, v in names.items() if v is not None}
+    found = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[normal_name(F.col(raw))] if known else F.lit(None).cast("string")
+    return rows.withColumn(label, found).where(F.col(label).isNotNull())
+
+
+def remap(label: Column, names: dict[str, str]) -> Column:
+    """Labels merged or renamed; others stay."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[label], label) if names else label
+
+
+def placement(name: Column, aliases: dict[str, str], models: dict[str, str]) -> Column:
+    """The model's placement of a recording's: aliases first; names without a model placement stay."""
+    return remap(remap(name, aliases), models)
+
+
+def one_hot(name: Column, names: tuple[str, ...], unknown: str = "unknown_free_living") -> dict[str, Column]:
+    """A 0/1 column for each placement; a placement that isn't among them counts as ``unknown``."""
+    known = F.when(name.isin(*names), name).otherwise(unknown)
+    return {f"placement_{n}": (known == n).cast("float") for n in names}
+
+
+def scaled(rows: DataFrame, factor: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Axes in metres per square second."""
+    return rows.withColumns({a: F.col(a) * factor for a in axes})
+
+
+def position_file(path: Column, position: Column) -> tuple[Column, Column]:
+    """Subject and raw activity of ``proband<subject>/.../acc_<activity>_<position>.csv``; null where the name is another."""
+    stem = F.regexp_extract(path, r"([^/]+)\.csv$", 1)
+    tail = F.concat(F.lit("_"), position)
+    fits = stem.startswith("acc_") & stem.endswith(tail) & (F.length(stem) > 4 + F.length(tail))
+    subject = F.regexp_extract(path, r"proband([^/]+)/", 1)
+    return F.when(subject != "", subject), F.when(fits, F.substring(stem, F.lit(5), F.length(stem) - 4 - F.length(tail)))
+
+
+def trial_side(trial: Column, code: Column) -> Column:
+    """The pocket of a trial: falls have three on each side, others the first on the right."""
+    fall = code.startswith("Falling") | code.isin("HittingObstacle", "Syncope")
+    return F.when(trial <= F.when(fall, 3).otherwise(1), "front_pocket_right").otherwise("front_pocket_left")
+
+
+def segment_session(session: Column, segment: Column, segments: Column) -> Column:
+    """The source session's id, with its segment where gaps made several."""
+    return F.when(segments > 1, F.concat(session.cast("string"), F.lit(":segment:"), segment.cast("string"))).otherwise(session.cast("string"))
+
+
+def flush_sessions(rows: DataFrame, names: dict[str, str | None], factor: float = 1.0, max_gap: float = 0.25, step: float = 0.02, size: int = 128, hop: int = 64) -> DataFrame:
+    """From raw samples (session, seq, t, x, y, z, subject, split, raw, placement) to the windows of labelled sessions.
+
+    Labels, scale, sanitized times, gap segments, a regular grid in each segment, count windows; session, subject, split, raw,
+    activity and placement are the session's own. Everything is partitioned by session or segment; nothing holds a session.
+    """
+    own = ["subject", "split", "raw", "activity", "placement"]
+    kept = timeseries.gap_segments(timeseries.sanitize(scaled(map_labels(rows, names), factor)), max_gap)
+    last = F.max("segment").over(Window.partitionBy("session"))
+    kept = kept.withColumn("_segment", segment_session(F.col("session"), F.col("segment"), last + 1))
+    facts = kept.groupBy("_segment").agg(*[F.first(c).alias(c) for c in own])
+    grid = timeseries.resample(kept.select("_segment", F.col("t_segment").alias("t"), "seq", "x", "y", "z"), step, key="_segment")
+    windows = timeseries.sliding_windows(grid.withColumns({"t": F.col("i") * step, "seq": F.col("i")}), size, hop, key="_segment")
+    return windows.join(facts, "_segment").withColumnRenamed("_segment", "session").select("session", *own, "window_index", "sample_index", "x", "y", "z")
+
+
+def pick_files(paths: DataFrame, most: int) -> DataFrame:
+    """Of part files by path, the first ``most`` in order of name of each split (``split=...`` in the path); all where ``most`` is not positive."""
+    if most <= 0:
+        return paths
+    split = F.regexp_extract("path", r"split=([^/]+)", 1)
+    ranked = paths.withColumn("_n", F.row_number().over(Window.partitionBy(split).orderBy("path")))
+    return ranked.where((F.col("_n") <= most) & (split != "")).drop("_n")
+
+
 def contract(windows: DataFrame, dataset: str, stream: str, rate: int = 50) -> DataFrame:
     """The sample table from windowed rows: session, subject, split, activity (label), raw, placement, window_index, sample_index, x, y, z."""
     session = F.format_string(f"{dataset}:{stream}:session:%s", F.col("session").cast("string"))

@@ -132,10 +132,11 @@ def energy_emission(f: dict) -> np.ndarray:
     return np.array([1 - still - run, run, still]) + 1e-6
 
 
-def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
+def score_stream(rows: DataFrame, scorer: Scorer, ttl_seconds: int = 6 * 3600) -> DataFrame:
     """Snapshots, one per message, of point rows (stream or not), in order of message id within what a trigger brings.
 
-    Without a stream, a session is read message by message and only its state is carried.
+    Without a stream, a session is read message by message and only its state is carried. In a stream, the state of a session
+    that brings nothing for ``ttl_seconds`` is dropped.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -162,6 +163,9 @@ def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
         return in_order(named, ("message_id", "seq"), ordered, SNAPSHOT)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = empty()
         if held.exists:
             ns, x, y, z, posterior, last, end = held.get
@@ -169,9 +173,10 @@ def score_stream(rows: DataFrame, scorer: Scorer) -> DataFrame:
         whole = pd.concat(list(frames))
         out = score(state, key[0], whole)
         held.update((state["ns"].tolist(), *[state["xyz"][:, k].tolist() for k in range(3)], [] if state["posterior"] is None else state["posterior"].tolist(), state["last_id"], state["window_end"]))
+        held.setTimeoutDuration(max(1, ttl_seconds) * 1000)
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strideflow.functions import guards
+from strideflow.functions import guards, insights
 from strideflow.functions import signal as S
 from strideflow.functions.features import NAMES, compute, window_features
-from strideflow.operators import decode, recap, timeseries, training
+from strideflow.operators import decode, evaluation, recap, timeseries, training
 from strideflow.sources import files, recordings
 from strideflow.streaming import live
 
@@ -111,6 +111,57 @@ def test_pocket_sanity(spark, p, raw, sure, cadence, rhythm, artifact, top, reas
     assert (row.reason, row.top) == (reason, top) and row.mass == pytest.approx(1)
 
 
+EIGHT = ("walk", "run", "stairs", "sit", "stand", "lay", "transitions", "locomotion-other")
+
+
+def guard_row(spark, guard, m, **p):
+    """The guard's output on one row of literals; labels that aren't named hold nothing."""
+    out = guard({n: F.lit(float(p.get(n.replace("-", "_"), 0.0))) for n in EIGHT}, {"pocket": F.lit(True)} | {k: F.lit(v) for k, v in m.items()})
+    return spark.range(1).select(*[c.alias(n) for n, c in out.items()]).first().asDict()
+
+
+def test_stairs_in_a_moving_pocket_by_smoothed_stairs(spark):
+    p, m = {"stairs": 0.70, "walk": 0.22, "run": 0.08}, {"energy": 0.8, "dom": 1.9, "previous_stairs": 0.66}
+    got = guard_row(spark, guards.stairs_moving, m, **p)
+    assert got["stairs"] == pytest.approx(0.15) and sum(got.values()) == pytest.approx(1) and got["walk"] == pytest.approx(0.22 + 0.55 * 0.22 / 0.30)
+    assert guard_row(spark, guards.stairs_moving, m | {"pocket": False}, **p)["stairs"] == pytest.approx(0.70)
+    low = {"stairs": 0.40, "walk": 0.50, "run": 0.10}
+    assert guard_row(spark, guards.stairs_moving, m | {"previous_stairs": 0.0}, **low)["stairs"] == pytest.approx(0.40)  # 0.24 smoothed
+    assert guard_row(spark, guards.stairs_moving, m | {"previous_stairs": None}, **low)["stairs"] == pytest.approx(0.15)  # the present alone
+    few = {"stairs": 0.75, "walk": 0.20, "sit": 0.05}
+    assert guard_row(spark, guards.stairs_moving, m, **few)["stairs"] == pytest.approx(0.75)  # too little gait
+
+
+def test_other_guards_on_stated_rows(spark):
+    got = guard_row(spark, guards.low_motion, {"energy": 0.02}, run=0.85, sit=0.10, lay=0.05)
+    assert got["run"] == got["transitions"] == 0 and got["sit"] + got["lay"] == pytest.approx(1) and got["sit"] > got["lay"]
+    assert guard_row(spark, guards.low_motion, {"energy": 0.1}, **{n.replace("-", "_"): 0.125 for n in EIGHT}) == {n: 0.125 for n in EIGHT}
+    assert sum(guard_row(spark, guards.low_motion, {"energy": 0.0}, **{n.replace("-", "_"): 0.125 for n in EIGHT}).values()) == pytest.approx(1)
+    got = guard_row(spark, guards.stairs_static, {"energy": 0.1, "jerk": 0.2, "dom": 0.2}, stairs=0.6, stand=0.4)
+    assert got["stairs"] <= 0.03 + 1e-12 and sum(got.values()) == pytest.approx(1)
+    p = {"walk": 0.35, "run": 0.33, "stairs": 0.28, "stand": 0.04}
+    got = guard_row(spark, guards.smooth_walk, {"energy": 0.9, "dom": 1.9, "jerk": 0.6}, **p)
+    assert got["walk"] > 0.35 and got["run"] < 0.33 and got["stairs"] < 0.28
+    assert guard_row(spark, guards.smooth_walk, {"energy": 2.6, "dom": 2.8, "jerk": 2.1}, **p)["walk"] == 0.35
+    m = {"energy": 10.0}
+    held = guard_row(spark, lambda q, m: guards.locomotion_transitions(q, F.lit("stand"), m), m, transitions=0.9, walk=0.1)
+    moved = guard_row(spark, lambda q, m: guards.locomotion_transitions(q, F.lit("walk"), m), m, transitions=0.9, walk=0.1)
+    assert held["transitions"] == 0.9 and moved["walk"] == pytest.approx(0.55)
+    raw = {n: F.lit({"walk": 0.22, "run": 0.08, "stairs": 0.70}.get(n, 0.0)) for n in EIGHT}
+    capped = guard_row(spark, lambda q, m: guards.stairs_failsafe(q, raw, m), {}, stairs=0.995, walk=0.004, run=0.001)
+    assert capped["stairs"] == pytest.approx(0.55) and capped["walk"] > 0.004 and capped["run"] > 0.001
+    sure = raw | {"stairs": F.lit(0.92)}
+    assert guard_row(spark, lambda q, m: guards.stairs_failsafe(q, sure, m), {}, stairs=0.995, walk=0.004, run=0.001)["stairs"] == 0.995
+
+
+def test_artifact_score_by_its_terms(spark):
+    row = {"jerk_mag_p90": 5.0, "body_mag_energy_8_20_hz": 4.0, "body_mag_energy_0p5_4_hz": 1.0, "body_mag_spectral_entropy": 4.8, "gravity_angle_stability_std": 0.55, "body_mag_autocorr_periodicity_ratio": 1.1, "stft_dom_freq_std": 0.7}
+    m = guards.artifact_metrics({k: F.lit(v) for k, v in row.items()})
+    got = spark.range(1).select(guards.artifact_score(m).alias("score"), m["hf"].alias("hf"), guards.source_suffix(F.lit("continued"), {"stairs-failsafe": F.lit(True), "locomotion-transitions": F.lit(False), "pocket-sanity": F.lit(True)}).alias("source")).first()
+    assert got.hf == 4 and got.source == "continued+stairs-failsafe+pocket-sanity"
+    assert got.score == pytest.approx(0.30 * 1.75 + 0.30 * 2.5 + 0.15 * 1.6 / 1.2 + 0.15 * 2.25 + 0.10 * 0.52 / 0.22)
+
+
 def test_low_motion_resets_the_decoder_unless_it_was_still(spark):
     cases = [(True, None, True), (True, [0.1, 0.2], True), (True, [0.9, 0, 0, 0.1, 0, 0], True), (True, [0.1, 0, 0, 0.9, 0, 0], False), (True, [0.4, 0.3, 0.3, 0.0, 0.0, 0.0], False),
              (True, [float("nan")] + [0.2] * 5, True), (True, [0.0] * 6, True), (False, None, False)]
@@ -141,7 +192,7 @@ def test_decoding_against_numpy(spark):
 
 
 def bout(activity, duration, confidence=0.9, quality=90.0):
-    return {"session": 1, "run": 0, "activity": activity, "duration": duration, "confidence_s": confidence * duration, "quality_s": quality * duration, "cadence_s": 0.0, "windows": 1}
+    return {"session": 1, "run": 0, "activity": activity, "duration": duration, "confidence_s": confidence * duration, "quality_s": quality * duration, "cadence_s": 0.0, "cadence_d": 0.0, "postures": 0, "folded": 0, "windows": 1}
 
 
 @pytest.mark.parametrize(("before", "after"), [
@@ -149,6 +200,12 @@ def bout(activity, duration, confidence=0.9, quality=90.0):
     ([("stairs", 2), ("walk", 20)], [("walk", 22)]),
     ([("sit/lay", 20), ("transitions", 5), ("stand", 9)], [("sit/lay", 20), ("transitions", 5), ("stand", 9)]),
     ([("walk", 20), ("run", 9), ("walk", 10)], [("walk", 20), ("run", 9), ("walk", 10)]),
+    ([("walk", 30), ("run", 3), ("sit/lay", 30)], [("walk", 30), ("run", 3), ("sit/lay", 30)]),
+    ([("walk", 30), ("locomotion-other", 2), ("sit/lay", 30)], [("walk", 30), ("locomotion-other", 2), ("sit/lay", 30)]),
+    ([("walk", 30), ("stairs", 3)], [("walk", 33)]),
+    ([("walk", 30), ("locomotion-other", 2)], [("walk", 30), ("locomotion-other", 2)]),
+    ([("run", 20), ("walk", 2), ("run", 10)], [("run", 32)]),
+    ([("stairs", 20), ("run", 2), ("stairs", 10)], [("stairs", 32)]),
 ])
 def test_denoising(before, after):
     got = recap.denoise_list([bout(a, d) for a, d in before])
@@ -160,6 +217,92 @@ def test_shaky_motion_between_still_bouts_goes_to_the_longer():
     assert [(x["activity"], x["duration"]) for x in recap.denoise_list(b)] == [("sit/lay", 20), ("stand", 32)]
 
 
+ENTRY = "session long, seq long, t double, status string, activity string, confidence double, quality double, cadence double, posture_change boolean"
+
+
+def recap_of(spark, *entries):
+    """Entries (activity, seconds since the one before, confidence, quality, Hz)."""
+    t, rows = 0.0, []
+    for k, (activity, gap, sure, quality, hz) in enumerate(entries):
+        t += gap
+        rows.append((1, k, t, "success", activity, sure, quality, hz, k == 1))
+    rows += [(1, 90, t + 0.1, "error", "run", 1.0, 0.0, 3.0, False), (1, 91, t + 0.2, "success", "unknown", 1.0, 0.0, 3.0, False)]
+    return recap.history(spark.createDataFrame(rows, ENTRY))
+
+
+@pytest.mark.parametrize(("activities", "dominant", "bouts"), [
+    ("sit/lay walk:.41 sit/lay", "sit/lay", 1), ("sit/lay walk:.41 stand stand", "stand", 2), ("walk stairs:.46 walk", "walk", 1), ("walk walk stairs stairs", "walk", 1),
+    ("run walk run", "run", 1), ("stairs run stairs", "stairs", 1),
+])
+def test_recaps_of_short_sequences(spark, activities, dominant, bouts):
+    told = [a.split(":") for a in activities.split()]
+    row = recap.summary(recap_of(spark, *[(a, 0.7, float(s[0]) if s else 0.9, 90.0, 1.8) for a, *s in told])).first()
+    assert (row.dominant_activity, row.bouts) == (dominant, bouts) and row.noise_bouts_folded >= 1 and row.notes[0].startswith(f"Folded {row.noise_bouts_folded} brief")
+    assert row.summary_text.startswith(f"Mostly {dominant} over 2s." if len(told) == 3 else f"Mostly {dominant} over 3s.")
+
+
+def test_summary_numbers(spark):
+    entries = recap_of(spark, *[("walk", 2.0, 0.9, 80.0, 2.0)] * 5, *[("sit/lay", 1.0, 0.9, 50.0, 0.0)] * 4)
+    row = recap.summary(entries).first()
+    assert row.total_seconds == pytest.approx(13.5) and row.walking_seconds == pytest.approx(9) and row.stationary_seconds == pytest.approx(4.5)  # the last one takes the median step
+    assert row.estimated_steps == 18 and row.average_cadence_spm == pytest.approx(120) and row.peak_cadence_spm == pytest.approx(120) and row.estimated_distance_m == pytest.approx(12.6)
+    assert row.signal_quality_mean == pytest.approx((5 * 80 + 4 * 50) / 9) and row.signal_quality_min == 50 and row.posture_change_count == 1 and row.noise_bouts_folded == 0
+    assert row.notes == [recap.NOTE_SPIKES, recap.NOTE_BLIPS] and row.summary_text == "Mostly walk over 14s. Walking 9s, stationary 4s, about 18 steps at 120 SPM average."
+
+
+def insight_row(spark, activity, confidence=0.9, artifact=0.1, **changed):
+    row = dict.fromkeys(insights.REQUIRED, 0.0) | {"gravity_y_mean": -9.5} | changed
+    frame = spark.createDataFrame([(activity, confidence, artifact, *row.values())], "activity string, confidence double, artifact double, " + ", ".join(f"{n} double" for n in row))
+    return insights.window_insights(frame, baseline=1.0).first()
+
+
+def test_window_insights_on_stated_rows(spark):
+    walk = insight_row(spark, "walk", body_mag_energy=6.25, body_mag_autocorr_peak_freq_hz=1.75, body_mag_autocorr_periodicity_ratio=2.8, body_mag_interpeak_interval_cv=0.05, stft_dom_freq_std=0.05, jerk_mag_std=0.5, jerk_mag_p90=1.0)
+    assert walk.intensity_level == "moderate" and walk.cadence_spm == 105 and walk.cadence_consistency_pct > 75 and walk.prediction_confidence_tier == "high" and walk.phone_orientation == "upright" and not walk.burst_detected
+    assert walk.activity_specific_insight == "Steady walking at 105 SPM" and len(walk.applicable_insights) == 15
+    stand = insight_row(spark, "stand", gravity_tilt_start_end_delta=math.radians(24), gravity_tilt_abs_z_std=0.1)
+    assert stand.posture_change_detected and stand.orientation_change_deg >= 24 - 1e-9 and stand.applicable_insights[-2:] == ["posture_stability_score", "sway_amplitude_deg"] and stand.sway_amplitude_deg == pytest.approx(5.73, abs=0.01)
+    assert not insight_row(spark, "transitions", jerk_mag_p90=3.2, body_mag_energy=9.0).burst_detected
+    assert insight_row(spark, "run", body_mag_energy=9.0, jerk_mag_p90=3.5, jerk_mag_std=1.6).burst_detected
+    assert insight_row(spark, "run", body_mag_energy=9.0, jerk_mag_p90=4.0, jerk_mag_std=2.5).activity_specific_insight.endswith("consider softer landing")
+    assert insight_row(spark, "sit/lay", confidence=0.3).activity_specific_insight.startswith("Uncertain") and insight_row(spark, "sit/lay").activity_specific_insight == "Stable seated posture"
+    with pytest.raises(ValueError, match="gravity_y_mean"):
+        insights.window_insights(spark.range(1).select(*[F.lit(0.0).alias(n) for n in insights.REQUIRED if n != "gravity_y_mean"]))
+
+
+def test_orientation_and_tiers(spark):
+    for g, want in (((0.0, -9.8, 0.0), "upright"), ((0.0, 9.8, 0.0), "upside-down"), ((0.0, 0.0, 9.8), "flat"), ((0.0, 0.0, -9.8), "flat"), ((9.8, 0.0, 0.0), "tilted"), ((1.0, 1.0, 1.0), "tilted"), ((6.0, 6.0, 5.0), "tilted")):
+        assert spark.range(1).select(insights.orientation(*map(F.lit, g))).first()[0] == want
+    for c, a, want in ((0.85, 0.1, "high"), (0.6, 0.5, "medium"), (0.3, 0.5, "low")):
+        assert spark.range(1).select(insights.confidence_tier(F.lit(c), F.lit(a))).first()[0] == want
+
+
+def test_rolling_recap_counts(spark):
+    base = dict.fromkeys(insights.REQUIRED, 0.0) | {"gravity_y_mean": -9.5}
+    told = [base | {"body_mag_energy": 0.5}, base | {"body_mag_energy": 4.0}, base | {"body_mag_energy": 9.0, "jerk_mag_p90": 3.5, "jerk_mag_std": 1.6, "gravity_tilt_start_end_delta": 0.5}]
+    frame = spark.createDataFrame([(1, k, float(k), a, 0.9, 0.1, *x.values()) for k, (a, x) in enumerate(zip(("stand", "walk", "run"), told, strict=True))], "session long, seq long, t double, activity string, confidence double, artifact double, " + ", ".join(f"{n} double" for n in base))
+    row = recap.session_recap(insights.window_insights(frame, baseline=1.0)).first()
+    assert (row.still_seconds, row.active_seconds) == pytest.approx((1.28, 2.56)) and (row.transition_count, row.burst_count, row.posture_change_count, row.phone_reposition_count) == (2, 1, 1, 0)
+    assert row.most_common_activity == "stand" and [tuple(r) for r in recap.activity_log(frame).orderBy("window_index").collect()] == [(1, 2, "stand", "walk"), (1, 3, "walk", "run")]
+
+
+def test_transition_start_and_logs(spark):
+    rows = spark.createDataFrame([(s, k, float(k), a) for s, labels in (("s1", "001"), ("s2", "101")) for k, a in enumerate(labels)], "session string, seq long, t double, activity string")
+    start = {r.activity: r.p for r in evaluation.initial_probs(rows, rows).collect()}
+    assert start == {"0": 0.5, "1": 0.5} and sum(math.exp(r.p) for r in evaluation.log_form(evaluation.initial_probs(rows, rows)).collect()) == pytest.approx(1)
+
+
+def test_signal_gates():
+    flat, slope = np.ones((1, 128)), np.arange(128.0)[None]
+    assert all(v[0] == 0 for v in S.autocorr_peak(flat)) and not S.ar_coefficients(flat).any() and not S.ar_coefficients(slope[:, :4]).any()
+    x = slope - slope.mean()
+    ac = np.correlate(x[0], x[0], "full")[127:]
+    ac = ac / (ac[0] + 1e-8)
+    assert S.autocorr_peak(slope)[3][0] == pytest.approx(ac[12:101].max() / (np.abs(ac[12:101]).mean() + 1e-8))
+    still = compute(np.stack([np.zeros(128), np.sin(np.arange(128) / 4), np.zeros(128)], axis=1)[None])
+    assert still["body_xy_phase_at_dom_freq"][0] == 0
+
+
 def test_ingest_reasons_and_live_scores_agree_between_batch_and_stream(spark, tmp_path):
     def message(m, session="s", n=70, **more):
         t0 = m * n * 20.0
@@ -226,7 +369,7 @@ def test_readers_and_contract_round_trip(spark, tmp_path):
     assert name.select(activity, place).collect()[0][:] == ("running", "front-side-left") and name.select(activity).collect()[1][0] is None
     subjects = spark.createDataFrame([(k,) for k in range(10)], "subject int")
     test = lambda rule, v=(): {r.subject for r in files.holdout(subjects, rule, v).where("split = 'test'").collect()}
-    assert test("every-fifth") == {4, 9} and test("list", (4, 9)) == {3, 8} and test("none") == set()
+    assert test("every-fifth") == {4, 9} and test("list", (4, 9)) == {4, 9} and test("list", (5, 10)) == {4, 9} and test("none") == set()  # as they stand, else one less
     rows = series(spark, range(192), range(192)).withColumns({"split": F.lit("train"), "subject": F.lit(7), "activity": F.lit("walk"), "raw": F.lit("Walking"), "placement": F.lit("pocket")})
     samples = files.contract(timeseries.sliding_windows(rows, 128, 64), "unit", "default")
     assert samples.count() == 256
@@ -236,6 +379,39 @@ def test_readers_and_contract_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/session_manifest")).first().window_count == 2
 
 
+def test_labels_placements_and_file_names(spark):
+    rows = spark.createDataFrame([(1, "  Walking  Fast "), (2, "other"), (3, "lying"), (4, None)], "id int, raw string")
+    got = files.map_labels(rows, {"walking fast": "walk", "lying": "lay", "other": None}).withColumn("activity", files.remap(F.col("activity"), {"lay": "sit/lay"}))
+    assert [(r.id, r.activity) for r in got.orderBy("id").collect()] == [(1, "walk"), (3, "sit/lay")]
+    place = files.placement(F.lit("front-side-left"), {"front-side-left": "front-side-left-mid"}, {"front-side-left-mid": "front_side_left_mid"})
+    hot = files.one_hot(F.lit("shin"), ("front_pocket", "unknown_free_living"))
+    subject, activity = files.position_file(F.lit("/r/proband12/data/acc_climbingup_chest.csv"), F.lit("chest"))
+    none = files.position_file(F.lit("/r/proband1/data/gyr_x_chest.csv"), F.lit("chest"))[1]
+    row = spark.range(1).select(place.alias("p"), subject.alias("s"), activity.alias("a"), none.alias("none"), *[c.alias(n) for n, c in hot.items()]).first()
+    assert (row.p, row.s, row.a, row.none, row.placement_front_pocket, row.placement_unknown_free_living) == ("front_side_left_mid", "12", "climbingup", None, 0, 1)
+    sides = spark.createDataFrame([(3, "FallingForw"), (4, "Syncope"), (1, "Walking"), (2, "Walking")], "trial int, code string")
+    assert [r[0][13:] for r in sides.select(files.trial_side(F.col("trial"), F.col("code"))).collect()] == ["right", "left", "right", "left"]
+    subjects = spark.createDataFrame([(k,) for k in range(9)], "subject int")
+    assert {r.subject for r in files.holdout(subjects, "list", (4, 9)).where("split = 'test'").collect()} == {3, 8}
+    assert {r.subject for r in files.holdout(subjects, "list", (4, 8)).where("split = 'test'").collect()} == {4, 8}
+    with pytest.raises(ValueError):
+        files.holdout(subjects, "list", (4, 90))
+    paths = spark.createDataFrame([(f"a/split={s}/part-{k}",) for s in ("train", "test", "train_only") for k in range(3)] + [("b",)], "path string")
+    assert files.pick_files(paths, 2).count() == 6 and files.pick_files(paths, 0).count() == 10
+    probs = spark.createDataFrame([(1, 0, 0.0, [0.4, 0.6]), (1, 1, 1.0, [0.45, 0.55])], "session long, seq long, t double, probs array<double>")
+    told = lambda name: [r.label_index for r in training.decode_predictions(probs, name, [0.99, 0.01], [[0.98, 0.02], [0.05, 0.95]]).orderBy("seq").collect()]
+    assert told("none") == [1, 1] and told("causal-hmm") == [0, 0]
+    with pytest.raises(ValueError):
+        told("viterbi")
+
+
+def test_flush_splits_resamples_and_names_segments(spark):
+    rows = [(7, k, t, float(k), 0.0, 9.8, "3", "train", "Walking", "pocket") for k, t in enumerate([0, 0.02, 0.04, 0.06, 0.5, 0.52, 0.54])] + [(8, 50, 0.0, 1.0, 0.0, 0.0, "3", "train", "swimming", "pocket")]
+    frame = spark.createDataFrame(rows, "session long, seq long, t double, x double, y double, z double, subject string, split string, raw string, placement string")
+    got = files.flush_sessions(frame, {"walking": "walk"}, 2.0, size=2, hop=1).where("sample_index = 0").orderBy("session", "window_index").collect()
+    assert [(r.session, r.window_index, r.x, r.activity) for r in got] == [("7:segment:0", 0, 0, "walk"), ("7:segment:0", 1, 2, "walk"), ("7:segment:0", 2, 4, "walk"), ("7:segment:1", 0, 8, "walk"), ("7:segment:1", 1, 10, "walk")]
+
+
 def test_named_csv_finds_the_header(spark, tmp_path):
     (tmp_path / "p1").mkdir()
     (tmp_path / "p1/a.csv").write_text("id,attr_time,attr_x,attr_y\n1,1000,1,2\n2,1020,3,\n")
@@ -317,7 +493,7 @@ def test_sessions_are_read_in_pieces(spark, monkeypatch):
     p = rng.dirichlet(np.ones(2), n)
     rows = spark.createDataFrame([(k % 7 // 5, k, float(k), v.tolist()) for k, v in enumerate(p)], "session long, seq long, t double, probs array<double>")
     names = ("walk", "run", "stand")
-    bouts = spark.createDataFrame([(k % 2, k // 2 + 1, names[k // 2 % 3], float(1 + k % 5), 0.5, 50.0, 0.0, 1) for k in range(n)], "session long, run long, activity string, duration double, confidence_s double, quality_s double, cadence_s double, windows long")
+    bouts = spark.createDataFrame([(k % 2, k // 2 + 1, names[k // 2 % 3], float(1 + k % 5), 0.5, 50.0, 0.0, 0.0, 0, 0, 1) for k in range(n)], "session long, run long, activity string, duration double, confidence_s double, quality_s double, cadence_s double, cadence_d double, postures long, folded long, windows long")
     points = spark.createDataFrame([("ab"[k % 2], k // 6, k, k * 20_000_000, math.sin(k / 4), 0.0, 9.8) for k in range(n)], "session string, message_id long, seq long, ns long, x double, y double, z double")
     scorer = live.Scorer(names, live.energy_emission)
     found = {}
