@@ -199,5 +199,5 @@ def licenses(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.transform("base", lambda x: x["word"])).alias("first_word"),
         F.array_max(F.transform("base", lambda x: x["word"])).alias("last_word"), names(base).alias("base_labels"), names(base, matches).alias("labels"),
-        F.coalesce(F.least(F.lit(1.0), F.try_divide(F.size(F.array_distinct(covered)), F.col("n_words"))), F.lit(0.0)).cast("double").alias("score"),
+        F.least(F.lit(1.0), F.coalesce(F.try_divide(F.size(F.array_distinct(covered)), F.col("n_words")), F.lit(0.0))).cast("double").alias("score"),
     )

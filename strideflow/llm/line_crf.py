@@ -4,8 +4,9 @@ Each line is good or bad. A line's features are shapes and repetitions of its ow
 2x2 matrix weighs neighbouring labels. Forward-backward marginals of "good", averaged by line length and calibrated,
 are the document's score.
 
-Training fits weights on at most ``max_train_docs`` labelled documents (those with the smallest hash of doc_id), each
-line taking its document's label; this bound and the model are all that reaches the driver. Scoring reads whole texts.
+Training fits weights on at most ``max_train_docs`` labelled documents (those with the smallest hash of doc_id); line labels
+are hidden, and the document's label is fitted through its lines' marginals. This bound and the model are all that reaches
+the driver. Scoring reads whole texts.
 
 Null or empty texts score 0; a text of blank lines is scored like others; repeated rows score alike; without usable
 labels every text scores 0.5 and empty ones 0; an empty table gives no rows; other columns are ignored.
@@ -158,44 +159,73 @@ class LineCRF:
         return np.where(np.isfinite(raw), _sigmoid(self.slope * np.where(np.isfinite(raw), raw, 0) + self.offset), 0.0)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4) -> LineCRF:
-    """Maximise the conditional likelihood of line labels by Adam; then calibrate the documents' scores."""
-    parts = []
-    for k in range(0, len(texts), 512):  # features of a few documents at a time
-        parts.append(line_features(*buffer_of(texts[k : k + 512])))
-    x = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 3 * N_OWN + 3))
-    width = x.shape[1]
-    if not len(x) or len(set(labels)) < 2:
+def _expected(unary: np.ndarray, pair: np.ndarray, rows: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of good for every line, and for each inner line (with its predecessor) those of the four pairs of labels."""
+    forward, back = messages(unary, pair, rows)
+    left, right = forward[inner - 1], unary[inner] + back[inner]
+    logits = np.stack([np.full_like(left, pair[0, 0]), pair[0, 1] + right, left + pair[1, 0], left + right + pair[1, 1]])
+    joint = np.exp(logits - logits.max(0))
+    return _sigmoid(forward + back), joint / joint.sum(0)
+
+
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4, warm: float = 0.4, nudge: float = 1e-3) -> LineCRF:
+    """Fit by Adam to documents' labels; then calibrate the documents' scores.
+
+    Line labels are hidden. The share ``warm`` of the rounds begins with every line at its document's label, which tells the
+    lines' features apart; then the document's label is fitted through the length-weighted mean of its lines' marginals, so
+    lines may differ from their document. The gradient of that mean is a covariance with the model's features: the change of
+    their expectations when the lines' weights are nudged, taken from two more forward-backward passes.
+    """
+    parts, counts, length = [], [], []
+    for k in range(0, len(texts), 128):  # features of a few documents at a time, in half the width
+        x, size, rows = line_features(*buffer_of(texts[k : k + 128]))
+        parts.append(x.astype(np.float32))
+        counts.append(np.diff(rows))
+        length.append(size)
+    width = 3 * N_OWN + 3
+    lines = sum(len(p) for p in parts)
+    if not lines or len(set(labels)) < 2:
         return LineCRF(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), trained=False)
-    length = np.concatenate([p[1] for p in parts])
-    counts = np.concatenate([np.diff(p[2]) for p in parts])
+    z, at = np.empty((lines, width), np.float32), 0
+    for k, p in enumerate(parts):
+        z[at : at + len(p)], parts[k] = p, None
+        at += len(p)
+    length, counts = np.concatenate(length), np.concatenate(counts)
     rows = np.concatenate([[0], np.cumsum(counts)])
-    y = np.repeat(labels, counts).astype(float)
-    mean, scale = x.mean(0), x.std(0)
+    of = np.repeat(np.arange(len(counts)), counts)
+    y = labels[of].astype(float)
+    mean, scale = z.mean(0, dtype=float), np.sqrt(np.maximum(z.var(0, dtype=float), 0))
     mean[scale < 1e-9], scale[scale < 1e-9] = 0, 1
-    z = (x - mean) / scale
-    inner = np.ones(len(y), bool)
+    z -= mean.astype(np.float32)
+    z /= scale.astype(np.float32)
+    inner = np.ones(lines, bool)
     inner[rows[:-1][counts > 0]] = False
     here = np.flatnonzero(inner)
+    total = np.bincount(of, length, minlength=len(counts))
+    weight = length / np.maximum(total, 1)[of]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[here - 1].astype(int), y[here].astype(int)), 1)
     theta, first, second = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, rounds + 1):
         pair = theta[width:].reshape(2, 2)
-        unary = z @ theta[:width]
-        forward, back = messages(unary, pair, rows)
-        good = _sigmoid(forward + back)
-        left, right = forward[here - 1], unary[here] + back[here]
-        logits = np.stack([np.full_like(left, pair[0, 0]), pair[0, 1] + right, left + pair[1, 0], left + right + pair[1, 1]])
-        joint = np.exp(logits - logits.max(0))
-        joint = (joint / joint.sum(0)).sum(1).reshape(2, 2)
-        slope = np.concatenate([z.T @ (y - good), (seen - joint).ravel()]) / len(y) - ridge * theta
+        unary = (z @ theta[:width].astype(np.float32)).astype(float)
+        good, joint = _expected(unary, pair, rows, here)
+        if step <= warm * rounds:
+            slope = np.concatenate([(y - good).astype(np.float32) @ z, (seen - joint.sum(1).reshape(2, 2)).ravel()]) / lines
+        else:
+            m = np.clip(np.bincount(of, weight * good, minlength=len(counts)), 1e-4, 1 - 1e-4)
+            push = ((labels - m) / (m * (1 - m)))[of] * weight  # the slope of the documents' log-likelihood by each line's marginal
+            size = nudge / max(1e-9, np.abs(push).max())
+            (up, joint_up), (down, joint_down) = (_expected(unary + sign * size * push, pair, rows, here) for sign in (1, -1))
+            slope = np.concatenate([((up - down) / (2 * size)).astype(np.float32) @ z, (joint_up - joint_down).sum(1) / (2 * size)]) / len(counts)
+        slope = slope - ridge * theta
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model = LineCRF(mean, scale, theta[:width], theta[width:].reshape(2, 2))
-    raw = model.raw(x, length, rows)
-    ok = np.isfinite(raw)
-    raw, target = raw[ok], labels[ok].astype(float)
+    good, _ = _expected((z @ theta[:width].astype(np.float32)).astype(float), model.pair, rows, here)
+    ok = total > 0
+    m = np.clip(np.bincount(of, weight * good, minlength=len(counts)), 1e-6, 1 - 1e-6)[ok]
+    raw, target = np.log(m / (1 - m)), labels[ok].astype(float)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic curve through the scores
         p = _sigmoid(a * raw + b)

@@ -308,12 +308,22 @@ def one_of_each(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     """One row of each group, with all its columns: that with the smallest doc_id (rows without one come last).
 
     Rows of equal doc_id and text are one document, also without words; of a doc_id that stands in two groups each may stay.
+    What goes is decided on ids and checks of texts; texts move only where more than BROADCAST_IDS rows go.
     """
-    rows = groups(docs, recall)
+    rows = checkpointed(groups(docs, recall).select("doc_id", "check", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")
-    chosen = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.check").alias("_check"))
-    chosen = checkpointed(chosen.unionByName(rows.where("group is null").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()))
+    linked = rows.where("group is not null")
+    best = linked.groupBy("group").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    gone = spread_join(linked, best, ["group"], rows.count(), "doc_id").where(order != F.col("best"))
+    gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct())
+    again = checkpointed(rows.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     packed = docs.select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text_check"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    once = packed.dropDuplicates(["_of", "_text_check"])
-    kept = once.join(chosen, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text_check") == F.col("_check")), "left_semi")
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        few = right.count() <= BROADCAST_IDS  # some MB as a hash relation; beyond that both sides are shuffled
+        return left.join(F.broadcast(right) if few else right, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text_check") == F.col("_check")), how)
+
+    kept = joined(packed, gone, "left_anti")
+    if not again.isEmpty():
+        kept = joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates(["_of", "_text_check"]))
     return kept.select("_row.*")

@@ -62,6 +62,13 @@ def test_media_round_trip(spark, odd):
         raw += b"\0" * (64 if not raw else -len(raw) % 64)
         want.add((r.doc_id, hashlib.sha256(raw).hexdigest()))
     assert got == want
+    for r in jpeg.media_round_trip(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        raw = (r.text or "").encode()
+        padded = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        media = jpeg.encode_payloads(pa.array([raw], pa.binary()))[0]
+        rgb = next(iter(jpeg.decode_files([media])))[3]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(raw), len(padded), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.endswith(f"{zlib.crc32(rgb.tobytes()):08x}")
     pixels = jpeg.tensors(jpeg.store(odd.where("doc_id = 6"))).first()
     assert len(pixels.rgb) == pixels.height * pixels.width * 3
 
@@ -183,6 +190,65 @@ def test_license_templates():
         licenses.Automaton("<<beginOptional>>x")
 
 
+def ends_of(words, template, start):
+    """Ends of all matches of a template from a place, by trying every way through it."""
+    parts, stack = [], []
+    here = parts
+    for piece in re.split(r"(<<[^>]*>>)", template):
+        if piece == "<<beginOptional>>":
+            stack.append(here)
+            here.append(["optional", []])
+            here = here[-1][1]
+        elif piece == "<<endOptional>>":
+            here = stack.pop()
+        elif piece.startswith("<<var"):
+            low, high = map(int, re.search(r"\.\{(\d+),(\d+)\}", piece).groups())
+            here.append(["any", low, high])
+        else:
+            here.extend(["word", w] for w in licenses.tokens(piece))
+
+    def through(parts, places):
+        for part in parts:
+            if part[0] == "word":
+                places = {p + 1 for p in places if p < len(words) and words[p] == part[1]}
+            elif part[0] == "any":
+                places = {p + k for p in places for k in range(part[1], part[2] + 1) if p + k <= len(words)}
+            else:
+                places = places | through(part[1], places)
+        return places
+
+    return through(parts, {start})
+
+
+def test_license_digest_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text")
+    planted = ["Copyright (c) 2020 A Person. Permission is hereby granted, free of charge, to any person obtaining a copy", "x " + re.sub(r"<<[^>]*>>", " ", licenses.TEMPLATES["mit-text"]).replace("Copyright c", "") + " y", None, "", "the mit license the mit license",
+               "This program library is licensed under the GNU General Public License, version 3 or any later version. This a b c d is licensed under the GNU General Public License version 3"]
+    docs = docs.unionByName(spark.createDataFrame([(-k, t) for k, t in enumerate(planted, 1)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in licenses.licenses(docs).collect()}
+    firsts = {label: licenses.Automaton(t).first_words() for label, t in licenses.TEMPLATES.items()}
+    some = 0
+    for r in docs.collect():
+        words, labels, covered, base = licenses.tokens(r.text or ""), set(), set(), []
+        for phrase, label in licenses.PHRASES.items():
+            own = licenses.tokens(phrase)
+            for p in range(len(words) - len(own) + 1):
+                if words[p : p + len(own)] == own:
+                    base.append((p, label))
+                    covered |= set(range(p, p + len(own)))
+        for label, template in licenses.TEMPLATES.items():
+            for p in [p for p, w in enumerate(words) if w in firsts[label]]:
+                ends = ends_of(words, template, p) - {p}
+                if ends:
+                    labels.add(label)
+                    covered |= set(range(p, max(ends)))
+        g, bases = got[r.doc_id], {x for _, x in base}
+        some += bool(labels)
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(words), len(base), min((p for p, _ in base), default=None), max((p for p, _ in base), default=None))
+        assert (g.base_labels, g.labels) == (",".join(sorted(bases)), ",".join(sorted(bases | labels))) and g.score == pytest.approx(len(covered) / len(words) if words else 0)
+    assert some > 3
+
+
 def test_license_digest(spark, odd):
     row = licenses.licenses(odd.where("doc_id = 10")).first()
     assert (row.n_base, row.first_word, row.last_word, row.base_labels) == (1, 4, 4, "mit") and 0 < row.score <= 1
@@ -240,6 +306,46 @@ def test_crf_marginals_against_all_labellings():
         assert 1 / (1 + np.exp(-(forward + back)[a:b])) == pytest.approx(good / total)
 
 
+def test_crf_pairs_and_the_slope_of_the_documents_likelihood():
+    rng = np.random.default_rng(2)
+    unary, pair, rows = rng.normal(size=5), rng.normal(size=(2, 2)), np.array([0, 3, 5])
+    inner = np.array([1, 2, 4])
+    good, joint = line_crf._expected(unary, pair, rows, inner)
+    for a, b in ((0, 3), (3, 5)):
+        total, pairs = 0.0, np.zeros((2, 2, b - a - 1))
+        for bits in range(1 << (b - a)):
+            y = [(bits >> k) & 1 for k in range(b - a)]
+            p = np.exp(sum(unary[a + k] * y[k] for k in range(b - a)) + sum(pair[y[k], y[k + 1]] for k in range(b - a - 1)))
+            total += p
+            for k in range(b - a - 1):
+                pairs[y[k], y[k + 1], k] += p
+        assert joint[:, (inner > a) & (inner < b)] == pytest.approx((pairs / total).reshape(4, -1))
+    weight, step = np.array([0.5, 0.2, 0.3, 0.6, 0.4]), 1e-4  # the change under nudged weights is the slope of the mean marginal
+    up, down = (line_crf._expected(unary + s * step * weight, pair, rows, inner)[0] for s in (1, -1))
+    for k in range(5):
+        moved = [weight @ line_crf._expected(unary + s * step * np.eye(5)[k], pair, rows, inner)[0] for s in (1, -1)]
+        assert (up - down)[k] == pytest.approx(moved[0] - moved[1], rel=1e-4)
+
+
+def test_lines_differ_from_their_document():
+    """Only documents are labelled, by what most of their bytes are; the lines inside must come out by themselves."""
+    rng = random.Random(12)
+
+    def text(n):
+        kinds = [rng.random() < 0.5 for _ in range(n)]
+        lines = [" ".join(words(12, rng.random())).capitalize() + "." if good else "".join(rng.choice("$#%!@123 ") for _ in range(60)) for good in kinds]
+        sizes = [len(x) * (1 if good else -1) for x, good in zip(lines, kinds, strict=True)]
+        return "\n".join(lines), kinds, int(sum(sizes) > 0)
+
+    learned, told = [text(6) for _ in range(300)], [text(7) for _ in range(60)]
+    model = line_crf.fit(pa.array([t for t, _, _ in learned]), np.array([y for _, _, y in learned]))
+    data, bounds = line_crf.buffer_of(pa.array([t for t, _, _ in told]))
+    x, _, rows = line_crf.line_features(data, bounds)
+    right = (model.marginals(x, rows) > 0.5) == np.array([k for _, kinds, _ in told for k in kinds])
+    assert right.mean() > 0.9
+    assert np.mean((model.scores(data, bounds) > 0.5) == np.array([y for _, _, y in told])) > 0.85
+
+
 def test_quality_on_held_out_documents(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
     rows = line_crf.quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -253,6 +359,47 @@ def test_language_on_held_out_documents(spark, sf):
     assert language_id.language(docs.withColumn("text", F.lit("12 34 !"))).where("lang_pred <> 'und' or score <> 0").count() == 0
 
 
+def test_kneser_ney_against_the_definition():
+    corpora = {"aa": ["abracadabra abba cab", "a cab"], "bb": ["zebra razz", "bazaar"]}
+    rows = []
+    for x, texts in enumerate(corpora.values()):
+        key, n = np.unique(language_id.grams(language_id.codes(texts)[0], language_id.ORDER)[0], return_counts=True)
+        rows += [(x, k, c) for k, c in zip(key.tolist(), n.tolist(), strict=True)]
+    lang, key, count = (np.array(c) for c in zip(*rows, strict=True))
+    model = language_id.estimate(list(corpora), lang, np.full(len(lang), language_id.ORDER), key.astype(np.uint64), count)
+    letters = set()
+    counts = []  # per language: counts of n-grams by order, as tuples of characters
+    for texts in corpora.values():
+        own = {n: {} for n in range(1, 5)}
+        for text in texts:
+            line = [chr(language_id.START)] * 3 + list(text)
+            for k in range(3, len(line)):
+                gram = tuple(line[k - 3 : k + 1])
+                own[4][gram] = own[4].get(gram, 0) + 1
+        for n in (3, 2, 1):
+            for gram in own[n + 1]:
+                own[n][gram[1:]] = own[n].get(gram[1:], 0) + 1
+        letters |= set(own[1])
+        counts.append(own)
+
+    def prob(own, gram):
+        if not gram:
+            return 1 / (len(letters) + 1)
+        same = {g: c for g, c in own[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return prob(own, gram[1:])
+        whole = sum(same.values())
+        return max(same.get(gram, 0) - language_id.DISCOUNT, 0) / whole + language_id.DISCOUNT * len(same) / whole * prob(own, gram[1:])
+
+    for probe in ("abra", "zebr", "a ca", "qqqq", "abbz", "rz z"):
+        packed = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(probe))], np.uint64)
+        assert np.exp(model.log_prob(packed))[0] == pytest.approx([prob(own, tuple(probe)) for own in counts], rel=1e-4)
+    for text in ("abba", "zebra", "cab razz"):
+        line = chr(language_id.START) * 3 + text
+        want = [-sum(np.log(prob(own, tuple(line[k - 3 : k + 1]))) for k in range(3, len(line))) / len(text) for own in counts]
+        assert model.entropies([text])[0] == pytest.approx(want, rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     text = "abracadabra abba cab"
     key, _ = language_id.grams(language_id.codes([text])[0], language_id.ORDER)
