@@ -472,7 +472,7 @@ def _(spark, sf):
     rows = timeseries.sliding_windows(clean(spark, sf), 32, 16)
     samples = F.array_sort(F.collect_list(F.struct("sample_index", "x", "y", "z")))
     windows = rows.groupBy("session", "window_index").agg(samples.alias("s"))
-    return window_features(windows.select("session", "window_index", *[F.transform("s", lambda v, a=a: v[a]).alias(a) for a in "xyz"]), ("session", "window_index"))
+    return window_features(windows.select("session", "window_index", *[F.col("s")[a].alias(a) for a in "xyz"]), ("session", "window_index"))
 
 
 # --- decoding, guards, insights -----------------------------------------------------------------
