@@ -34,5 +34,10 @@ def test_against_duckdb(spark, sf, duck, name):
             assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
 
 
+@pytest.mark.parametrize("name", ["features_153", "session_summary"])
+def test_queries_without_sql_run(spark, sf, name):
+    assert entry.queries()[name](spark, f"{sf}/../sf0.01").count() > 0
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
