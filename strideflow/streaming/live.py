@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -10,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.functions.guards import LOCOMOTION, MOVING, STATIC
+from strideflow.functions.guards import ARTIFACT
 from strideflow.operators.ordered import in_order
+from strideflow.streaming.fold import KEEP, Guards, Memory, artifact, metrics, unit
 
 MOST_SAMPLES, RING, WINDOW_SECONDS, POINTS, MIN_SHARE = 512, 6000, 2.56, 128, 0.8
-LOW_ENERGY, SURE_OF_MOTION = 0.1, 0.45
+AT_ONCE = 512  # windows whose features are computed together
 BATCH = "messageId BIGINT, sessionId STRING, deviceId STRING, placementLabel STRING, source STRING, samples ARRAY<STRUCT<timestampMs: DOUBLE, acc: STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>>>"
-SNAPSHOT = "session STRING, message_id BIGINT, status STRING, n INT, window_end_ns BIGINT, energy DOUBLE, dom_freq_hz DOUBLE, label STRING, posterior ARRAY<DOUBLE>"
-STATE = "ns ARRAY<BIGINT>, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, posterior ARRAY<DOUBLE>, last_id BIGINT, window_end BIGINT"
+SNAPSHOT = "session STRING, message_id BIGINT, status STRING, n INT, window_end_ns BIGINT, energy DOUBLE, dom_freq_hz DOUBLE, cadence_spm DOUBLE, artifact DOUBLE, source STRING, label STRING, posterior ARRAY<DOUBLE>"
+STATE = "ns ARRAY<BIGINT>, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, posterior ARRAY<DOUBLE>, last_id BIGINT, window_end BIGINT, history ARRAY<DOUBLE>"
+FIELDS = [tuple(f.split()) for f in SNAPSHOT.split(", ")]
+COLUMNS = [n for n, _ in FIELDS]
+ARROW = {"STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "DOUBLE": pa.float64(), "ARRAY<DOUBLE>": pa.list_(pa.float64())}
 
 
 def parse(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -61,13 +66,10 @@ def latest_window(ns: np.ndarray, xyz: np.ndarray) -> tuple[str, np.ndarray | No
     ok = np.isfinite(xyz).all(1)
     if not ok.any():
         return "invalid-points", None, 0
-    ns, xyz = ns[ok], xyz[ok]
-    order = np.argsort(ns, kind="stable")
-    ns, xyz = ns[order], xyz[order]
-    first = np.concatenate([[True], np.diff(ns) > 0])
-    ns, xyz = ns[first], xyz[first]
-    t = (ns - ns[-1]) / 1e9
-    inside = t >= -WINDOW_SECONDS
+    t = (ns - ns[ok].max()) / 1e9
+    inside = np.flatnonzero(ok & (t >= -WINDOW_SECONDS))  # few of a full ring, so only these are sorted
+    inside = inside[np.argsort(t[inside], kind="stable")]
+    inside = inside[np.concatenate([[True], np.diff(ns[inside]) > 0])]
     t, xyz = t[inside], xyz[inside]
     if len(t) < 2:
         return "insufficient-samples", None, len(t)
@@ -77,51 +79,82 @@ def latest_window(ns: np.ndarray, xyz: np.ndarray) -> tuple[str, np.ndarray | No
     return "success", np.stack([np.interp(grid, t, xyz[:, k]) for k in range(3)], axis=1), len(t)
 
 
+@dataclass
+class Session:
+    """A session's state: the points that arrived last, the guards' memory, and where the last window ended."""
+
+    ns: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    xyz: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
+    memory: Memory = field(default_factory=Memory)
+    last_id: int = -1
+    window_end: int | None = None
+
+
 class Scorer:
-    """Message by message: ring buffer, window, features, emission, causal decoding. ``emit`` maps features to probabilities.
+    """Ring buffer, window, features, emission, guards and causal decoding, one snapshot a message.
 
-    Under low energy, labels of motion get no mass, and decoding starts anew where it was sure of locomotion. It also does
-    where the window begins more than ``boundary_gap`` seconds after the one before ended (0: never).
+    ``emit`` maps features (arrays with one entry a window) to one row of probabilities a window, or one for all. Features of all
+    messages at hand are computed at once; only guards and decoding go message by message. Under low energy, decoding starts
+    anew where it was sure of locomotion, and the session's metric history with it. Decoding also does where the window begins
+    more than ``boundary_gap`` seconds after the one before ended (0: never). A ``decoder`` other than causal-hmm passes emissions on.
     """
 
-    def __init__(self, labels: tuple[str, ...], emit, trans: np.ndarray | None = None, boundary_gap: float = 0.0):
-        self.labels, self.emit, self.boundary_gap = labels, emit, boundary_gap
+    def __init__(self, labels: tuple[str, ...], emit, trans: np.ndarray | None = None, boundary_gap: float = 0.0, init: np.ndarray | None = None, decoder: str = "causal-hmm", pocket: bool = True):
+        self.labels, self.emit, self.boundary_gap, self.decoder = labels, emit, boundary_gap, decoder
         k = len(labels)
         self.trans = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)) if trans is None else trans
-
-    def still(self, emission: np.ndarray) -> np.ndarray:
-        """Without the labels of motion; with nothing left, static labels share evenly."""
-        kept = np.where(np.isin(self.labels, MOVING), 0.0, emission)
-        if kept.sum() <= 0:
-            kept = np.isin(self.labels, STATIC).astype(float)
-        return kept / kept.sum() if kept.sum() > 0 else emission
-
-    def message(self, state: dict, session: str, message_id: int, ns: np.ndarray, xyz: np.ndarray) -> dict:
+        self.init = np.full(k, 1 / k) if init is None else np.asarray(init, float)
+        self.guards = Guards(labels, pocket)
+
+    def messages(self, state: Session, session: str, batch: list[tuple[int, np.ndarray, np.ndarray]]) -> list[dict]:
+        """Snapshots of messages (id, times, points) in their order; ``state`` moves on behind the last one."""
+        if not batch:
+            return []
+        ns, xyz = (np.concatenate([held, *[m[k] for m in batch]]) for k, held in ((1, state.ns), (2, state.xyz)))
+        ends = len(state.ns) + np.cumsum([len(m[1]) for m in batch])
+        out = []
+        for at in range(0, len(batch), AT_ONCE):
+            rows, windows = [], []
+            for (message_id, *_), end in zip(batch[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True):
+                seen = slice(max(0, end - RING), end)
+                status, window, n = latest_window(ns[seen], xyz[seen])
+                rows.append(dict.fromkeys(COLUMNS) | {"session": session, "message_id": message_id, "status": status, "n": n, "window_end_ns": int(ns[seen].max()) if end else None})
+                if window is not None:
+                    windows.append(window)
+            if windows:
+                self._decode(state, [r for r in rows if r["status"] == "success"], np.stack(windows))
+            out += rows
+        state.ns, state.xyz, state.last_id = ns[-RING:], xyz[-RING:], batch[-1][0]
+        return out
+
+    def _decode(self, state: Session, rows: list[dict], windows: np.ndarray) -> None:
         from strideflow.functions.features import compute
 
-        state["ns"] = np.concatenate([state["ns"], ns])[-RING:]
-        state["xyz"] = np.concatenate([state["xyz"], xyz])[-RING:]
-        state["last_id"] = message_id
-        status, window, n = latest_window(state["ns"], state["xyz"])
-        out = {"session": session, "message_id": message_id, "status": status, "n": n, "window_end_ns": int(state["ns"].max()) if len(state["ns"]) else None, "energy": None, "dom_freq_hz": None, "label": None, "posterior": None}
-        if window is None:
-            return out
-        f = {k: float(v[0]) for k, v in compute(window[None]).items()}
-        emission, end = np.asarray(self.emit(f), float), out["window_end_ns"]
-        held, left = state["posterior"], state["window_end"]
-        if f["body_mag_energy"] < LOW_ENERGY:
-            emission = self.still(emission)
-            if held is not None and self.labels[int(held.argmax())] in LOCOMOTION and held.max() >= SURE_OF_MOTION:
-                state["posterior"] = None
-        if self.boundary_gap > 0 and left is not None and end - int(WINDOW_SECONDS * 1e9) - left > self.boundary_gap * 1e9:
-            state["posterior"] = None
-        state["window_end"] = end
-        emission = np.clip(emission, 1e-12, 1)
-        prior = np.full(len(self.labels), 1 / len(self.labels)) if state["posterior"] is None else state["posterior"] @ self.trans
-        p = prior * emission / emission.sum()
-        p = p / p.sum() if p.sum() > 0 else np.full(len(p), 1 / len(p))
-        state["posterior"] = p
-        return out | {"energy": f["body_mag_energy"], "dom_freq_hz": f["body_mag_dom_freq_hz"], "label": self.labels[int(p.argmax())], "posterior": p.tolist()}
+        features = compute(windows)
+        emissions = np.broadcast_to(np.asarray(self.emit(features), float), (len(rows), len(self.labels)))
+        m, memory = metrics(features), state.memory
+        for k, row in enumerate(rows):
+            energy, dom, cadence, rhythm = (float(m[n][k]) for n in ("energy", "dom", "cadence", "periodicity"))
+            emission, still = self.guards.before(emissions[k], energy, float(m["jerk"][k]), dom, memory.posterior)
+            fresh = "initialized"
+            if still and (memory.posterior is None or self.guards.sure_of_motion(memory.posterior)):
+                memory.posterior, memory.history, fresh = None, memory.history[:0], "reset-low-motion"
+            end = row["window_end_ns"]
+            if self.boundary_gap > 0 and state.window_end is not None and end - int(WINDOW_SECONDS * 1e9) - state.window_end > self.boundary_gap * 1e9:
+                memory.posterior = None
+            state.window_end, last = end, memory.posterior
+            posterior = unit(emission)
+            if self.decoder == "causal-hmm":
+                prior, source = (self.init, fresh) if last is None else (last @ self.trans, "continued")
+                joint = prior * posterior
+                posterior = joint / joint.sum() if joint.sum() > 0 else np.full(len(joint), 1 / len(joint))
+            else:
+                source = "disabled" if self.decoder == "none" else "unsupported-decoder"
+            score = artifact(m["artifact"][k], memory.history)
+            memory.history = np.concatenate([memory.history, m["artifact"][k : k + 1]])[-KEEP:]
+            memory.posterior, corrected = self.guards.after(posterior, emission, energy, cadence, rhythm, score, last)
+            row |= {"energy": energy, "dom_freq_hz": dom, "cadence_spm": cadence, "artifact": score, "source": "+".join([source, *corrected])}
+            row |= {"label": self.labels[int(memory.posterior.argmax())], "posterior": memory.posterior.tolist()}
 
 
 def energy_emission(f: dict) -> np.ndarray:
@@ -129,54 +162,74 @@ def energy_emission(f: dict) -> np.ndarray:
     e = f["body_mag_energy"]
     still = np.exp(-e / 0.2)
     run = (1 - still) / (1 + np.exp(-(e - 8)))
-    return np.array([1 - still - run, run, still]) + 1e-6
+    return np.stack([1 - still - run, run, still], axis=-1) + 1e-6
 
 
 def score_stream(rows: DataFrame, scorer: Scorer, ttl_seconds: int = 6 * 3600) -> DataFrame:
     """Snapshots, one per message, of point rows (stream or not), in order of message id within what a trigger brings.
 
-    Without a stream, a session is read message by message and only its state is carried. In a stream, the state of a session
-    that brings nothing for ``ttl_seconds`` is dropped.
+    Without a stream, a session is read in order and only its state is carried. In a stream, the state of a session
+    that brings nothing for ``ttl_seconds`` is dropped. Points without a message or a time are left out.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def empty() -> dict:
-        return {"ns": np.zeros(0, np.int64), "xyz": np.zeros((0, 3)), "posterior": None, "last_id": -1, "window_end": None}
-
-    def score(state: dict, session: str, frame: pd.DataFrame) -> list[dict]:
-        return [scorer.message(state, session, int(m), g["ns"].to_numpy(np.int64), g[["x", "y", "z"]].to_numpy(float)) for m, g in frame.sort_values(["message_id", "seq"]).groupby("message_id")]
+    def score(state: Session, session: str, columns: list[np.ndarray]) -> list[dict]:
+        ids, ns, x, y, z = columns
+        xyz = np.stack([x, y, z], axis=1).astype(float)
+        cuts = np.flatnonzero(np.diff(ids)) + 1
+        starts = [0, *cuts] if len(ids) else []
+        return scorer.messages(state, session, [(int(ids[a]), ns[a:b].astype(np.int64), xyz[a:b]) for a, b in zip(starts, [*cuts, len(ids)], strict=False)])
 
-    columns = [c.split()[0] for c in SNAPSHOT.split(", ")]
     if not rows.isStreaming:
-        types = pa.schema([("session", pa.string()), ("message_id", pa.int64()), ("status", pa.string()), ("n", pa.int32()), ("window_end_ns", pa.int64()), ("energy", pa.float64()), ("dom_freq_hz", pa.float64()), ("label", pa.string()), ("posterior", pa.list_(pa.float64()))])
+        types = pa.schema([(n, ARROW[t]) for n, t in FIELDS])
 
         def ordered(session: str, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state, left = empty(), None
+            state, left = Session(), None
             for piece in pieces:
-                frame = piece.to_pandas() if left is None else pd.concat([left, piece.to_pandas()])
-                last = frame["message_id"].to_numpy() == frame["message_id"].iloc[-1]  # may go on in the next piece
-                left, whole = frame[last], frame[~last]
-                yield pa.RecordBatch.from_pylist(score(state, session, whole), types)
+                values = [piece.column(c).to_numpy(zero_copy_only=False) for c in ("message_id", "ns", "x", "y", "z")]
+                values = values if left is None else [np.concatenate(pair) for pair in zip(left, values, strict=True)]
+                whole = int((values[0] != values[0][-1]).sum())  # the last message may go on in the next piece
+                left = [v[whole:] for v in values]
+                yield pa.RecordBatch.from_pylist(score(state, session, [v[:whole] for v in values]), types)
             yield pa.RecordBatch.from_pylist(score(state, session, left), types)
 
-        named = rows.where("message_id is not null").select(F.col("session").cast("string").alias("session"), F.col("message_id").cast("bigint").alias("message_id"), "seq", "ns", "x", "y", "z")
+        named = rows.where("message_id is not null and ns is not null").select(F.col("session").cast("string").alias("session"), F.col("message_id").cast("bigint").alias("message_id"), "seq", "ns", "x", "y", "z")
         return in_order(named, ("message_id", "seq"), ordered, SNAPSHOT)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        state = empty()
+        state = Session()
         if held.exists:
-            ns, x, y, z, posterior, last, end = held.get
-            state = {"ns": np.array(ns, np.int64), "xyz": np.array([x, y, z], float).T.reshape(-1, 3), "posterior": np.array(posterior) if posterior else None, "last_id": last, "window_end": end}
-        whole = pd.concat(list(frames))
-        out = score(state, key[0], whole)
-        held.update((state["ns"].tolist(), *[state["xyz"][:, k].tolist() for k in range(3)], [] if state["posterior"] is None else state["posterior"].tolist(), state["last_id"], state["window_end"]))
+            ns, x, y, z, posterior, last, end, history = held.get
+            memory = Memory(np.array(posterior) if posterior else None, np.array(history, float).reshape(-1, len(ARTIFACT)))
+            state = Session(np.array(ns, np.int64), np.array([x, y, z], float).T.reshape(-1, 3), memory, last, end)
+        whole = pd.concat(list(frames)).sort_values(["message_id", "seq"])
+        out = score(state, key[0], [whole[c].to_numpy() for c in ("message_id", "ns", "x", "y", "z")])
+        posterior = [] if state.memory.posterior is None else state.memory.posterior.tolist()
+        held.update((state.ns.tolist(), *[state.xyz[:, k].tolist() for k in range(3)], posterior, state.last_id, state.window_end, state.memory.history.ravel().tolist()))
         held.setTimeoutDuration(max(1, ttl_seconds) * 1000)
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    return rows.where("message_id is not null and ns is not null").groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def serialised(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as JSON, fields without a value included."""
+    return snapshots.select("session", "message_id", F.to_json(F.struct(*snapshots.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def lifetime(seconds: Column, most: int) -> Column:
+    """A requested lifetime held between a second and ``most``."""
+    return F.least(F.greatest(F.lit(1), seconds), F.lit(most))
+
 
-    return rows.groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def viewers(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``error_reason`` of requests to read a session: needs view_token, session_id, asked_ns; sessions have view_token, session_id, expires_ns."""
+    known = sessions.select("view_token", F.col("session_id").alias("_s"), F.col("expires_ns").alias("_e"))
+    reason = F.when(F.col("_s").isNull(), "invalid-token").when(F.col("_s") != F.col("session_id"), "session-mismatch").when(F.col("_e") <= F.col("asked_ns"), "expired")
+    return requests.join(known, "view_token", "left").withColumn("error_reason", reason).drop("_s", "_e")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

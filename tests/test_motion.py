@@ -13,7 +13,7 @@ from strideflow.functions import signal as S
 from strideflow.functions.features import NAMES, compute, window_features
 from strideflow.operators import decode, evaluation, recap, timeseries, training
 from strideflow.sources import files, recordings
-from strideflow.streaming import live
+from strideflow.streaming import fold, live
 
 ROW = "session long, seq long, t double, x double, y double, z double"
 
@@ -332,11 +332,11 @@ def test_ingest_reasons_and_live_scores_agree_between_batch_and_stream(spark, tm
 def test_live_decoding_starts_anew_after_motion_and_gaps():
     def played(gap, *parts, labels=("walk", "run", "stand"), emit=live.energy_emission, trans=None):
         scorer = live.Scorer(labels, emit, trans, boundary_gap=gap)
-        state, out = {"ns": np.zeros(0, np.int64), "xyz": np.zeros((0, 3)), "posterior": None, "last_id": -1, "window_end": None}, []
+        state, out = live.Session(), []
         for k, (begin, swing) in enumerate(parts):
             t = begin + np.arange(128) * 0.02
             xyz = np.stack([0 * t, 0 * t, 9.8 + swing * np.sin(2 * np.pi * 2 * t)], axis=1)
-            out.append(scorer.message(state, "s", k, (t * 1e9).astype(np.int64), xyz))
+            out += scorer.messages(state, "s", [(k, (t * 1e9).astype(np.int64), xyz)])
         return out
 
     # walking leads to standing here, so only a fresh start leaves both still labels alike
@@ -509,3 +509,94 @@ def test_sessions_are_read_in_pieces(spark, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found["7"] == found["10000"] and len(found["7"][0]) == n and len(found["7"][2]) == 100
     assert len(found["7"][1]) == sum(len(recap.denoise_list([r.asDict() for r in bouts.where(f"session = {s}").orderBy("run").collect()])) for s in (0, 1))
+
+
+SEVEN = ("walk", "run", "stairs", "locomotion-other", "transitions", "sit/lay", "stand")
+
+
+def test_guards_in_the_stream_agree_with_those_on_columns(spark):
+    rng = np.random.default_rng(4)
+    n, k = 600, len(SEVEN)
+    draw = lambda *values: [float(v) for v in rng.choice(values, n)]
+    raw = np.array([rng.dirichlet(np.full(k, 0.4)) for _ in range(n)])
+    raw[:60] = np.eye(k)[rng.integers(0, k, 60)]
+    decoded, last = rng.dirichlet(np.full(k, 0.25), n), rng.dirichlet(np.full(k, 0.4), n)
+    energy, jerk, dom = draw(0.05, 0.1, 0.2, 0.35, 1.0, 1.8, 8.0, 9.0, 12.0), draw(0.5, 0.9, 1.2, 41.0), draw(0.3, 0.7, 1.2, 1.5, 2.0, 3.2)
+    score, cadence, rhythm = draw(0.0, 1.5, 1.6, 2.2), draw(0.0, 80.0, 90.0, 125.0, 140.0), draw(0.1, 0.3, 0.5, 0.6, 0.9)
+    names = {label: f"p{j}" for j, label in enumerate(SEVEN)}
+    fields = ["id", *names.values(), *(f"d{j}" for j in range(k)), "energy", "jerk", "dom", "artifact", "cadence", "periodicity", "previous_stairs", "previous"]
+    data = [(i, *raw[i].tolist(), *decoded[i].tolist(), energy[i], jerk[i], dom[i], score[i], cadence[i], rhythm[i], float(last[i, 2]), SEVEN[int(last[i].argmax())]) for i in range(n)]
+    types = ", ".join(f"{c} {'long' if c == 'id' else 'string' if c == 'previous' else 'double'}" for c in fields)
+    for pocket in (True, False):
+        m = {c: F.col(c) for c in ("energy", "jerk", "dom", "artifact", "cadence", "periodicity", "previous_stairs")} | {"pocket": F.lit(pocket)}
+        rows = guards.apply_in_turn(spark.createDataFrame(data, types), names, m)
+        later = {label: f"d{j}" for j, label in enumerate(SEVEN)}
+        first = {label: F.col(c) for label, c in names.items()}
+        rows = guards.apply_in_turn(rows, later, m, (lambda p, m: guards.stairs_failsafe(p, first, m), lambda p, m: guards.locomotion_transitions(p, F.col("previous"), m), guards.calibrate))  # noqa: B023
+        rows = rows.withColumns({"said": guards.top(first), "sure": F.greatest(*first.values())})
+        rows = guards.apply_pocket_sanity(rows, later, F.col("said"), F.col("sure"), m)
+        g, seen = fold.Guards(SEVEN, pocket), set()
+        for i, row in enumerate(rows.orderBy("id").collect()):
+            emission, _ = g.before(raw[i], energy[i], jerk[i], dom[i], last[i])
+            assert emission == pytest.approx([row[c] for c in names.values()], abs=1e-9)
+            posterior, done = g.after(decoded[i], emission, energy[i], cadence[i], rhythm[i], score[i], last[i])
+            assert posterior == pytest.approx([row[c] for c in later.values()], abs=1e-9) and posterior.sum() == pytest.approx(1)
+            assert ("pocket-sanity" in done) == (row["reason"] != "none")
+            seen |= set(done)
+        assert seen == ({"stairs-failsafe", "locomotion-transitions", "artifact-calibration", "pocket-sanity"} if pocket else {"locomotion-transitions"})
+
+
+def test_artifact_score_follows_the_column_form_and_the_sessions_past(spark):
+    rng = np.random.default_rng(5)
+    now, past = rng.uniform(0, 4, (40, 6)), rng.uniform(0, 2, (25, 6))
+    rows = spark.createDataFrame([(i, *v.tolist()) for i, v in enumerate(now)], "id long, " + ", ".join(f"`{c}` double" for c in guards.ARTIFACT))
+    column = [r[0] for r in rows.orderBy("id").select(guards.artifact_score({c: F.col(c) for c in guards.ARTIFACT})).collect()]
+    assert [fold.artifact(v, past[:19]) for v in now] == pytest.approx(column, abs=1e-9)
+    weights = [w for w, *_ in guards.ARTIFACT.values()]
+    for v, base in zip(now, column, strict=True):
+        rise = 0.0
+        for j, w in enumerate(weights):
+            centre = np.median(past[:, j])
+            rise += w * max(0.0, min(4.0, (v[j] - centre) / max(1e-3, 1.4826 * np.median(np.abs(past[:, j] - centre)))))
+        assert fold.artifact(v, past) == pytest.approx(0.35 * base + 0.65 * max(0.0, rise))
+
+
+def test_messages_scored_together_are_those_scored_one_by_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    batch, t = [], 0.0
+    for k in range(60):
+        size = int(rng.integers(0, 40))
+        at = t + rng.uniform(0, 0.8, size)
+        xyz = np.stack([rng.normal(0, 0.01 if k // 15 % 2 else 3, size), np.sin(12 * at), np.full(size, 9.8)], axis=1)
+        if k % 9 == 4 and size:
+            xyz[0, 1] = np.nan
+        batch.append((k, (at * 1e9).astype(np.int64), xyz))
+        t += 0.4
+    emit = lambda f: np.stack([np.exp(-np.abs(f["body_mag_energy"] - c)) + 0.05 for c in (3, 9, 5, 7, 1, 0, 0.1)], axis=-1)
+    monkeypatch.setattr(live, "RING", 300)
+    found = []
+    for cut in (60, 7, 1):
+        monkeypatch.setattr(live, "AT_ONCE", 16)
+        scorer, state, out = live.Scorer(SEVEN, emit), live.Session(), []
+        for a in range(0, 60, cut):
+            out += scorer.messages(state, "s", batch[a : a + cut])
+        found.append(out)
+        assert len(state.ns) == 300 and state.last_id == 59 and len(state.memory.history) <= fold.KEEP
+    assert str(found[0][-1]["source"]) and {r["source"].split("+")[0] for r in found[0] if r["source"]} >= {"initialized", "continued"}
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert {c: a[c] for c in ("status", "n", "source", "label")} == {c: b[c] for c in ("status", "n", "source", "label")}
+            assert (a["posterior"] is None and b["posterior"] is None) or a["posterior"] == pytest.approx(b["posterior"], abs=1e-9)
+    plain = live.Scorer(SEVEN, emit, decoder="none").messages(live.Session(), "s", batch)
+    assert {r["source"].split("+")[0] for r in plain if r["source"]} == {"disabled"}
+
+
+def test_viewers_lifetimes_and_json(spark):
+    sessions = spark.createDataFrame([("v", "s", 100)], "view_token string, session_id string, expires_ns long")
+    asked = spark.createDataFrame([("v", "s", 99), ("v", "s", 100), ("v", "other", 5), ("w", "s", 5), (None, "s", 5)], "view_token string, session_id string, asked_ns long")
+    assert sorted((r.session_id, r.asked_ns, r.error_reason) for r in live.viewers(asked, sessions).where("view_token = 'v'").collect()) == [("other", 5, "session-mismatch"), ("s", 99, None), ("s", 100, "expired")]
+    assert {r.error_reason for r in live.viewers(asked, sessions).where("view_token is null or view_token = 'w'").collect()} == {"invalid-token"}
+    held = spark.createDataFrame([(-5,), (40,), (4000,)], "s int").select(live.lifetime(F.col("s"), 1800)).collect()
+    assert [r[0] for r in held] == [1, 40, 1800]
+    rows = spark.createDataFrame([("a", 1, None)], "session string, message_id long, label string")
+    assert json.loads(live.serialised(rows).collect()[0].json) == {"session": "a", "message_id": 1, "label": None}
