@@ -331,7 +331,7 @@ def _(spark, sf):
     return rows.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("n"), r(F.sum(F.col("c_acctbal").cast("double") * 9.81), 2).alias("scaled"))
 
 
-JSON_SQL = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id // 2 END AS message_id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE CAST(user_id AS VARCHAR) END AS session_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 50 = 0 THEN 1 + event_id % 600 ELSE 1 + event_id % 5 END AS size FROM events"""
+JSON_SQL = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id // 2 END AS message_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS session_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 50 = 0 THEN 1 + event_id % 600 ELSE 1 + event_id % 5 END AS size FROM events"""
 
 
 def batches(spark, sf) -> DataFrame:
@@ -340,17 +340,17 @@ def batches(spark, sf) -> DataFrame:
     n = F.col("event_id")
     sample = F.struct((n * 20.0).alias("timestampMs"), F.struct(F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(9.8).alias("z")).alias("acc"))
     samples = F.when(n % 17 != 0, F.array_repeat(sample, F.when(n % 50 == 0, 1 + n % 600).otherwise(1 + n % 5).cast("int")))
-    body = F.struct(F.when(n % 11 != 0, F.floor(n / 2)).alias("messageId"), F.when(n % 13 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("sessionId"), F.lit("d").alias("deviceId"), samples.alias("samples"))
+    body = F.struct(F.when(n % 11 != 0, F.floor(n / 2)).alias("messageId"), F.when(n % 13 == 0, "").otherwise(F.col("user_id").cast("string")).alias("sessionId"), F.lit("d").alias("deviceId"), samples.alias("samples"))
     return e.select("event_id", F.to_json(body).alias("value"))
 
 
-@query("ingest_parse", f"""WITH b AS ({JSON_SQL}) SELECT event_id, CASE WHEN message_id IS NULL THEN 'messageId' WHEN trim(session_id) = '' THEN 'sessionId' WHEN size IS NULL THEN 'samples' WHEN size > 512 THEN 'too-many-samples' END AS error_reason,
+@query("ingest_parse", f"""WITH b AS ({JSON_SQL}) SELECT event_id, CASE WHEN message_id IS NULL THEN 'messageId' WHEN session_id = '' THEN 'sessionId' WHEN size IS NULL THEN 'samples' WHEN size > 512 THEN 'too-many-samples' END AS error_reason,
 CAST(coalesce(size, 0) AS BIGINT) AS n_samples FROM b""")
 def _(spark, sf):
     return live.parse(batches(spark, sf)).select("event_id", "error_reason", F.coalesce(F.size("samples"), F.lit(0)).cast("long").alias("n_samples")).withColumn("n_samples", F.greatest("n_samples", F.lit(0)))
 
 
-@query("ingest_dedupe", f"WITH b AS ({JSON_SQL}) SELECT session_id, message_id FROM b WHERE message_id IS NOT NULL AND trim(session_id) <> '' AND size <= 512 GROUP BY 1, 2")
+@query("ingest_dedupe", f"WITH b AS ({JSON_SQL}) SELECT session_id, message_id FROM b WHERE message_id IS NOT NULL AND session_id <> '' AND size <= 512 GROUP BY 1, 2")
 def _(spark, sf):
     rows = live.deduplicate(live.parse(batches(spark, sf)).where("error_reason is null"))
     return rows.select(F.col("sessionId").alias("session_id"), F.col("messageId").alias("message_id"))

@@ -16,8 +16,11 @@ from strideflow.operators.ordered import in_order
 from strideflow.streaming.fold import KEEP, Guards, Memory, artifact, metrics, unit
 
 MOST_SAMPLES, RING, WINDOW_SECONDS, POINTS, MIN_SHARE = 512, 6000, 2.56, 128, 0.8
+NUMBER, MOST_MS = "BIGINT|DOUBLE|DECIMAL", 9.0e12  # beyond it a time in ns leaves 64 bits
+POINTS_TYPE = "array<struct<timestampMs: double, acc: struct<x: double, y: double, z: double>, gyro: struct<alpha: double, beta: double, gamma: double>>>"
+_N = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+PLAIN = f"^ARRAY<(VOID|OBJECT<acc: OBJECT<x: {_N}, y: {_N}, z: {_N}>, (gyro: OBJECT<alpha: {_N}, beta: {_N}, gamma: {_N}>, )?timestampMs: {_N}>)>$"
 AT_ONCE = 512  # windows whose features are computed together
-BATCH = "messageId BIGINT, sessionId STRING, deviceId STRING, placementLabel STRING, source STRING, samples ARRAY<STRUCT<timestampMs: DOUBLE, acc: STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>>>"
 SNAPSHOT = "session STRING, message_id BIGINT, status STRING, n INT, window_end_ns BIGINT, energy DOUBLE, dom_freq_hz DOUBLE, cadence_spm DOUBLE, artifact DOUBLE, source STRING, label STRING, posterior ARRAY<DOUBLE>"
 STATE = "ns ARRAY<BIGINT>, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, posterior ARRAY<DOUBLE>, last_id BIGINT, window_end BIGINT, history ARRAY<DOUBLE>"
 FIELDS = [tuple(f.split()) for f in SNAPSHOT.split(", ")]
@@ -25,16 +28,63 @@ COLUMNS = [n for n, _ in FIELDS]
 ARROW = {"STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "DOUBLE": pa.float64(), "ARRAY<DOUBLE>": pa.list_(pa.float64())}
 
 
-def parse(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON batches to columns with ``error_reason``: null where the batch is valid."""
-    rows = raw.withColumn("b", F.from_json(F.col(column).cast("string"), BATCH, {"mode": "PERMISSIVE"}))
-    b = F.col("b")
-    bad: Column = F.exists(b["samples"], lambda s: s["timestampMs"].isNull() | s["acc"].isNull() | s["acc"]["x"].isNull() | s["acc"]["y"].isNull() | s["acc"]["z"].isNull())
-    reason = (
-        F.when(b.isNull() | b["messageId"].isNull(), "messageId").when(F.coalesce(F.trim(b["sessionId"]), F.lit("")) == "", "sessionId").when(F.coalesce(F.trim(b["deviceId"]), F.lit("")) == "", "deviceId")
-        .when(b["samples"].isNull(), "samples").when(F.size(b["samples"]) > MOST_SAMPLES, "too-many-samples").when(bad, "sample")
+def _at(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{path}", kind)
+
+
+def _is(value: Column, kinds: str) -> Column:
+    """Whether a JSON value is of one of the kinds; false where it is missing."""
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^({kinds})"), F.lit(False))
+
+
+def _given(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False))
+
+
+def _missing(s: Column) -> Column:
+    """Whether a typed sample lacks a value, or its time is no whole number in range."""
+    ms, acc, gyro = s["timestampMs"], s["acc"], s["gyro"]
+    lacks = ms.isNull() | (ms != F.floor(ms)) | (F.abs(ms) >= MOST_MS) | acc["x"].isNull() | acc["y"].isNull() | acc["z"].isNull()
+    return lacks | (gyro.isNotNull() & (gyro["alpha"].isNull() | gyro["beta"].isNull() | gyro["gamma"].isNull()))
+
+
+def _sample_error(sample: Column, index: Column) -> Column:
+    """What is wrong with one sample, or null. A gyro may be left out, but not in part."""
+    time, gyro = _at(sample, "timestampMs"), _at(sample, "gyro")
+    ms = _at(sample, "timestampMs", "double")
+    name = lambda field, rest: F.concat(F.lit("samples["), index.cast("string"), F.lit(f"]{field} must be {rest}."))
+    number = lambda path: F.when(~_is(_at(sample, path), NUMBER), name(f".{path}", "numeric"))
+    whole = _is(time, NUMBER) & F.coalesce((ms == F.floor(ms)) & (F.abs(ms) < MOST_MS), F.lit(False))
+    return F.coalesce(
+        F.when(~_is(sample, "OBJECT"), name("", "an object")), F.when(~whole, name(".timestampMs", "an integer")), F.when(~_is(_at(sample, "acc"), "OBJECT"), name(".acc", "an object")),
+        F.when(_given(gyro) & ~_is(gyro, "OBJECT"), name(".gyro", "an object")), *[F.when(_given(gyro), number(f"gyro.{k}")) for k in ("alpha", "beta", "gamma")], *[number(f"acc.{k}") for k in "xyz"],
     )
-    return rows.select("*", "b.*", reason.alias("error_reason")).drop("b")
+
+
+def parse(raw: DataFrame, column: str = "value") -> DataFrame:
+    """JSON batches to columns with ``error_reason``, null where the batch is valid, and ``error_text``, which names the field.
+
+    Types are checked as JSON has them: truth values are no numbers, numbers no strings, a messageId has no fraction.
+    """
+    b, kind, typed, several = F.col("_b"), F.col("_k"), F.col("_t"), F.coalesce(F.col("_k").startswith("ARRAY"), F.lit(False))
+    rows = raw.withColumn("_b", F.try_parse_json(F.col(column).cast("string")))
+    rows = rows.withColumns({"_k": F.schema_of_variant(_at(b, "samples")), "_t": _at(b, "samples", POINTS_TYPE)})
+    rows = rows.withColumn("_n", F.when(several, F.coalesce(F.array_size(typed), F.array_size(_at(b, "samples", "array<variant>")))))
+    # one look at the merged type of all samples clears most batches; only the others are read value by value
+    plain = F.coalesce(kind.rlike(PLAIN) & ~F.exists(typed, _missing), F.lit(False))
+    errors = F.filter(F.transform(_at(b, "samples", "array<variant>"), _sample_error), lambda e: e.isNotNull())
+    rows = rows.withColumn("_wrong", F.when(several & (F.col("_n") <= MOST_SAMPLES) & ~plain, F.get(errors, F.lit(0))))
+    bad_text = lambda f: ~_is(_at(b, f), "STRING") | (F.coalesce(_at(b, f, "string"), F.lit("")) == "")
+    checks = [  # the type of a whole body is asked for only where there is no id
+        (~_is(_at(b, "messageId"), "BIGINT") & ~_is(b, "OBJECT"), "body", F.lit("body must be an object.")), (~_is(_at(b, "messageId"), "BIGINT"), "messageId", F.lit("messageId must be an integer.")),
+        *[(bad_text(f), f, F.lit(f"{f} must be a non-empty string.")) for f in ("sessionId", "deviceId")],
+        *[(_given(_at(b, f)) & bad_text(f), f, F.lit(f"{f} must be a non-empty string.")) for f in ("placementLabel", "source")],
+        (~several, "samples", F.lit("samples must be an array.")), (F.col("_n") > MOST_SAMPLES, "too-many-samples", F.lit(f"samples exceeds max allowed per batch ({MOST_SAMPLES}).")),
+        (F.col("_wrong").isNotNull(), "sample", F.col("_wrong")),
+    ]
+    fields = [_at(b, "messageId", "bigint").alias("messageId"), *[_at(b, f, "string").alias(f) for f in ("sessionId", "deviceId", "placementLabel", "source")], typed.alias("samples")]
+    found = F.coalesce(*[F.when(c, F.struct(F.lit(n).alias("n"), t.alias("t"))) for c, n, t in checks])
+    return rows.select(*raw.columns, *fields, found.alias("_e")).select("*", F.col("_e.n").alias("error_reason"), F.col("_e.t").alias("error_text")).drop("_e")
 
 
 def scope(batches: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -48,7 +98,7 @@ def scope(batches: DataFrame, sessions: DataFrame) -> DataFrame:
 def points(batches: DataFrame) -> DataFrame:
     """One row per sample: session, message_id, seq, ns, x, y, z."""
     rows = batches.where("error_reason is null").select(F.col("sessionId").alias("session"), F.col("messageId").alias("message_id"), F.posexplode("samples").alias("seq", "s"))
-    return rows.select("session", "message_id", "seq", (F.col("s.timestampMs") * 1e6).cast("bigint").alias("ns"), "s.acc.x", "s.acc.y", "s.acc.z")
+    return rows.select("session", "message_id", "seq", (F.col("s.timestampMs").cast("bigint") * 1_000_000).alias("ns"), "s.acc.x", "s.acc.y", "s.acc.z")
 
 
 def deduplicate(batches: DataFrame, ttl: str = "6 hours") -> DataFrame:

@@ -309,12 +309,12 @@ def test_ingest_reasons_and_live_scores_agree_between_batch_and_stream(spark, tm
         body = {"messageId": m, "sessionId": session, "deviceId": "d", "samples": [{"timestampMs": t0 + 20 * k, "acc": {"x": math.sin(0.25 * (m * n + k)), "y": 0, "z": 9.8}} for k in range(n)]}
         return json.dumps(body | more)
 
-    lines = [message(m, s) for m in range(6) for s in "ab"] + [message(1, "a"), message(9, " "), message(9, n=513), "{", message(9, samples=[{"timestampMs": 1}])]
+    lines = [message(m, s) for m in range(6) for s in "ab"] + [message(1, "a"), message(9, ""), message(9, n=513), "{", message(9, samples=[{"timestampMs": 1}])]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/x.txt").write_text("\n".join(lines))
     raw = spark.read.text(str(tmp_path / "in"))
     parsed = live.parse(raw)
-    assert sorted(r.error_reason for r in parsed.where("error_reason is not null").collect()) == ["messageId", "sample", "sessionId", "too-many-samples"]
+    assert sorted(r.error_reason for r in parsed.where("error_reason is not null").collect()) == ["body", "sample", "sessionId", "too-many-samples"]
     scorer = live.Scorer(("walk", "run", "stand"), live.energy_emission)
     batch = live.score_stream(live.points(live.deduplicate(parsed)), scorer).collect()
     assert len(batch) == 12 and {r.status for r in batch if r.message_id >= 2} == {"success"}
@@ -600,3 +600,29 @@ def test_viewers_lifetimes_and_json(spark):
     assert [r[0] for r in held] == [1, 40, 1800]
     rows = spark.createDataFrame([("a", 1, None)], "session string, message_id long, label string")
     assert json.loads(live.serialised(rows).collect()[0].json) == {"session": "a", "message_id": 1, "label": None}
+
+
+def test_every_field_of_a_batch_is_checked_by_its_json_type(spark):
+    def said(more, drop=(), **sample):
+        one = {"timestampMs": 1, "acc": {"x": 1, "y": 2.5, "z": -3e1}} | sample
+        body = {"messageId": 1, "sessionId": "s", "deviceId": "d", "samples": [one]} | more
+        return json.dumps({k: v for k, v in body.items() if k not in drop})
+
+    gyro = {"alpha": 1, "beta": 2, "gamma": 3}
+    cases = [
+        (said({}), None), (said({}, gyro=gyro), None), (said({}, gyro=None), None), (said({}, timestampMs=2.0), None), (said({"sessionId": " "}), None), (said({"samples": []}), None), (said({"source": None}), None),
+        ("[1]", "body must be an object."), (None, "body must be an object."), ("{", "body must be an object."),
+        *[(said({"messageId": v}), "messageId must be an integer.") for v in (True, 1.0, 1.5, "1", None)], (said({}, ("messageId",)), "messageId must be an integer."),
+        *[(said({"sessionId": v}), "sessionId must be a non-empty string.") for v in (5, "", None, True)], (said({"deviceId": {}}), "deviceId must be a non-empty string."),
+        (said({"placementLabel": ""}), "placementLabel must be a non-empty string."), (said({"source": 1}), "source must be a non-empty string."),
+        (said({"samples": {}}), "samples must be an array."), (said({}, ("samples",)), "samples must be an array."), (said({"samples": [1]}), "samples[0] must be an object."),
+        (said({"samples": [None]}), "samples[0] must be an object."), (said({"samples": [None, {"timestampMs": 1}]}), "samples[0] must be an object."), (said({"samples": [1] * 513}), "samples exceeds max allowed per batch (512)."),
+        *[(said({}, timestampMs=v), "samples[0].timestampMs must be an integer.") for v in (True, 1.5, "1", None, 10**20)],
+        *[(said({}, acc=v), "samples[0].acc must be an object.") for v in (None, 3, [])], (said({}, acc={"x": 1, "y": True, "z": 0}), "samples[0].acc.y must be numeric."), (said({}, acc={"x": 1, "y": 0}), "samples[0].acc.z must be numeric."),
+        (said({}, gyro=3), "samples[0].gyro must be an object."), (said({}, gyro={"alpha": 1, "gamma": 2}), "samples[0].gyro.beta must be numeric."), (said({}, gyro=gyro | {"gamma": "1"}), "samples[0].gyro.gamma must be numeric."),
+    ]
+    rows = live.parse(spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "id int, value string")).orderBy("id").collect()
+    for row, (value, text) in zip(rows, cases, strict=True):
+        assert row.error_text == text and (row.error_reason is None) == (text is None), value
+    got = live.points(live.parse(spark.createDataFrame([(said({}, timestampMs=7.0),)], "value string"))).collect()
+    assert [tuple(r) for r in got] == [("s", 1, 0, 7_000_000, 1.0, 2.5, -30.0)]
