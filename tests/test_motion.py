@@ -406,10 +406,11 @@ def test_labels_placements_and_file_names(spark):
 
 
 def test_flush_splits_resamples_and_names_segments(spark):
-    rows = [(7, k, t, float(k), 0.0, 9.8, "3", "train", "Walking", "pocket") for k, t in enumerate([0, 0.02, 0.04, 0.06, 0.5, 0.52, 0.54])] + [(8, 50, 0.0, 1.0, 0.0, 0.0, "3", "train", "swimming", "pocket")]
+    rows = [(7, k, t, float(k), 0.0, 9.8, "3", "train", "Walking", "pocket") for k, t in enumerate([0.0, 0.02, 0.04, 0.06, 0.5, 0.52, 0.54])] + [(8, 50, 0.0, 1.0, 0.0, 0.0, "3", "train", "swimming", "pocket")]
     frame = spark.createDataFrame(rows, "session long, seq long, t double, x double, y double, z double, subject string, split string, raw string, placement string")
     got = files.flush_sessions(frame, {"walking": "walk"}, 2.0, size=2, hop=1).where("sample_index = 0").orderBy("session", "window_index").collect()
-    assert [(r.session, r.window_index, r.x, r.activity) for r in got] == [("7:segment:0", 0, 0, "walk"), ("7:segment:0", 1, 2, "walk"), ("7:segment:0", 2, 4, "walk"), ("7:segment:1", 0, 8, "walk"), ("7:segment:1", 1, 10, "walk")]
+    assert [(r.session, r.window_index, r.activity) for r in got] == [("7:segment:0", 0, "walk"), ("7:segment:0", 1, "walk"), ("7:segment:0", 2, "walk"), ("7:segment:1", 0, "walk"), ("7:segment:1", 1, "walk")]
+    assert [r.x for r in got] == pytest.approx([0, 2, 4, 8, 10], abs=1e-9)  # interpolated: 0.52 - 0.5 is not 0.02 to the last bit
 
 
 def test_named_csv_finds_the_header(spark, tmp_path):
