@@ -215,11 +215,12 @@ def energy_emission(f: dict) -> np.ndarray:
     return np.stack([1 - still - run, run, still], axis=-1) + 1e-6
 
 
-def score_stream(rows: DataFrame, scorer: Scorer, ttl_seconds: int = 6 * 3600) -> DataFrame:
+def score_stream(rows: DataFrame, scorer: Scorer, ttl_seconds: int | None = 6 * 3600) -> DataFrame:
     """Snapshots, one per message, of point rows (stream or not), in order of message id within what a trigger brings.
 
     Without a stream, a session is read in order and only its state is carried. In a stream, the state of a session
-    that brings nothing for ``ttl_seconds`` is dropped. Points without a message or a time are left out.
+    that brings nothing for ``ttl_seconds`` is dropped; such a stream always runs another batch to look for it, so a run that is
+    to end by itself (trigger availableNow) takes None, which keeps all state. Points without a message or a time are left out.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -259,10 +260,12 @@ def score_stream(rows: DataFrame, scorer: Scorer, ttl_seconds: int = 6 * 3600) -
         out = score(state, key[0], [whole[c].to_numpy() for c in ("message_id", "ns", "x", "y", "z")])
         posterior = [] if state.memory.posterior is None else state.memory.posterior.tolist()
         held.update((state.ns.tolist(), *[state.xyz[:, k].tolist() for k in range(3)], posterior, state.last_id, state.window_end, state.memory.history.ravel().tolist()))
-        held.setTimeoutDuration(max(1, ttl_seconds) * 1000)
+        if ttl_seconds is not None:
+            held.setTimeoutDuration(max(1, ttl_seconds) * 1000)
         yield pd.DataFrame(out, columns=COLUMNS)
 
-    return rows.where("message_id is not null and ns is not null").groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.where("message_id is not null and ns is not null").groupBy("session").applyInPandasWithState(run, SNAPSHOT, STATE, "append", timeout)
 
 
 def serialised(snapshots: DataFrame) -> DataFrame:

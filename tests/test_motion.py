@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -319,9 +320,16 @@ def test_ingest_reasons_and_live_scores_agree_between_batch_and_stream(spark, tm
     batch = live.score_stream(live.points(live.deduplicate(parsed)), scorer).collect()
     assert len(batch) == 12 and {r.status for r in batch if r.message_id >= 2} == {"success"}
     stream = live.parse(spark.readStream.text(str(tmp_path / "in"))).withColumn("received_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    scored = live.score_stream(live.points(live.deduplicate(stream)), scorer)
-    q = scored.writeStream.format("memory").queryName("snapshots").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    points = live.points(live.deduplicate(stream))
+    q = live.score_stream(points, scorer, ttl_seconds=None).writeStream.format("memory").queryName("snapshots").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert q.awaitTermination(120)  # ends by itself
+    q = live.score_stream(points, scorer).writeStream.format("memory").queryName("expiring").outputMode("append").option("checkpointLocation", str(tmp_path / "e")).start()
+    for _ in range(60):  # it looks for expired state for ever, so nothing says that all is read
+        if spark.table("expiring").count() >= len(batch):
+            break
+        time.sleep(1)
+    q.stop()
+    assert sorted(map(str, spark.table("expiring").collect())) == sorted(map(str, spark.table("snapshots").collect()))
     key = lambda r: (r.session, r.message_id)
     streamed = sorted(spark.table("snapshots").collect(), key=key)
     for a, b in zip(sorted(batch, key=key), streamed, strict=True):
