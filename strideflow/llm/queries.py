@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideflow.llm import decontaminate, jpeg, language_id, licenses, line_crf, mixing, near_dup, sharding, simhash, token_files, warc
+from strideflow.llm import decontaminate, jpeg, language_id, licenses, line_crf, mixing, near_dup, sharding, simhash, spelling, token_files, warc
 from strideflow.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
     "op12_simhash": op12_simhash,
 }
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
