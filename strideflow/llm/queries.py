@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideflow.llm import decontaminate, jpeg, language_id, licenses, line_crf, mixing, near_dup, sharding, simhash, spelling, token_files, warc
+from strideflow.llm import alignment, decontaminate, jpeg, language_id, licenses, line_crf, mixing, near_dup, sharding, simhash, spelling, token_files, warc
 from strideflow.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_near_duplicates": op2_near_duplicates,
@@ -70,5 +74,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_spelling": op11_spelling,
     "op12_simhash": op12_simhash,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
