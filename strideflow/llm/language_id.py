@@ -29,6 +29,16 @@ ORDER, DISCOUNT, MAX_DOCS, START = 4, 0.75, 1500, 2
 LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
+def _is_letter(raw: np.ndarray) -> np.ndarray:
+    """Letters of all planes; the few distinct characters beyond the first plane are looked up one by one."""
+    letter = LETTER[np.minimum(raw, 0xFFFF)]
+    wide = np.flatnonzero(raw > 0xFFFF)
+    if len(wide):
+        found, of = np.unique(raw[wide], return_inverse=True)
+        letter[wide] = np.array([chr(c).isalpha() for c in found.tolist()])[of]
+    return letter
+
+
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """16-bit character codes of lower-cased texts end to end, non-letters as single spaces, three start marks before each; the rows' bounds."""
     raw = np.frombuffer("".join("\x02\x02\x02" + (t or "").lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -38,7 +48,7 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     mark = np.zeros(len(out), bool)
     for k in range(3):
         mark[begins[:-1] + k] = True
-    out[~LETTER[out] & (raw < 0x10000)] = 32
+    out[~_is_letter(raw)] = 32
     out[mark] = START
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)

@@ -16,8 +16,8 @@ Pairs whose minwise tokens agree too little (five standard deviations under the
 confirmed on full shingle sets, ``100 * intersection >= 75 * union``.
 
 Null or wordless texts have an empty set and link with nothing; a text of fewer than five words is one shingle; repeated
-rows fall into one class, two texts under one doc_id into the classes of their texts; rows without doc_id get a null
-component, but link others, and ``one_of_each`` treats them like the rest; an empty table gives no rows; other columns
+rows fall into one class, two texts under one doc_id into the classes of their texts; a row without doc_id links others and
+gets the smallest doc_id that it reaches (kept only where its group has none: component null), and ``one_of_each`` treats it like the rest; an empty table gives no rows; other columns
 are ignored, and kept by ``one_of_each``.
 """
 
@@ -299,8 +299,7 @@ def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    out = groups(docs, recall).select("doc_id", "n_shingles", component.alias("component_id"))
+    out = groups(docs, recall).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

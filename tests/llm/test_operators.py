@@ -698,3 +698,18 @@ def test_pipeline_against_its_stages(spark, sf):
     assert {r.doc_id for r in out.collect()} <= survivors - leaked
     assert out.count() == mixing.mixed_documents(docs.where(docs.doc_id.isin(list(survivors - leaked)))).count()
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_copies_without_ids_belong_to_their_group(spark):
+    text = " ".join(words(40, 21))
+    rows = [(1, text), (None, text), (4, text), (None, "nothing like the others at all"), (None, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, True), (None, 1, False), (4, 1, False), (None, None, True), (None, None, True)], key=str)
+
+
+def test_texts_without_a_letter_of_any_plane(spark):
+    train = [(4 * k + 1, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 40)]
+    odd = [(10_000, "\U0001f600\U0001f600 \U0001f680", None), (10_001, "\U0001d7d8\U0001d7d9", None), (10_002, "\U00010330\U00010331", None), (10_003, "12 !?", None), (10_004, "the \U0001f600 dog", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language(spark.createDataFrame(train + odd, "doc_id long, text string, lang string")).where("doc_id >= 10000").collect()}
+    assert got[10_000] == got[10_001] == got[10_003] == ("und", 0.0)
+    assert got[10_002][0] != "und" and got[10_004][0] == "en"
