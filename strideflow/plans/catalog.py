@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from strideflow.functions import guards, insights
 from strideflow.functions import signal as S
-from strideflow.operators import decode, evaluation, recap, timeseries, training
+from strideflow.operators import boosting, bundle, decode, evaluation, recap, timeseries, training, tuning
 from strideflow.sources.recordings import synthetic_time
-from strideflow.sources.views import LABELS, SCORED_SQL, SENSOR_SQL, scored, sensor, signals, table
+from strideflow.sources.shared import new_path
+from strideflow.sources.views import ACTIVITIES, LABELS, SCORED_SQL, SENSOR_SQL, scored, sensor, signals, table
 from strideflow.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -811,3 +812,30 @@ def _(spark, sf):
     features = ("x", "y", "z", "hour")
     model = training.refit_on_misses(split.where("part = 'fit'"), features, params={"numTrees": 10, "maxDepth": 4})
     return evaluation.confusion(training.predict(model, split.where("part = 'tune'")))
+
+
+BOOSTED = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3, "max_bins": 32}
+HOURLY = ("x", "y", "z", "hour")
+
+
+def _hourly(spark, sf):
+    return sensor(spark, sf).where("activity is not null").withColumn("hour", F.col("t") / HOUR % 24)
+
+
+@query("boosted_confusion")
+def _(spark, sf):
+    """A few boosted trees (``boosting.BASE`` holds the full parameters); their confusion over the sessions held out for tuning."""
+    split = training.tuning_split(_weighted(spark, sf).drop("predicted").withColumn("hour", F.col("t") / HOUR % 24), "session")
+    model = boosting.fit(split.where("part = 'fit'"), HOURLY, weight="weight", params=BOOSTED)
+    return evaluation.confusion(boosting.predict(model, split.where("part = 'tune'")))
+
+
+@query("bundle_scores")
+def _(spark, sf):
+    """A bundle fitted, saved and loaded again; all sensor rows scored by it: the likeliest label alone and decoded."""
+    rows, path = _hourly(spark, sf), new_path(spark, "bundle")
+    candidate = BOOSTED | {"n_estimators": 2, "decoder_sticky_prior": 0.2, "decoder_cross_coarse_penalty": 0.2}
+    labels = [n for n in LABELS if n in ACTIVITIES.values()]
+    bundle.save(spark, tuning.fit_bundle(rows, HOURLY, candidate, labels, ("sit/lay", "stand")), path)
+    found = bundle.infer(bundle.load(spark, path, HOURLY), rows)
+    return found.select("session", "seq", "raw", "decoded", r(F.array_max("probs"), 6).alias("p"))
