@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideflow.functions import guards, insights
 from strideflow.functions import signal as S
-from strideflow.operators import boosting, bundle, decode, evaluation, recap, timeseries, training, tuning
+from strideflow.operators import boosting, bundle, decode, evaluation, recap, sliced, timeseries, training, tuning
 from strideflow.sources.recordings import synthetic_time
 from strideflow.sources.shared import new_path
 from strideflow.sources.views import ACTIVITIES, LABELS, SCORED_SQL, SENSOR_SQL, scored, sensor, signals, table
@@ -839,3 +839,31 @@ def _(spark, sf):
     bundle.save(spark, tuning.fit_bundle(rows, HOURLY, candidate, labels, ("sit/lay", "stand")), path)
     found = bundle.infer(bundle.load(spark, path, HOURLY), rows)
     return found.select("session", "seq", "raw", "decoded", r(F.array_max("probs"), 6).alias("p"))
+
+
+@query("contiguous_sessions", """WITH new AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) OR row_number() OVER (ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS c FROM events),
+runs AS (SELECT *, CAST(sum(c) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM new) SELECT run, event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM runs GROUP BY 1, 2""")
+def _(spark, sf):
+    """Runs of one event type in the order of the file; in the given tables event_id numbers that order."""
+    runs = sliced.contiguous_sessions(sliced.file_rows(spark, f"{sf}/events.parquet", 2000), "event_type")
+    return runs.groupBy("run", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("sliced_segments", f"""WITH {SENSOR_SQL}, cut AS (SELECT *, CASE WHEN t - lag(t) OVER w > 60 THEN 1 ELSE 0 END AS c, CASE WHEN activity IS DISTINCT FROM lag(activity) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS r FROM sensor WINDOW w AS (ORDER BY t, seq)),
+seg AS (SELECT *, CAST(sum(c) OVER w AS BIGINT) AS segment, CAST(sum(r) OVER w AS BIGINT) AS run, row_number() OVER (ORDER BY t, seq) AS n FROM cut WINDOW w AS (ORDER BY t, seq ROWS UNBOUNDED PRECEDING))
+SELECT seq, n, segment, run, round(t - min(t) OVER (PARTITION BY segment), 4) AS t_segment FROM seg""")
+def _(spark, sf):
+    """All sensor rows as one long session: gap segments, label runs and row numbers by slices."""
+    rows = sliced.add_slices(sensor(spark, sf).withColumn("session", F.lit("all")), size=1000, cuts=32)
+    rows = sliced.runs(sliced.segments(rows, 60.0), "activity")
+    return sliced.running_sum(rows, F.lit(1), "n").select("seq", "n", "segment", "run", r("t_segment", 4).alias("t_segment"))
+
+
+@query("hot_session_decode")
+def _(spark, sf):
+    """All scored rows decoded as one long session by slices; a test holds it against ``decode.decode``."""
+    k = len(LABELS)
+    trans = [[0.9 if i == j else 0.1 / (k - 1) for j in range(k)] for i in range(k)]
+    rows = scored(spark, sf).select(F.lit("all").alias("session"), "t", "seq", F.array(*[f"p{i}" for i in range(k)]).alias("probs"))
+    found = sliced.decode_slices(sliced.add_slices(rows, size=1000, cuts=63), [1 / k] * k, trans)
+    return found.select("seq", "label_index", r(F.array_max("posterior"), 6).alias("p"))
