@@ -14,7 +14,7 @@ from strideflow.operators import boosting, bundle, decode, evaluation, recap, sl
 from strideflow.sources.recordings import synthetic_time
 from strideflow.sources.shared import new_path
 from strideflow.sources.views import ACTIVITIES, LABELS, SCORED_SQL, SENSOR_SQL, scored, sensor, signals, table
-from strideflow.streaming import live
+from strideflow.streaming import live, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -867,3 +867,12 @@ def _(spark, sf):
     rows = scored(spark, sf).select(F.lit("all").alias("session"), "t", "seq", F.array(*[f"p{i}" for i in range(k)]).alias("probs"))
     found = sliced.decode_slices(sliced.add_slices(rows, size=1000, cuts=63), [1 / k] * k, trans)
     return found.select("seq", "label_index", r(F.array_max("posterior"), 6).alias("p"))
+
+
+@query("finalised_sessions")
+def _(spark, sf):
+    """Every session of the sensor rows summarised once: of its history, else (each fifth) its latest row, else (each tenth) not at all."""
+    rows = entries(spark, sf)
+    newest = rows.groupBy("session").agg(F.max_by(F.struct(*sinks.HISTORY[1:]), F.struct("t", "seq")).alias("r")).select("session", "r.*")
+    found = sinks.finalise(sensor(spark, sf), rows.where("session % 5 <> 0"), newest.where("session % 10 <> 0"))
+    return found.withColumns({"notes": F.concat_ws(" ", "notes"), "activity_bouts": F.to_json("activity_bouts"), "time_by_activity": F.to_json("time_by_activity")})
