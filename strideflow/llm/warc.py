@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm.common import checkpointed, new_folder, open_new, open_old, text_bytes
+from strideflow.llm.near_dup import BROADCAST_IDS, spread_join
 
 #: The dictionary frame's magic number, a Zstandard frame's, and a dictionary's.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -171,6 +172,14 @@ def train_dictionary(pages: DataFrame, samples: int = 300, most_bytes: int = 1 <
         return b""
 
 
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to of the pages that revisit another; payloads aren't moved for it, and a frequent digest is spread."""
+    large = rows.where(F.col("size") >= LEAST_REVISIT).withColumn("_spread", F.monotonically_increasing_id())
+    first = checkpointed(large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"))
+    both = spread_join(large, first, ["digest"], first.agg(F.sum("n")).first()[0] or 0, "_spread")
+    return checkpointed(both.where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct())
+
+
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes = b"") -> DataFrame:
     """path, records, bytes of each archive written."""
 
@@ -190,10 +199,10 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes = b"") -> Da
     payload = text_bytes(pages["html"])
     url = pages["url"] if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    refers_to = F.when((F.col("size") >= LEAST_REVISIT) & (F.col("page_id") != F.col("first_page")), F.col("first_page"))
-    rows = rows.withColumn("refers_to", refers_to).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    first = revisits(rows.select("page_id", "digest", "size"))
+    few = first.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
+    rows = rows.join(F.broadcast(first) if few else first, ["page_id", "digest"], "left")
+    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     return checkpointed(rows.select("page_id", "url", "payload", "digest", "size", "refers_to").mapInArrow(run, "path string, records long, bytes long"))
 
 

@@ -713,3 +713,23 @@ def test_texts_without_a_letter_of_any_plane(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language(spark.createDataFrame(train + odd, "doc_id long, text string, lang string")).where("doc_id >= 10000").collect()}
     assert got[10_000] == got[10_001] == got[10_003] == ("und", 0.0)
     assert got[10_002][0] != "und" and got[10_004][0] == "en"
+
+
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_archives_of_one_page_many_times(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_IDS", few)
+    hot, long, rows = "<p>the same page " * 20, "<div>" + "long page " * 200_000, []
+    rows += [(k, f"http://x/{k}", hot) for k in range(500)] + [(500 + k, None, t) for k, t in enumerate(["", None, "short", "short", long, long, "other " * 30])] + [(7, "again", hot), (None, "no id", hot), (501, "two", "other " * 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    first = {}
+    for i, _, h in rows:
+        if i is not None and len(h or "") >= 100:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        other = i is not None and len(raw) >= 100 and first[h] != i
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if other else "response", first[h] if other else None))
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert warc.round_trip(pages.where("false")).count() == 0
