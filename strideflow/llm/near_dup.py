@@ -8,7 +8,8 @@ documents that share a passage part, and independent trees are repeated until th
 Large nodes of true copies never get small. They aren't compared pair by pair: each class is first compared with its
 node's first one, links that hold are joined to components, and later rounds only compare classes of different
 components. No link between components is lost by that, and nothing is capped: at the last level, large nodes are cut
-into blocks, and what lies outside a node's largest component is compared with the rest on full sets, block by block.
+into blocks, and what lies outside a node's largest component is compared with the rest on full sets, block by block: first
+in one of EARLY nodes, then in those of the others that are still of different components.
 Rows of a node, or of a class, that holds more than 1/HEAVY of all rows are spread over SALTS tasks when they are joined
 to what is known of their group.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
-BROADCAST_IDS, HEAVY, SALTS = 250_000, 4096, 64
+BROADCAST_IDS, HEAVY, SALTS, EARLY = 250_000, 4096, 64, 8
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -244,8 +245,8 @@ def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
     return both.groupBy("node", "all", "of").applyInArrow(_links_within, "a long, b long")
 
 
-def _rest(docs: DataFrame, classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFrame | None]:
-    """What the trees leave in one node but in different components: pairs from small leaves, confirmed links from large ones."""
+def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """What the trees leave in one node but in different components: pairs from small leaves, rows of large ones (None: there are none)."""
     rows, pairs = _branch(_paths(classes, trees), 0), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
@@ -262,7 +263,14 @@ def _rest(docs: DataFrame, classes: DataFrame, trees: int, total: int) -> tuple[
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
-    return out.distinct(), None if rows is None else _dense_links(docs, classes, rows)
+    return out.distinct(), rows
+
+
+def _still_apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of leaves with their components as they are known now, without the leaves that have become one."""
+    rows = rows.select("node", "class").join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
+    return rows.join(open_, "node", "left_semi")
 
 
 def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
@@ -283,11 +291,16 @@ def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     links = checkpointed(_confirmed(docs, classes, checkpointed(_alike(stars, classes))))
     parts = connected_components(links)
     named = lambda part: classes.join(part.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    pairs, dense = _rest(docs, named(parts), trees, count * trees)
+    pairs, leaves = _rest(named(parts), trees, count * trees)
     more = _confirmed(docs, classes, checkpointed(_alike(pairs, classes)))
-    more = checkpointed(more if dense is None else more.unionByName(dense))
-    if not more.isEmpty():
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    early = F.pmod(F.xxhash64("node"), F.lit(EARLY)) == 0  # most of what large leaves hold is in many of them: a few of them settle it
+    more = checkpointed(more if leaves is None else more.unionByName(_dense_links(docs, classes, leaves.where(early))))
+    join = lambda parts, links: parts if links.isEmpty() else connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+    parts = join(parts, more)
+    if leaves is not None:
+        rest = checkpointed(_still_apart(leaves.where(~early), parts))
+        if not rest.isEmpty():
+            parts = join(parts, checkpointed(_dense_links(docs, classes, rest)))
 
     final = known.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     least = final.groupBy("group").agg(F.min("least").alias("least"))
