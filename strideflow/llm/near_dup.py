@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
-SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 256, 72
+SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 512, 72
 BROADCAST_IDS, HEAVY, SALTS, EARLY = 250_000, 4096, 64, 8
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -174,15 +174,16 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity
     return both.where(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * similarity_percent).select("a", "b").distinct()
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """The child of a row's node that its tree's next minwise token chooses."""
-    return rows.withColumn("node", F.xxhash64("node", F.element_at("path", level + 1)))
+def _paths(classes: DataFrame, trees: int) -> DataFrame:
+    """One row per tree, in the tree's child that its first minwise token chooses."""
+    root = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t).cast("long"), F.col("tokens")[t * DEPTH]).alias("node"))
+    return classes.select("class", *(["component"] if "component" in classes.columns else []), F.explode(F.array(*map(root, range(trees)))).alias("x")).select("*", "x.tree", "x.node").drop("x")
 
 
-def _paths(classes: DataFrame, trees: int) -> DataFrame:
-    """One row per tree; ``path`` holds the tokens that the tree's levels choose."""
-    path = lambda t: F.struct(F.lit(t).cast("long").alias("node"), F.array(*[F.col("tokens")[t * DEPTH + k] for k in range(DEPTH)]).alias("path"))
-    return classes.select("class", *(["component"] if "component" in classes.columns else []), F.explode(F.array(*map(path, range(trees)))).alias("x")).select("*", "x.node", "x.path").drop("x")
+def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """The child of a row's node that its tree's next minwise token chooses; only rows that branch again look their tokens up."""
+    rows = rows.join(classes.select("class", "tokens"), "class")
+    return rows.withColumn("node", F.xxhash64("node", F.get("tokens", F.col("tree") * DEPTH + level))).drop("tokens")
 
 
 def _stars(rows: DataFrame, total: int) -> DataFrame:
@@ -247,7 +248,7 @@ def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
 
 def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFrame | None]:
     """What the trees leave in one node but in different components: pairs from small leaves, rows of large ones (None: there are none)."""
-    rows, pairs = _branch(_paths(classes, trees), 0), []
+    rows, pairs = _paths(classes, trees), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         rows = checkpointed(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"))
@@ -259,7 +260,7 @@ def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFr
         if rows.isEmpty():
             rows = None
             break
-        rows = rows.drop("n") if level == DEPTH else _branch(rows.drop("n"), level)
+        rows = rows.drop("n") if level == DEPTH else _branch(rows.drop("n"), classes, level)
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
@@ -287,7 +288,7 @@ def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     classes = checkpointed(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"))
     count = classes.count()
 
-    stars = _stars(_branch(_paths(classes, STAR_TREES), 0), count * STAR_TREES)
+    stars = _stars(_paths(classes, STAR_TREES), count * STAR_TREES)
     links = checkpointed(_confirmed(docs, classes, checkpointed(_alike(stars, classes))))
     parts = connected_components(links)
     named = lambda part: classes.join(part.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
