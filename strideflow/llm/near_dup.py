@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 512, 72
-BROADCAST_IDS, HEAVY, SALTS, EARLY = 250_000, 4096, 64, 8
+BROADCAST_IDS, HEAVY, SALTS, EARLY, ROWS_A_TASK = 250_000, 4096, 64, 8, 131_072
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -117,6 +117,14 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     return rows.join(groups.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about ``rows`` narrow rows in the tasks that it needs: one for ROWS_A_TASK of them, and one for each core.
+
+    Adaptive execution does the same where it may; a small table over many tasks costs each exchange its square in small files.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``a, b`` -> ``id, component`` (the smallest id reachable) by alternating large-star and small-star steps.
 
@@ -124,14 +132,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     is checkpointed after each round and only its row count and checksum reach the driver.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    n, before = edges.count(), None
+    fit = lambda df: sized(df, 2 * n)  # noqa: E731  # no step makes more rows than two for each edge
     while True:
+        edges = fit(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = fit(fit(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.*").where("u <> v").distinct())
+        small = fit(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v"))
+        edges = checkpointed(fit(small.distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
