@@ -108,6 +108,12 @@ def edge_trim(rows: DataFrame, head: float = 5.0, tail: float = 15.0, least: int
     return rows.withColumn("t", F.col("t") - F.min("t").over(whole))
 
 
+def out_of_order(rows: DataFrame, number: str = "message_id", key: str = "session", arrival: str = "seq") -> DataFrame:
+    """``out_of_order``: whether a message's number isn't above that of the message that arrived before it; such messages stay."""
+    before = F.lag(number).over(Window.partitionBy(key).orderBy(arrival))
+    return rows.withColumn("out_of_order", F.coalesce(F.col(number) <= before, F.lit(False)))
+
+
 def tail_rows(rows: DataFrame, limit: int, key: str = "session") -> DataFrame:
     """The last ``limit`` rows of each series by arrival; all where limit is not positive."""
     if limit <= 0:

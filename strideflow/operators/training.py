@@ -76,6 +76,18 @@ def candidates(n: int, grid: dict[str, Sequence] = SMALL_GRID, seed: int = 42) -
     return list(found.values())
 
 
+def label_order(rows: DataFrame, targets: Sequence[str], label: str = "activity") -> list[str]:
+    """The target labels that occur in the rows, in the targets' order. One row a label reaches the driver."""
+    seen = {row[0] for row in rows.where(F.col(label).isin(*targets)).select(label).distinct().collect()}
+    return [n for n in targets if n in seen]
+
+
+def label_index(label: Column, order: Sequence[str]) -> Column:
+    """A label's place in the order, from 0; null for labels outside it."""
+    place = F.array_position(F.array(*[F.lit(n) for n in order]), label) if order else F.lit(0)
+    return F.when(place > 0, place - 1).cast("int")
+
+
 def fit_forest(rows: DataFrame, features: Sequence[str], label: str = "activity", weight: str | None = None, params: dict | None = None) -> PipelineModel:
     """A random forest over feature columns; rows without a label or with a null or NaN feature are left out."""
     names = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip")

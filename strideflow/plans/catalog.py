@@ -360,8 +360,7 @@ def _(spark, sf):
 @query("out_of_order", f"WITH {SENSOR_SQL}, m AS (SELECT session, seq, CAST((seq * 7919) % 1000 AS BIGINT) AS message_id FROM sensor) SELECT session, seq, coalesce(message_id <= lag(message_id) OVER (PARTITION BY session ORDER BY seq), false) AS out_of_order FROM m")
 def _(spark, sf):
     rows = sensor(spark, sf).withColumn("message_id", F.col("seq") * 7919 % 1000)
-    late = F.col("message_id") <= F.lag("message_id").over(Window.partitionBy("session").orderBy("seq"))
-    return rows.select("session", "seq", F.coalesce(late, F.lit(False)).alias("out_of_order"))
+    return timeseries.out_of_order(rows).select("session", "seq", "out_of_order")
 
 
 @query("scope_check", "SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'invalid-token' WHEN c_acctbal <= value * 100 THEN 'expired' WHEN c_nationkey <> user_id % 25 THEN 'session-mismatch' END AS error_reason FROM events LEFT JOIN customer ON c_custkey = user_id * 3")
@@ -814,6 +813,13 @@ def _(spark, sf):
     return evaluation.confusion(training.predict(model, split.where("part = 'tune'")))
 
 
+@query("label_indexes", f"WITH {SENSOR_SQL} SELECT session, seq, CAST(dense_rank() OVER (ORDER BY list_position({list(LABELS)}, activity)) - 1 AS INTEGER) AS label_index FROM sensor WHERE activity IS NOT NULL")
+def _(spark, sf):
+    """Labels as numbers: their place among the target labels that occur."""
+    rows = sensor(spark, sf).where("activity is not null")
+    return rows.select("session", "seq", training.label_index(F.col("activity"), training.label_order(rows, LABELS)).alias("label_index"))
+
+
 BOOSTED = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3, "max_bins": 32}
 HOURLY = ("x", "y", "z", "hour")
 

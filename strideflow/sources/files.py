@@ -113,6 +113,13 @@ def position_file(path: Column, position: Column) -> tuple[Column, Column]:
     return F.when(subject != "", subject), F.when(fits, F.substring(stem, F.lit(5), F.length(stem) - 4 - F.length(tail)))
 
 
+def subject_file(path: Column, prefix: str, ending: str) -> Column:
+    """Subject of ``<prefix>_<subject>...<ending>``, as in ``data_1600_accel_phone.txt`` or ``Participant_3.csv``; null where the name is another."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - len(ending))
+    return F.when(name.startswith(f"{prefix}_") & name.endswith(ending), F.split(stem, "_")[1])
+
+
 def trial_side(trial: Column, code: Column) -> Column:
     """The pocket of a trial: falls have three on each side, others the first on the right."""
     fall = code.startswith("Falling") | code.isin("HittingObstacle", "Syncope")
@@ -149,6 +156,14 @@ def pick_files(paths: DataFrame, most: int) -> DataFrame:
     return ranked.where((F.col("_n") <= most) & (split != "")).drop("_n")
 
 
+def union_of_paths(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Each path of several lists once, in order of name."""
+    out = first.select("path")
+    for more in others:
+        out = out.union(more.select("path"))
+    return out.distinct().orderBy("path")
+
+
 def contract(windows: DataFrame, dataset: str, stream: str, rate: int = 50) -> DataFrame:
     """The sample table from windowed rows: session, subject, split, activity (label), raw, placement, window_index, sample_index, x, y, z."""
     session = F.format_string(f"{dataset}:{stream}:session:%s", F.col("session").cast("string"))
