@@ -455,11 +455,12 @@ def _(spark, sf):
         F.min(F.when(F.col("cum") >= 0.85 * F.col("total"), F.col("f"))).alias("rolloff"), F.max_by("f", F.when(F.col("k") > 0, F.col("p")).otherwise(-1.0)).alias("dom_freq"))
 
 
-@query("feat_autocorr", SIG + ", a AS (SELECT x.vec_id, y.i - x.i AS lag, sum(x.c * y.c) AS ac FROM q x JOIN q y ON x.vec_id = y.vec_id AND y.i >= x.i GROUP BY 1, 2), z AS (SELECT *, ac / (max(CASE WHEN lag = 0 THEN ac END) OVER (PARTITION BY vec_id) + 1e-8) AS r FROM a) SELECT vec_id, round(max(CASE WHEN lag BETWEEN 12 AND 63 THEN r END), 5) AS peak, round(arg_max(lag, CASE WHEN lag BETWEEN 12 AND 63 THEN r END) / 50.0, 4) AS lag_s FROM z GROUP BY 1")
+@query("feat_autocorr", SIG + ", a AS (SELECT x.vec_id, y.i - x.i AS lag, sum(x.c * y.c) AS ac FROM q x JOIN q y ON x.vec_id = y.vec_id AND y.i >= x.i GROUP BY 1, 2), z AS (SELECT *, ac / (max(CASE WHEN lag = 0 THEN ac END) OVER (PARTITION BY vec_id) + 1e-8) AS r FROM a) SELECT vec_id, round(max(CASE WHEN lag BETWEEN 12 AND 100 THEN r END), 5) AS peak, round(arg_max(lag, CASE WHEN lag BETWEEN 12 AND 100 THEN r END) / 50.0, 4) AS lag_s FROM z GROUP BY 1")
 def _(spark, sf):
     rows = signals(spark, sf).select("vec_id", S.centred(F.col("v")).alias("c"))
     dot = lambda k: F.aggregate(F.zip_with(F.slice("c", F.lit(1), F.size("c") - k), F.slice("c", k + 1, F.size("c") - k), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    ac = F.transform(F.sequence(F.lit(12), F.lit(63)), lambda k: F.struct((dot(k) / (dot(F.lit(0)) + 1e-8)).alias("r"), (-k).alias("lag")))
+    lags = F.when(F.size("c") > 12, F.sequence(F.lit(12), F.least(F.size("c") - 1, F.lit(100))))  # shorter signals have none
+    ac = F.transform(lags, lambda k: F.struct((dot(k) / (dot(F.lit(0)) + 1e-8)).alias("r"), (-k).alias("lag")))
     best = rows.select("vec_id", F.array_max(ac).alias("b"))
     return best.select("vec_id", r(F.col("b.r"), 5).alias("peak"), r(-F.col("b.lag") / 50.0, 4).alias("lag_s"))
 

@@ -1,8 +1,11 @@
-"""Label order, message order, and what file names and lists of files tell."""
+"""Label order, message order, and what file names and lists of files tell, signals of any length."""
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from strideflow.operators import timeseries, training
+from strideflow.plans import catalog
 from strideflow.sources import files
 
 
@@ -30,3 +33,14 @@ def test_messages_out_of_order_stay(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 1, 5), ("a", 2, 7), ("a", 3, 6), ("b", 0, 1), ("b", 1, None)], "session string, seq long, message_id long")
     got = [r.out_of_order for r in timeseries.out_of_order(rows).orderBy("session", "seq").collect()]
     assert got == [False, True, False, True, False, False]
+
+
+def test_autocorrelation_of_short_and_long_signals(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=n)]) for i, n in enumerate((1, 12, 13, 40, 64, 150))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"SELECT vec_id, peak, lag_s FROM ({catalog.ORACLES['feat_autocorr']}) ORDER BY vec_id").fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["feat_autocorr"](spark, str(tmp_path)).select("vec_id", "peak", "lag_s").orderBy("vec_id").collect()]
+    assert got == want and [r[1] is None for r in got] == [True, True, False, False, False, False]
