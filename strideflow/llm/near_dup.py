@@ -120,7 +120,7 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """A table of about ``rows`` narrow rows in the tasks that it needs: one for ROWS_A_TASK of them, and one for each core.
 
-    Adaptive execution does the same where it may; a small table over many tasks costs each exchange its square in small files.
+    Adaptive execution does the same where it may; otherwise a small table is cut into very many small blocks at each exchange.
     """
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
 
