@@ -45,6 +45,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``checkpointed``, and the shuffle files behind it are removed at once, not when the driver happens to collect its garbage.
+
+    Nothing reads them again: the checkpoint cuts the lineage. The setting holds for this one execution only.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return checkpointed(df.select("*"))
+    finally:
+        conf.set(key, before)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import LOWER, SPACES, buffer_of, checkpointed, mix, shingles, slices, word_hashes, words_of
+from strideflow.llm.common import LOWER, SPACES, buffer_of, mix, settled, shingles, slices, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 512, 72
 BROADCAST_IDS, HEAVY, SALTS, EARLY, ROWS_A_TASK = 250_000, 4096, 64, 8, 131_072
@@ -131,7 +131,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every step aggregates minima before the shuffle and joins them back, so a hub costs no large group; the table
     is checkpointed after each round and only its row count and checksum reach the driver.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     n, before = edges.count(), None
     fit = lambda df: sized(df, 2 * n)  # noqa: E731  # no step makes more rows than two for each edge
     while True:
@@ -141,7 +141,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = fit(fit(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = fit(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v"))
-        edges = checkpointed(fit(small.distinct()))
+        edges = settled(fit(small.distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -161,7 +161,7 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
     side = lambda s: classes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), low.alias(f"tokens_{s}"))
-    both = _with_sides(checkpointed(pairs), side)
+    both = _with_sides(settled(pairs), side)
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
     return both.where(sizes & (same >= FEWEST_EQUAL)).select("a", "b").distinct()
@@ -169,13 +169,13 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, shingles of the classes named. Only texts of their representatives (by doc_id and the text's check) are read into sets."""
-    wanted = checkpointed(classes.join(wanted, "class", "left_semi").select("class", "first", "second", F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
+    wanted = settled(classes.join(wanted, "class", "left_semi").select("class", "first", "second", F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
     few = wanted.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
     sent = F.broadcast if few else lambda x: x
     rows = docs.select(docs["doc_id"], docs["text"])
     texts = rows.join(sent(wanted.select("_id", "_check")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_check")), "left_semi")
     sets = texts.mapInArrow(_full, "first long, second long, shingles array<long>")
-    return checkpointed(sets.join(sent(wanted.select("class", "first", "second")), ["first", "second"]).select("class", "shingles"))
+    return settled(sets.join(sent(wanted.select("class", "first", "second")), ["first", "second"]).select("class", "shingles"))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity_percent: int = 75) -> DataFrame:
@@ -255,7 +255,7 @@ def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
         rows.select("node", "class", "component", F.lit(False).alias("minor"), in_all.alias("all"), F.explode(F.sequence(F.lit(0), F.col("_minor") - 1)).alias("of")),
         rows.where("component <> major").select("node", "class", "component", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("all"), in_minor.alias("of")),
     ]
-    both = checkpointed(sides[0].unionByName(sides[1]))
+    both = settled(sides[0].unionByName(sides[1]))
     both = both.join(_sets_of(docs, classes, both.select("class").distinct()), "class")
     return both.groupBy("node", "all", "of").applyInArrow(_links_within, "a long, b long")
 
@@ -265,7 +265,7 @@ def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFr
     rows, pairs = _paths(classes, trees), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rows = checkpointed(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"))
+        rows = settled(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"))
         leaves = rows.where(F.col("n") <= SMALL_NODE)
         a = leaves.select("node", F.col("class").alias("a"), F.col("component").alias("of_a"))
         b = leaves.select("node", F.col("class").alias("b"), F.col("component").alias("of_b"))
@@ -291,36 +291,36 @@ def _still_apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     """doc_id, check (a hash of the text), n_shingles, group (null for empty sets), least (the group's smallest doc_id) of every row."""
     trees = trees_for(recall)
-    rows = checkpointed(features(docs))
+    rows = settled(features(docs))
     full = rows.where("n_shingles > 0")
     known = full.groupBy("first", "second").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    known = checkpointed(known.select("first", "second", "n", "least", "r.doc_id", "r.check").withColumn("class", F.monotonically_increasing_id()))
+    known = settled(known.select("first", "second", "n", "least", "r.doc_id", "r.check").withColumn("class", F.monotonically_increasing_id()))
     keys = ["first", "second"]  # each class once, by its representative's row: copies of it have other ids, so no key is hot
     named_by = known.select("class", *[F.col(c).alias(f"_{c}") for c in (*keys, "doc_id", "check")])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "doc_id", "check")]
     own = full.join(named_by, same[0] & same[1] & same[2] & same[3]).dropDuplicates(["class"])
-    classes = checkpointed(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"))
+    classes = settled(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"))
     count = classes.count()
 
     stars = _stars(_paths(classes, STAR_TREES), count * STAR_TREES)
-    links = checkpointed(_confirmed(docs, classes, checkpointed(_alike(stars, classes))))
+    links = settled(_confirmed(docs, classes, settled(_alike(stars, classes))))
     parts = connected_components(links)
     named = lambda part: classes.join(part.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     pairs, leaves = _rest(named(parts), trees, count * trees)
-    more = _confirmed(docs, classes, checkpointed(_alike(pairs, classes)))
+    more = _confirmed(docs, classes, settled(_alike(pairs, classes)))
     early = F.pmod(F.xxhash64("node"), F.lit(EARLY)) == 0  # most of what large leaves hold is in many of them: a few of them settle it
-    more = checkpointed(more if leaves is None else more.unionByName(_dense_links(docs, classes, leaves.where(early))))
+    more = settled(more if leaves is None else more.unionByName(_dense_links(docs, classes, leaves.where(early))))
     join = lambda parts, links: parts if links.isEmpty() else connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     parts = join(parts, more)
     if leaves is not None:
-        rest = checkpointed(_still_apart(leaves.where(~early), parts))
+        rest = settled(_still_apart(leaves.where(~early), parts))
         if not rest.isEmpty():
-            parts = join(parts, checkpointed(_dense_links(docs, classes, rest)))
+            parts = join(parts, settled(_dense_links(docs, classes, rest)))
 
     final = known.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     least = final.groupBy("group").agg(F.min("least").alias("least"))
     final = final.select("first", "second", "n", "group").join(least, "group")
-    out = spread_join(full.select("doc_id", "check", "n_shingles", "first", "second"), checkpointed(final), keys, rows.count(), "doc_id")
+    out = spread_join(full.select("doc_id", "check", "n_shingles", "first", "second"), settled(final), keys, rows.count(), "doc_id")
     none = rows.where("n_shingles = 0").select("doc_id", "check", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("least"))
     return out.select("doc_id", "check", "n_shingles", "group", "least").unionByName(none)
 
@@ -337,13 +337,13 @@ def one_of_each(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     Rows of equal doc_id and text are one document, also without words; of a doc_id that stands in two groups each may stay.
     What goes is decided on ids and checks of texts; texts move only where more than BROADCAST_IDS rows go.
     """
-    rows = checkpointed(groups(docs, recall).select("doc_id", "check", "group"))
+    rows = settled(groups(docs, recall).select("doc_id", "check", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")
     linked = rows.where("group is not null")
     best = linked.groupBy("group").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     gone = spread_join(linked, best, ["group"], rows.count(), "doc_id").where(order != F.col("best"))
-    gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct())
-    again = checkpointed(rows.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    gone = settled(gone.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct())
+    again = settled(rows.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     packed = docs.select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text_check"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
