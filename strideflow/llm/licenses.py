@@ -24,6 +24,8 @@ from strideflow.llm.common import LOWER, NOT_ALNUM, buffer_of, slices, word_hash
 
 #: Phrases and their labels.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: The phrases that the contract of the query ``op3_licenses`` names.
+CONTRACT_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: License wording with optional and replaceable regions.
 TEMPLATES = {
     "mit-notice": "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
@@ -183,13 +185,15 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, SCHEMA)
 
 
-def licenses(docs: DataFrame) -> DataFrame:
+def licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """The digest: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the share of words that template matches and base phrases cover (counted once each), at most 1.
     """
-    rows = scan_licenses(docs)
-    lengths = F.create_map(*[F.lit(x) for p, label in PHRASES.items() for x in (label, len(tokens(p)))])
+    if len(set(phrases.values())) < len(phrases):
+        raise ValueError("phrases need labels of their own")
+    rows = scan_licenses(docs, phrases)
+    lengths = F.create_map(*[F.lit(x) for p, label in phrases.items() for x in (label, len(tokens(p)))])
     names = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*c))), ",")
     base, matches = F.transform("base", lambda x: x["label"]), F.transform("matches", lambda x: x["label"])
     covered = F.concat(

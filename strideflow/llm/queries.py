@@ -18,7 +18,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(table(spark, sf_dir, "documents"))
+    return licenses.licenses(table(spark, sf_dir, "documents"), licenses.CONTRACT_PHRASES)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
