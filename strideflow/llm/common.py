@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,18 +46,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def planned_once(spark: SparkSession):
+    """Inside, no plan is changed while it runs: an execution is one job.
+
+    Each stage that adaptive execution adds plans again and takes a thread of the driver for a minute. What runs here has few rows.
+    """
+    return _setting(spark, {"spark.sql.adaptive.enabled": "false"})
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``checkpointed``, and the shuffle files behind it are removed at once, not when the driver happens to collect its garbage.
 
     Nothing reads them again: the checkpoint cuts the lineage. The setting holds for this one execution only.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
+    with _setting(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         return checkpointed(df.select("*"))
-    finally:
-        conf.set(key, before)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage now, between steps of a long iteration.
+
+    Spark removes old broadcasts and checkpoints only when that happens, and each stage leaves some MB of buffers behind
+    for which the driver's heap would grow meanwhile.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

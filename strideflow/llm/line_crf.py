@@ -14,6 +14,8 @@ labels every text scores 0.5 and empty ones 0; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -248,7 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)  # at most max_train_docs short rows
     rows = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(some), "doc_id").where("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     found = rows.limit(max_train_docs).select("text", "quality").toArrow()
-    return fit(found.column("text").combine_chunks(), found.column("quality").to_numpy().astype(int))
+    texts, quality = found.column("text").combine_chunks(), found.column("quality").to_numpy().astype(int)
+    del found
+    model = fit(texts, quality)
+    del texts
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # the C library keeps what the fit took, beside what Spark's driver needs
+        ctypes.CDLL(None).malloc_trim(0)
+    return model
 
 
 def _scored(docs: DataFrame, model: LineCRF, carry: tuple[str, ...]) -> DataFrame:

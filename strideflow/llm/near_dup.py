@@ -24,6 +24,7 @@ are ignored, and kept by ``one_of_each``.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import LOWER, SPACES, buffer_of, mix, settled, shingles, slices, word_hashes, words_of
+from strideflow.llm.common import LOWER, SPACES, buffer_of, mix, planned_once, settled, shingles, slices, tidied, word_hashes, words_of
 
 SIGNATURE, DEPTH, STAR_TREES, SMALL_NODE, BLOCK, FEWEST_EQUAL = 128, 4, 5, 16, 512, 72
-BROADCAST_IDS, HEAVY, SALTS, EARLY, ROWS_A_TASK = 250_000, 4096, 64, 8, 131_072
+BROADCAST_IDS, HEAVY, SALTS, EARLY, ROWS_A_TASK, WIDE = 250_000, 4096, 64, 8, 131_072, 16
 _MULTIPLIERS = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -117,22 +118,32 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     return rows.join(groups.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """A table of about ``rows`` narrow rows in the tasks that it needs: one for ROWS_A_TASK of them, and one for each core.
+def sized(df: DataFrame, rows: int, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """A table of about ``rows`` rows in the tasks that it needs: one for ``rows_a_task`` of them, and one for each core.
 
-    Adaptive execution does the same where it may; otherwise a small table is cut into very many small blocks at each exchange.
+    Adaptive execution does the same where it may; otherwise a small table is cut into very many small blocks at each exchange,
+    and the driver keeps a record of each task.
     """
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task)))
+
+
+def laid(df: DataFrame, wide: bool = False) -> tuple[DataFrame, int]:
+    """``settled``, in the tasks that its rows need (``wide``: rows of some KB), and the number of its rows."""
+    out = settled(df)
+    with planned_once(df.sparkSession):
+        n = sized(out, 0).count()
+    return sized(out, n, ROWS_A_TASK // WIDE if wide else ROWS_A_TASK), n
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``a, b`` -> ``id, component`` (the smallest id reachable) by alternating large-star and small-star steps.
 
     Every step aggregates minima before the shuffle and joins them back, so a hub costs no large group; the table
-    is checkpointed after each round and only its row count and checksum reach the driver.
+    is checkpointed after each round and only its row count and checksum reach the driver. Few edges need no adaptive
+    execution: a hub has at most 8 tasks' rows then.
     """
-    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    n, before = edges.count(), None
+    edges, n = laid(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
     fit = lambda df: sized(df, 2 * n)  # noqa: E731  # no step makes more rows than two for each edge
     while True:
         edges = fit(edges)
@@ -141,17 +152,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = fit(fit(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = fit(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v"))
-        edges = settled(fit(small.distinct()))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with planned_once(links.sparkSession) if 2 * n <= 8 * ROWS_A_TASK else contextlib.nullcontext():
+            edges = settled(fit(small.distinct()))
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tidied(links.sparkSession)
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = now
 
 
-def _with_sides(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
-    """Checkpointed pairs joined to both their classes. One class may be the first of very many pairs, so these are spread."""
+def _with_sides(pairs: DataFrame, count: int, side: Callable[[str], DataFrame]) -> DataFrame:
+    """Checkpointed pairs, ``count`` of them, joined to both their classes. One class may be the first of very many pairs, so these are spread."""
     firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).join(side("a"), "a")
-    return spread_join(pairs, firsts, ["a"], pairs.count(), "b").drop("n").join(side("b"), "b")
+    return spread_join(pairs, firsts, ["a"], count, "b").drop("n").join(side("b"), "b")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -161,7 +174,7 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     low = F.transform("tokens", lambda t: (F.pmod(t, F.lit(256)) - 128).cast("tinyint"))
     side = lambda s: classes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), low.alias(f"tokens_{s}"))
-    both = _with_sides(settled(pairs), side)
+    both = _with_sides(*laid(pairs), side)
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
     return both.where(sizes & (same >= FEWEST_EQUAL)).select("a", "b").distinct()
@@ -169,21 +182,23 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, shingles of the classes named. Only texts of their representatives (by doc_id and the text's check) are read into sets."""
-    wanted = settled(classes.join(wanted, "class", "left_semi").select("class", "first", "second", F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
-    few = wanted.count() <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
+    tidied(docs.sparkSession)
+    wanted, n = laid(classes.join(wanted, "class", "left_semi").select("class", "first", "second", F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
+    few = n <= BROADCAST_IDS  # some tens of MB as a hash relation; beyond that both sides are shuffled
     sent = F.broadcast if few else lambda x: x
     rows = docs.select(docs["doc_id"], docs["text"])
     texts = rows.join(sent(wanted.select("_id", "_check")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_check")), "left_semi")
     sets = texts.mapInArrow(_full, "first long, second long, shingles array<long>")
-    return settled(sets.join(sent(wanted.select("class", "first", "second")), ["first", "second"]).select("class", "shingles"))
+    return laid(sets.join(sent(wanted.select("class", "first", "second")), ["first", "second"]).select("class", "shingles"), wide=True)[0]
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """Pairs that hold on full sets. Only texts in some pair are read into sets."""
+    pairs, count = laid(pairs)
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = _sets_of(docs, classes, wanted)
     side = lambda s: sets.select(F.col("class").alias(s), F.col("shingles").alias(f"s_{s}"))
-    both = _with_sides(pairs, side)
+    both = _with_sides(pairs, count, side)
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * similarity_percent).select("a", "b").distinct()
 
@@ -203,7 +218,7 @@ def _branch(rows: DataFrame, classes: DataFrame, level: int, trees: int) -> Data
 def _stars(rows: DataFrame, total: int) -> DataFrame:
     """Each class with the first one of its node."""
     nodes = rows.groupBy("node").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return spread_join(rows.select("node", "class"), nodes, ["node"], total, "class").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    return sized(spread_join(rows.select("node", "class"), nodes, ["node"], total, "class"), total).where("class <> a").select("a", F.col("class").alias("b")).distinct()
 
 
 def _links_within(group: pa.Table) -> pa.Table:
@@ -249,13 +264,15 @@ def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
     parts = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
     leaves = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("_major"), F.max_by("component", F.struct("n", "component")).alias("major"))
     leaves = leaves.select("node", "n", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("_all"), F.ceil((F.col("n") - F.col("_major")) / BLOCK).cast("int").alias("_minor"))
-    rows = spread_join(rows.select("node", "class", "component"), leaves, ["node"], rows.count(), "class")
+    total = rows.count()
+    rows = sized(spread_join(rows.select("node", "class", "component"), leaves, ["node"], total, "class"), total)
     in_all, in_minor = F.pmod(F.xxhash64("class"), F.col("_all")).cast("int"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("_minor")).cast("int")
     sides = [
         rows.select("node", "class", "component", F.lit(False).alias("minor"), in_all.alias("all"), F.explode(F.sequence(F.lit(0), F.col("_minor") - 1)).alias("of")),
         rows.where("component <> major").select("node", "class", "component", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("all"), in_minor.alias("of")),
     ]
-    both = settled(sides[0].unionByName(sides[1]))
+    both, _ = laid(sides[0].unionByName(sides[1]))
+    tidied(docs.sparkSession)
     both = both.join(_sets_of(docs, classes, both.select("class").distinct()), "class")
     return both.groupBy("node", "all", "of").applyInArrow(_links_within, "a long, b long")
 
@@ -265,7 +282,8 @@ def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFr
     rows, pairs = _paths(classes, trees), []
     for level in range(1, DEPTH + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rows = settled(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"))
+        rows, _ = laid(sized(spread_join(rows, nodes.select("node", "n"), ["node"], total, "class"), total))
+        tidied(classes.sparkSession)
         leaves = rows.where(F.col("n") <= SMALL_NODE)
         a = leaves.select("node", F.col("class").alias("a"), F.col("component").alias("of_a"))
         b = leaves.select("node", F.col("class").alias("b"), F.col("component").alias("of_b"))
@@ -274,7 +292,7 @@ def _rest(classes: DataFrame, trees: int, total: int) -> tuple[DataFrame, DataFr
         if rows.isEmpty():
             rows = None
             break
-        rows = rows.drop("n") if level == DEPTH else _branch(rows.drop("n"), classes, level, trees)
+        rows = rows.drop("n") if level == DEPTH else sized(_branch(rows.drop("n"), classes, level, trees), total)
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
@@ -291,36 +309,35 @@ def _still_apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     """doc_id, check (a hash of the text), n_shingles, group (null for empty sets), least (the group's smallest doc_id) of every row."""
     trees = trees_for(recall)
-    rows = settled(features(docs))
+    rows, total = laid(features(docs), wide=True)
     full = rows.where("n_shingles > 0")
     known = full.groupBy("first", "second").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    known = settled(known.select("first", "second", "n", "least", "r.doc_id", "r.check").withColumn("class", F.monotonically_increasing_id()))
+    known, _ = laid(known.select("first", "second", "n", "least", "r.doc_id", "r.check").withColumn("class", F.monotonically_increasing_id()))
     keys = ["first", "second"]  # each class once, by its representative's row: copies of it have other ids, so no key is hot
     named_by = known.select("class", *[F.col(c).alias(f"_{c}") for c in (*keys, "doc_id", "check")])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "doc_id", "check")]
     own = full.join(named_by, same[0] & same[1] & same[2] & same[3]).dropDuplicates(["class"])
-    classes = settled(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"))
-    count = classes.count()
+    classes, count = laid(own.select("class", "first", "second", "doc_id", "check", "n_shingles", "tokens"), wide=True)
 
     stars = _stars(_paths(classes, STAR_TREES), count * STAR_TREES)
-    links = settled(_confirmed(docs, classes, settled(_alike(stars, classes))))
+    links, _ = laid(_confirmed(docs, classes, _alike(stars, classes)))
     parts = connected_components(links)
     named = lambda part: classes.join(part.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     pairs, leaves = _rest(named(parts), trees, count * trees)
-    more = _confirmed(docs, classes, settled(_alike(pairs, classes)))
+    more = _confirmed(docs, classes, _alike(pairs, classes))
     early = F.pmod(F.xxhash64("node"), F.lit(EARLY)) == 0  # most of what large leaves hold is in many of them: a few of them settle it
-    more = settled(more if leaves is None else more.unionByName(_dense_links(docs, classes, leaves.where(early))))
+    more, _ = laid(more if leaves is None else more.unionByName(_dense_links(docs, classes, leaves.where(early))))
     join = lambda parts, links: parts if links.isEmpty() else connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     parts = join(parts, more)
     if leaves is not None:
-        rest = settled(_still_apart(leaves.where(~early), parts))
-        if not rest.isEmpty():
-            parts = join(parts, settled(_dense_links(docs, classes, rest)))
+        rest, n = laid(_still_apart(leaves.where(~early), parts))
+        if n:
+            parts = join(parts, laid(_dense_links(docs, classes, rest))[0])
 
     final = known.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     least = final.groupBy("group").agg(F.min("least").alias("least"))
     final = final.select("first", "second", "n", "group").join(least, "group")
-    out = spread_join(full.select("doc_id", "check", "n_shingles", "first", "second"), settled(final), keys, rows.count(), "doc_id")
+    out = sized(spread_join(full.select("doc_id", "check", "n_shingles", "first", "second"), laid(final)[0], keys, total, "doc_id"), total)
     none = rows.where("n_shingles = 0").select("doc_id", "check", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("least"))
     return out.select("doc_id", "check", "n_shingles", "group", "least").unionByName(none)
 
@@ -337,20 +354,20 @@ def one_of_each(docs: DataFrame, recall: float = 0.99999) -> DataFrame:
     Rows of equal doc_id and text are one document, also without words; of a doc_id that stands in two groups each may stay.
     What goes is decided on ids and checks of texts; texts move only where more than BROADCAST_IDS rows go.
     """
-    rows = settled(groups(docs, recall).select("doc_id", "check", "group"))
+    rows, total = laid(groups(docs, recall).select("doc_id", "check", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "check")
     linked = rows.where("group is not null")
     best = linked.groupBy("group").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    gone = spread_join(linked, best, ["group"], rows.count(), "doc_id").where(order != F.col("best"))
-    gone = settled(gone.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct())
-    again = settled(rows.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    gone = spread_join(linked, best, ["group"], total, "doc_id").where(order != F.col("best"))
+    gone = laid(gone.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct())
+    again = laid(rows.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     packed = docs.select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text_check"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        few = right.count() <= BROADCAST_IDS  # some MB as a hash relation; beyond that both sides are shuffled
+    def joined(left: DataFrame, right: DataFrame, count: int, how: str) -> DataFrame:
+        few = count <= BROADCAST_IDS  # some MB as a hash relation; beyond that both sides are shuffled
         return left.join(F.broadcast(right) if few else right, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text_check") == F.col("_check")), how)
 
-    kept = joined(packed, gone, "left_anti")
-    if not again.isEmpty():
-        kept = joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates(["_of", "_text_check"]))
+    kept = joined(packed, *gone, "left_anti")
+    if again[1]:
+        kept = joined(kept, *again, "left_anti").unionByName(joined(kept, *again, "left_semi").dropDuplicates(["_of", "_text_check"]))
     return kept.select("_row.*")
